@@ -9,6 +9,7 @@ places by their rank among pieces of equal length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,19 @@ from pyspark.sql.window import Window as W
 from .common import NULL_ID, cut, keyed
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_TWO_SPACES = re.compile(r"\s\s")
 _CACHE: dict[str, tuple] = {}
 
 
 class _Encoder:
     """Ids of a text as little-endian uint32 bytes.
 
-    A space between two other characters always begins a new pre-token of the
-    byte-level BPE, so a text without double spaces may be encoded word by
-    word; the words' ids are kept in a bounded dictionary.
+    Under the byte-level pre-tokenization a single space or line feed between
+    two other characters always begins a new pre-token (a space joins the word
+    after it, a line feed stands alone). So a text without adjoining white
+    space is encoded word by word: new words go through the tokenizer together,
+    one to a line, and a bounded dictionary keeps their ids. Any other text is
+    encoded whole.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
@@ -39,17 +44,25 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.keep, self.known = keep, {}
+        self.line = self._encode(["\n"])[0]
+        self.by_word = len(self.line) == 1
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
             new = list(words)
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
+        self.known[""], self.known["\n"] = b"", self.line.tobytes()
+        new = [w for w in new if w and w != "\n"]
+        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
+        for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(group, [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)], strict=True):
+                self.known[w] = raw[4 * begin : 4 * end]
+                begin = end + 1
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         size, group = 0, []
@@ -62,12 +75,16 @@ class _Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        plain = ["  " not in t for t in texts]
-        words = [t.replace(" ", "\x00 ").split("\x00") if ok and "\x00" not in t else None for t, ok in zip(texts, plain, strict=True)]
+        words = [self._words(t) for t in texts]
         self._learn({w for ws in words if ws is not None for w in ws})
         get = self.known.__getitem__
         for t, ws in zip(texts, words, strict=True):
-            yield self._encode([t])[0] if ws is None else b"".join(map(get, ws))
+            yield self._encode([t])[0].tobytes() if ws is None else b"".join(map(get, ws))
+
+    def _words(self, t: str) -> list[str] | None:
+        if not self.by_word or "\x00" in t or t[:1].isspace() or t[-1:].isspace() or _TWO_SPACES.search(t):
+            return None
+        return t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 def _encoder(path: str) -> _Encoder:

@@ -72,3 +72,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = sign
     tops = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut`` through compressed Parquet, for rows that carry text."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, minhash, packing
+from . import contamination, media, minhash, packing, pii, quality, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,40 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _joined(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in pii.BASE))
+    return found.selectExpr("doc_id", *(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}" for k in pii.BASE), f"sha2({_joined(base)}, 256) as base_sha256", f"{_joined('spans')} as spans")
+
+
+def _held_out(parts: int, kept: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == kept
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~_held_out(5, 0)))
+    return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted", F.array_join("marks", ",").alias("marks"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~_held_out(3, 1)))
+    return quality.score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "passages", "focus")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long) as n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at")
@@ -33,7 +68,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_personal_data, op3_toxicity, op5_media_columns, op7_quality, op8_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

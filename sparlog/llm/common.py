@@ -79,3 +79,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that ``without`` may broadcast (about 16 MB).
+MOST_BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids`` (doc_id, null included); broadcasts ids only when they are counted and few."""
+    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_IDS else gone
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]), "left_anti")

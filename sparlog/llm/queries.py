@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, media, minhash, packing, pii, quality, suffix, toxicity
+from . import contamination, lines, media, minhash, packing, pii, quality, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted", F.array_join("marks", ",").alias("marks"))
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~_held_out(3, 1)))
@@ -68,7 +77,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_personal_data, op3_toxicity, op5_media_columns, op7_quality, op8_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_personal_data, op3_toxicity, op4_fuzzy_lines, op5_media_columns, op6_balanced_sharding, op7_quality, op8_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

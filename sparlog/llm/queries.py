@@ -45,8 +45,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+    found = lines.line_report(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

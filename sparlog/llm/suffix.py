@@ -143,7 +143,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
                     for into, x in zip(held, (d, *found), strict=True):
                         into.append(x)
                     size += len(found[0])
-                    if size > 1_500_000:
+                    if size > 400_000:
                         yield flush(*held)
                         held, size = [[], [], [], []], 0
         if size:
@@ -312,38 +312,48 @@ def _shard(mode: str, length: int):
     """Of one shard: "cover" gives what smaller documents have, "groups" the maximal repeats with all occurrences."""
 
     def work(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("k1") if t.num_rows else t
-        body = rows.column("body").to_pylist()
-        doc, start = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("start").to_numpy().astype(np.int64)
-        found = maximal_repeats(body, doc, start, length)
-        d, s = next(found)
-        if mode == "groups":
-            cols: list[list] = [[], [], [], []]
-            for k, (n, (a, b)) in enumerate(found):
-                # a repeat seen around several anchors is named by its bytes, not by where it was seen
-                cols[0] += [f"{n}:{int(d[a : b + 1].min())}:{int(s[a])}:{k}"] * (b - a + 1)
-                cols[1] += [n] * (b - a + 1)
-                cols[2] += d[a : b + 1].tolist()
-                cols[3] += s[a : b + 1].tolist()
-            return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["repeat", "length", "doc_id", "start"])
-        reach = np.zeros(len(d), np.int64)
-        for n, (a, b) in found:
-            own = d[a : b + 1]
-            part = reach[a : b + 1]
-            np.maximum(part, np.where(own > own.min(), n, 0), out=part)
-        hit = reach > 0
-        d, s, e = d[hit], s[hit], s[hit] + reach[hit]
-        o = np.lexsort((s, d))
-        d, s, e = d[o], s[o], e[o]
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-        packed = []
-        for a, b in zip(first, np.append(first[1:], len(d)).astype(np.int64), strict=True):
-            packed.append(np.stack(runs_of(s[a:b], e[a:b])).astype(np.uint32).tobytes())
-        return pa.table({"doc_id": pa.array(d[first], pa.int64()), "runs": pa.array(packed, pa.binary())})
+        gram = t.column("k1").to_numpy()
+        order = np.argsort(gram, kind="stable")
+        edge = np.append(np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])), len(gram))
+        parts, at = [], 0
+        while at < len(edge) - 1:  # whole grams together, as few contexts at once as that allows
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + 2_000, "right")) - 1)
+            rows = t.take(pa.array(order[edge[at] : edge[to]]))
+            found = maximal_repeats(rows.column("body").to_pylist(), rows.column("doc_id").to_numpy().astype(np.int64), rows.column("start").to_numpy().astype(np.int64), length)
+            parts.append(_groups(found) if mode == "groups" else _cover(found))
+            at = to
+        return pa.concat_tables(parts) if parts else (_groups if mode == "groups" else _cover)(iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
 
     return work
 
 
+def _groups(found) -> pa.Table:
+    d, s = next(found)
+    cols: list[list] = [[], [], [], []]
+    for k, (n, (a, b)) in enumerate(found):
+        cols[0] += [f"{n}:{int(d[a : b + 1].min())}:{int(s[a])}:{k}"] * (b - a + 1)
+        cols[1] += [n] * (b - a + 1)
+        cols[2] += d[a : b + 1].tolist()
+        cols[3] += s[a : b + 1].tolist()
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["repeat", "length", "doc_id", "start"])
+
+
+def _cover(found) -> pa.Table:
+    d, s = next(found)
+    reach = np.zeros(len(d), np.int64)
+    for n, (a, b) in found:
+        own = d[a : b + 1]
+        part = reach[a : b + 1]
+        np.maximum(part, np.where(own > own.min(), n, 0), out=part)
+    hit = reach > 0
+    d, s, e = d[hit], s[hit], s[hit] + reach[hit]
+    o = np.lexsort((s, d))
+    d, s, e = d[o], s[o], e[o]
+    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+    packed = [np.stack(runs_of(s[a:b], e[a:b])).astype(np.uint32).tobytes() for a, b in zip(first, np.append(first[1:], len(d)).astype(np.int64), strict=True)]
+    return pa.table({"doc_id": pa.array(d[first], pa.int64()), "runs": pa.array(packed, pa.binary())})
+
+
 def runs_of(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of [s, e) ranges."""
     if not len(s):

@@ -1,0 +1,74 @@
+"""Text behaviour of messages, loops, files, recommendations."""
+
+from ..plans.catalog import step
+
+#: Stop-words, Portuguese and English.
+STOPWORDS = """a o as os um uma uns umas de do da dos das no na nos nas em com por para pra pro ao aos à às e ou mas que se como quando onde porque porém
+é são foi era ser estar está tá ter tem tinha eu tu ele ela nós vocês eles elas voce você meu minha seu sua nosso nossa deles delas isso isto aquilo esse essa este esta aquele aquela
+aqui aí ali lá não nao sim também tambem já ja ainda só so mais menos agora antes depois hoje ontem amanhã amanha muito muita muitos muitas pouco pouca poucos poucas
+todo toda todos todas outro outra outros outras vai vão ir vou vamos vem veio fiz fazer faz pode podem posso deve devem
+a an the and or but if of in on at by for to is are was were be been being have has had i you he she it we they my your his her our their
+this that these those do does did doing so as with from up down out over under can could should would will may might not no yes me us them him what which who when where why how""".split()
+#: Phrases of rework.
+REWORK = ("errado", "errei", "errou", "nao funciona", "não funciona", "não rodou", "nao rodou", "rollback", "desfaz", "desfaça", "ignora", "esqueci", "mudei de ideia", "cancela", "para", "stop", "fix", "bug", "broken", "fail", "failed")
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOPWORDS))
+_REWORK = "|".join(REWORK)
+
+step(
+    "token_rows",
+    lambda d: f"select session_id, ord, role, k, w from (select session_id, ord, role, {('posexplode(' + d.words('lower(content)') + ') as (k, w)') if d.name == 'spark' else ('unnest(' + d.words('lower(content)') + ') as w, generate_subscripts(' + d.words('lower(content)') + ', 1) - 1 as k')} from {{s6_messages}}) where length(w) >= 2 and w not in ({_STOP})",
+    operator=False,
+)
+step("b1_tokenize", "select session_id, ord, role, row_number() over (partition by session_id, ord order by k) as place, w from {token_rows}")
+step("b2_top_words", "select w, count(*) as n from {token_rows} where role = 'user' group by w order by n desc, w limit 25")
+step("b3_top_prefixes", "select w, count(*) as n from {b1_tokenize} where role = 'user' and place = 1 group by w order by n desc, w limit 15")
+step("adjoining", "select session_id, ord, w, lead(w) over (partition by session_id, ord order by place) as w2, lead(w, 2) over (partition by session_id, ord order by place) as w3 from {b1_tokenize} where role = 'user'", operator=False)
+step("b4_top_bigrams", "select w || ' ' || w2 as gram, count(*) as n from {adjoining} where w2 is not null group by 1 order by n desc, gram limit 20")
+step("b5_top_trigrams", "select w || ' ' || w2 || ' ' || w3 as gram, count(*) as n from {adjoining} where w3 is not null group by 1 order by n desc, gram limit 12")
+step("message_words", "select distinct session_id, ord, w from {token_rows} where role = 'user'", operator=False)
+step("word_messages", "select w, count(*) as n from {message_words} group by w", operator=False)
+step("often_words", "select m.session_id, m.ord, m.w, f.n from {message_words} m join {word_messages} f on m.w = f.w where f.n >= 3", operator=False)
+step(
+    "b6_co_occurrence",
+    lambda d: f"""select a, b, n, round({d.log2("n * total / (na * nb)")}, 6) as pmi from (select x.w as a, y.w as b, x.n * 1e0 as na, y.n * 1e0 as nb, count(*) as n from {{often_words}} x
+    join {{often_words}} y on x.session_id = y.session_id and x.ord = y.ord and x.w < y.w group by x.w, y.w, x.n, y.n having count(*) >= 3)
+    cross join (select count(*) * 1e0 as total from (select distinct session_id, ord from {{message_words}})) order by pmi desc, n desc, a, b limit 30""",
+)
+step("b7_error_rate", lambda d: f"select count(*) as messages, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, round({d.bool_sum(d.matches('lower(content)', _REWORK))} / nullif(count(*) * 1e0, 0e0), 6) as rate from {{s6_messages}} where role = 'user'")
+step("phrases", "select phrase from (values " + ", ".join(f"('{p}')" for p in REWORK) + ") as t(phrase)", operator=False)
+step("b8_error_breakdown", "select p.phrase, count(m.content) as n from {phrases} p left join (select * from {s6_messages} where role = 'user') m on contains(lower(m.content), p.phrase) group by p.phrase")
+step("b9_high_error_sessions", lambda d: f"select session_id, hits, total, round(hits / (total * 1e0), 6) as rate from (select session_id, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, count(*) as total from {{s6_messages}} where role = 'user' group by session_id) where hits / (total * 1e0) >= 0.15e0")
+step("b10_style", "select m.role, m.messages, round(t.tokens / (m.messages * 1e0), 6) as mean_tokens, round(m.sentences / (m.messages * 1e0), 6) as mean_sentences, t.vocabulary from (select role, count(*) as messages, sum(greatest(1, length(content) - length(replace(replace(replace(content, '.', ''), '!', ''), '?', '')))) as sentences from {s6_messages} group by role) m join (select role, count(*) as tokens, count(distinct w) as vocabulary from {token_rows} group by role) t on m.role = t.role")
+step("b11_rework_label", "select session_id, case when rate > 0.15e0 then 'high' when rate > 0.05e0 then 'moderate' else 'healthy' end as label from {b9_high_error_sessions}")
+#: Labels and patterns of technologies (word boundaries are those of ASCII words).
+TECH = (
+    ("Go", r"golang|go +(build|run|test|mod|install)"), ("TypeScript", "typescript|tsx?|ts-node"), ("JavaScript", "javascript|node[.]?js|nodejs|npm|yarn"), ("React", "react|jsx|tsx|next[.]?js|vite"),
+    ("Python", "python|pip|pipx|pyenv|poetry|pyproject|venv"), ("Postgres", "postgres|postgresql|psql|pgcli"), ("MongoDB", "mongodb|mongosh|mongo"), ("Docker", "docker|colima|orbstack|dockerfile"),
+    ("Kubernetes", "kubectl|kubernetes|k8s|helm|stern|kubectx|k9s"), ("AWS", "aws|ec2|lambda|s3|eks|cloudformation|cloudwatch"), ("Terraform", "terraform|terragrunt|atmos|opentofu"), ("SQLite", "sqlite|fts5|modernc"), ("Git", "git|github|gh +(repo|pr|issue)"),
+)
+step("b12_detect_tech", lambda d: " union all ".join(f"select '{label}' as tech, count(*) as messages from {{s6_messages}} where {d.matches('lower(content)', '(^|[^0-9a-z_])(' + p + ')([^0-9a-z_]|$)')}" for label, p in TECH))
+step("b13_transcripts", lambda d: f"select session_id, {d.joined('line', 'ord')} as transcript from (select session_id, ord, role || ': ' || substring(content, 1, 800) as line, sum(least(length(content), 800)) over (partition by session_id order by ord rows unbounded preceding) as used, least(length(content), 800) as own from {{s6_messages}}) where used - own < 8000 group by session_id")
+step("b14_embedding_text", lambda d: f"select session_id, {d.joined('content', 'ord')} as body from (select session_id, ord, content, sum(length(content)) over (partition by session_id order by ord rows unbounded preceding) as used from {{s6_messages}} where role = 'user') where used - length(content) < 4000 group by session_id")
+step(
+    "b15_insight_evidence",
+    """select 'word' as kind, w as item, n from (select w, n from {b2_top_words} order by n desc, w limit 15) union all select 'bigram', gram, n from (select gram, n from {b4_top_bigrams} order by n desc, gram limit 10)
+    union all select 'tool', tool_name, calls from (select tool_name, calls from {t11_tool_stats} order by calls desc, tool_name limit 10) union all select 'error', 'hits', hits from {b7_error_rate}""",
+)
+step("b16_knowledge_inputs", "select session_id, ord, substring(content, 1, 200) as content, case when f <= 5 then 'first' else 'last' end as side from (select *, row_number() over (partition by session_id order by ord) as f, row_number() over (partition by session_id order by ord desc) as l from {s6_messages} where role = 'user' and substring(content, 1, 1) <> '<') where f <= 5 or l <= 5")
+
+step("r1_detect_loops", lambda d: f"select session_id, tool_name, input_hash, count(*) as n, {d.us('min(ts)', 'max(ts)')} as span_us, max(input_preview) as preview from {{tool_events}} group by session_id, tool_name, input_hash having count(*) >= 2 and {d.us('min(ts)', 'max(ts)')} > 0 and {d.us('min(ts)', 'max(ts)')} <= 36000000000 order by n desc, span_us, session_id, tool_name, input_hash limit 50")
+step("r2_file_reuse", "select file_path, count(distinct session_id) as sessions, cast(sum(op_count) as bigint) as ops from {session_files} group by file_path having count(distinct session_id) >= 2 order by sessions desc, ops desc, file_path limit 20")
+step("r3_rule_file_reuse", "select 'skill_file' as rule, cast(file_path as varchar(20)) as title, sessions * 10 as score from {r2_file_reuse} where sessions >= 3 order by sessions desc, ops desc, file_path limit 10".replace("varchar(20)", "string"))
+step("r4_rule_hook", "select 'hook' as rule, input_hash as title, n * 8 as score from {r1_detect_loops} where tool_name = 'click'")
+step("r5_rule_downgrade", "select 'downgrade' as rule, 'opus' as title, cast(round(sum(cost_usd) * 5) as bigint) as score from {p1_session_cost} where contains(model, 'opus') and message_count <= 10 and output_tokens <= 50000 and cost_usd >= 0.1e0 having count(*) >= 3")
+step(
+    "j4_reads_within_5_minutes",
+    lambda d: "select session_id, cast(sum(pairs) as bigint) as pairs from (select session_id, count(*) over (partition by session_id order by us range between 1 following and 300000000 following) as pairs from (select session_id, " + d.us("timestamp '2024-01-01 00:00:00'", "ts") + " as us from {tool_events} where tool_name = 'view')) group by session_id having sum(pairs) > 0",
+)
+step("r6_rule_subagent", "select 'subagent' as rule, session_id as title, pairs as score from {j4_reads_within_5_minutes} where pairs >= 1 order by pairs desc, session_id limit 5")
+step("r7_rule_context", "select 'context' as rule, head as title, count(*) * 6 as score from (select lower(substring(trim(first_user_msg), 1, 60)) as head from {sessions}) group by head having count(*) >= 3")
+step("r8_rule_loop_skill", "select 'loop_skill' as rule, tool_name || ' ' || input_hash as title, n * 7 as score from {r1_detect_loops} where tool_name <> 'click'")
+#: Commands that a tool would do better, and how many make a case.
+CLI = (("gh", ("api.github.com", "raw.githubusercontent.com"), 3), ("gh + git aliases", ("git diff --name-only", "git log --pretty="), 5), ("fd", ('find . -name "*', "find . -type f"), 4), ("rg (ripgrep)", ("grep -r", "grep -R"), 4), ("jq (já é CLI)", ("jq -r", "jq ''.["), 8), ("httpie ou xh", ("curl http", "wget http"), 5), ("lazydocker", ("docker run -it", "docker exec -it"), 4), ("k9s", ("kubectl get", "kubectl describe"), 5))
+step("r9_rule_cli", lambda d: " union all ".join(f"select 'cli' as rule, '{cli}' as title, count(*) * 4 as score from {{tool_events}} where " + " or ".join(f"contains(input_preview, '{p}')" for p in pats) + f" having count(*) >= {least}" for cli, pats, least in CLI))
+step("r10_advise", "select rule, title, score, case when score >= 70 then 'high' when score >= 40 then 'medium' else 'low' end as confidence from (" + " union all ".join(f"select rule, title, cast(score as bigint) as score from {{{r}}}" for r in ("r3_rule_file_reuse", "r4_rule_hook", "r5_rule_downgrade", "r6_rule_subagent", "r7_rule_context", "r8_rule_loop_skill", "r9_rule_cli")) + ")")

@@ -1,0 +1,47 @@
+"""Search: keyword, metadata and vector ranking, fusion, exemplars; knowledge roll-ups."""
+
+from ..plans.catalog import step
+
+# queries are a table: every user message of a twentieth of the conversations asks, its first three words being the terms
+step("search_terms", "select session_id as query_id, w as term from (select session_id, w, row_number() over (partition by session_id order by ord, place) as k from {b1_tokenize} where role = 'user' and session_id % 20 = 0) where k <= 2", operator=False)
+step("q1_text_index", "select session_id, ord, w as term, count(*) as tf from {token_rows} group by session_id, ord, w")
+step("doc_lengths", "select session_id, ord, cast(sum(tf) as bigint) as len from {q1_text_index} group by session_id, ord", operator=False)
+step("term_stats", "select term, count(*) as df from {q1_text_index} group by term", operator=False)
+step(
+    "q2_search_bm25",
+    """select query_id, session_id, ord, round(score, 6) as score, place from (select query_id, session_id, ord, score, row_number() over (partition by query_id order by round(score, 6) desc, session_id, ord) as place from (
+    select q.query_id, i.session_id, i.ord, count(distinct i.term) as hit, sum(ln(1 + (n.docs - t.df + 0.5e0) / (t.df + 0.5e0)) * i.tf * 2.2e0 / (i.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.len / n.mean_len))) as score
+    from (select distinct query_id, term from {search_terms}) q join {q1_text_index} i on q.term = i.term join {term_stats} t on t.term = i.term join {doc_lengths} l on l.session_id = i.session_id and l.ord = i.ord
+    cross join (select count(*) * 1e0 as docs, avg(len * 1e0) as mean_len from {doc_lengths}) n group by q.query_id, i.session_id, i.ord) s
+    join (select query_id as qid, count(distinct term) as wanted from {search_terms} group by query_id) w on w.qid = s.query_id and w.wanted = s.hit) where place <= 100""",
+)
+step("q3_search_exact", "select b.query_id, b.session_id, b.ord from {q2_search_bm25} b join {s6_messages} m on b.session_id = m.session_id and b.ord = m.ord join (select query_id, min(term) as term from {search_terms} group by query_id) t on t.query_id = b.query_id where contains(lower(m.content), t.term)")
+step("q4_search_like", "select session_id, ord from {s6_messages} where contains(lower(content), 'tion') order by session_id, ord limit 100")
+step("q5_search_metadata", "select session_id, case when contains(lower(project_dir), '3') then 'project' when contains(lower(coalesce(git_branch, '')), '3') then 'branch' when contains(lower(model), '3') then 'model' when contains(lower(first_user_msg), '3') then 'first message' else 'last message' end as field from {sessions} where contains(lower(project_dir), '3') or contains(lower(coalesce(git_branch, '')), '3') or contains(lower(model), '3') or contains(lower(first_user_msg), '3') or contains(lower(last_user_msg), '3')")
+step("w7_first_match", "select query_id, session_id, ord, more from (select query_id, session_id, ord, row_number() over (partition by query_id, session_id order by place) as k, count(*) over (partition by query_id, session_id) - 1 as more from {q2_search_bm25}) where k = 1")
+step("q7_query_type", lambda d: f"select session_id, ord, case when length(trim(content)) - length(replace(trim(content), ' ', '')) >= 5 then 'dense' when {d.matches('content', '[a-z][A-Z]|_|::')} then 'bm25' else 'balanced' end as kind from {{s6_messages}} where role = 'user'")
+step("vector_queries", "select session_id as query_id, embedding from {vectors} where session_id % 20 = 0", operator=False)
+step(
+    "q12_similar_sessions",
+    lambda d: f"""select query_id, session_id, sim, place from (select query_id, session_id, sim, row_number() over (partition by query_id order by sim desc, session_id) as place from (
+    select q.query_id, v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
+    from {{vectors}} v cross join {{vector_queries}} q where q.query_id <> v.session_id)) where place <= 10""",
+)
+step("q8_rrf_merge", """select query_id, session_id, round(sum(weight / (60 + place)), 9) as score, count(*) as sources from (select query_id, session_id, place, 1.5e0 as weight from (select query_id, session_id, row_number() over (partition by query_id order by min(place), session_id) as place from {q2_search_bm25} group by query_id, session_id)
+    union all select query_id, session_id, place, 0.5e0 from {q12_similar_sessions}) group by query_id, session_id""")
+step("q9_search_rrf", "select query_id, session_id, score, place from (select *, row_number() over (partition by query_id order by score desc, session_id) as place from {q8_rrf_merge}) where place <= 50")
+step("q10_explain", "select q.query_id, q.session_id, q.place, b.ord is not null as by_words, s.sim from {q9_search_rrf} q left join {w7_first_match} b on q.query_id = b.query_id and q.session_id = b.session_id left join {q12_similar_sessions} s on q.query_id = s.query_id and q.session_id = s.session_id")
+step("q16_exemplars", lambda d: f"""select label, session_id, k from (select v.label, v.session_id, row_number() over (partition by v.label order by round({d.dot("v.embedding", "c.embedding")} / nullif(sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) desc, v.session_id) as k from {{vectors}} v join {{centres}} c on v.label = c.label) where k <= 5""")
+step("centres", lambda d: "select label, embedding from (select label, embedding, row_number() over (partition by label order by session_id) as k from {vectors}) where k = 1", operator=False)
+step("q17_cluster_members", lambda d: f"select label, count(*) as members, {d.joined('session_id', 'session_id')} as ids from {{vectors}} where label >= 0 group by label")
+step("q18_index_health", "select count(*) as documents, count(l.doc_id) as labelled from {documents} d left join {labels} l on d.doc_id = l.doc_id")
+
+step("knowledge_words", lambda d: f"select session_id, lang, generated_at, w from (select session_id, lang, generated_at, {d.unnest('words')} as w from {{knowledge}}) where length(w) >= 6", operator=False)
+step("k1_top_patterns", "select w, count(*) as n, count(distinct session_id) as sessions from {knowledge_words} group by w order by n desc, w limit 20")
+step("k2_decision_history", "select session_id, generated_at, substring(text, 1, 60) as decision from {knowledge} where text <> '' order by generated_at desc, session_id limit 50")
+step("k4_open_questions", "select session_id, greatest(0, 1000 - generated_at) as age from {knowledge} where contains(text, '?') or contains(text, '!') order by age desc, session_id limit 30")
+step("k6_knowledge_of", lambda d: f"select session_id, lang, {d.size('words')} as n_words, substring(text, 1, 40) as problem from {{knowledge}} where session_id % 20 = 0")
+step("k7_standup_timeline", lambda d: f"select cast(start_time as date) as day, session_id, '- ' || substring(first_user_msg, 1, 40) as line, row_number() over (partition by cast(start_time as date) order by start_time, session_id) as place from {{sessions}}")
+step("k8_standup_project", "select project_dir, session_id, cost_usd, row_number() over (partition by project_dir order by coalesce(cost_usd, 0e0) desc, session_id) as place, round(sum(coalesce(cost_usd, 0e0)) over (partition by project_dir), 8) as project_usd from {p1_session_cost}")
+step("k9_standup_editorial", "select 1 as section, session_id, substring(text, 1, 60) as line from {knowledge} where contains(text, '.') union all select 2, session_id, substring(text, 1, 60) from {knowledge} where contains(text, '|') union all select 3, session_id, substring(text, 1, 60) from {knowledge} where contains(text, '!')")
+step("k10_insights", "select source, doc_id, n_chars from (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id desc) as k from {documents} where lang = 'en') where k <= 20")

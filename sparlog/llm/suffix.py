@@ -160,12 +160,19 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
     return doc, col("kg", np.uint32), col("c32", np.uint32).astype(np.uint64) | (col("c16", np.uint16).astype(np.uint64) << np.uint64(32)), col("pos", np.uint32), col("hot", np.uint64)
 
 
+def _spans_of(doc: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    if not len(doc):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True))
+
+
 def _marked(doc: np.ndarray, pos: np.ndarray, flag: np.ndarray) -> pa.Table:
     o = np.lexsort((pos, doc))
     doc, pos, flag = doc[o], pos[o].astype(np.uint32), flag[o]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    end = np.append(first[1:], len(doc)).astype(np.int64)
-    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "pos": pa.array([pos[a:b].tobytes() for a, b in zip(first, end, strict=True)], pa.binary()), "flag": pa.array([flag[a:b].tobytes() for a, b in zip(first, end, strict=True)], pa.binary())})
+    spans = _spans_of(doc)
+    return pa.table({"doc_id": pa.array([int(doc[a]) for a, _ in spans], pa.int64()), "pos": pa.array([pos[a:b].tobytes() for a, b in spans], pa.binary()), "flag": pa.array([flag[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
 def mark_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -268,11 +275,13 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 def maximal_repeats(body: list[bytes], doc: np.ndarray, start: np.ndarray, length: int):
     """Enhanced suffix array of the given contexts: yields (length, suffix indices) of every left-diverse prefix interval.
 
-    Also returns, through the first yielded item, the arrays doc and start of
-    the suffixes in sorted order. Suffixes that share no ``length``-byte
-    prefix with another are left out before sorting. What stands before a
-    context is not in the shard, so its first suffix differs from everything
-    on the left: the repeat goes on in the contexts of earlier anchors.
+    The first item yielded is (doc, start) of the suffixes in sorted order.
+    What stands before a context is not in the shard, so its first suffix
+    differs from everything on the left: the repeat goes on in the contexts of
+    earlier anchors. Prefixes of ``length`` bytes are told apart by their hash,
+    in whose order the array is; a prefix that one document alone has, or that
+    the same byte always precedes, gives no interval and is left out before
+    the suffixes are sorted by what follows it.
     """
     size = np.asarray([len(x) for x in body], np.int64)
     text = np.frombuffer(b"".join(body) + bytes(2 * length), np.uint8)
@@ -281,26 +290,34 @@ def maximal_repeats(body: list[bytes], doc: np.ndarray, start: np.ndarray, lengt
     ctx = np.repeat(np.arange(len(body)), count)
     off = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
     at = base[ctx] + off
+    if not len(at):
+        yield doc[:0], start[:0]
+        return
     h = Hashes(text)
     key = h(at, at + length)
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    keep = n[inverse] > 1
-    ctx, off, at = ctx[keep], off[keep], at[keep]
-    wide = 2 * length
-    room = np.minimum(base[ctx] + size[ctx] - at, wide)
-    order = np.zeros(0, np.int64)
-    if len(at):
-        grid = text[np.minimum(at[:, None] + np.arange(wide)[None, :], len(text) - 1)]
-        grid = np.where(np.arange(wide)[None, :] < room[:, None], grid, 0).astype(np.uint8)
-        words = np.ascontiguousarray(grid[:, : wide // 8 * 8]).view(">u8").astype(np.uint64)
-        order = np.lexsort((room, *[words[:, k] for k in range(words.shape[1])][::-1]))
-        grid = grid[order]
-    ctx, off, at, room = ctx[order], off[order], at[order], room[order]
+    before = np.where(off > 0, text[np.maximum(at - 1, 0)].astype(np.int64), -1)
+    order = np.argsort(key)
+    key, own, left = key[order], doc[ctx[order]], before[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    low = np.minimum.reduceat(left, begin)
+    good = (np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin)) & ((low < 0) | (low < np.maximum.reduceat(left, begin)))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+    keep = good[group]
+    order, group = order[keep], group[keep]
+    ctx, off, at, before = ctx[order], off[order], at[order], before[order]
+    wide = -(-(length - 1) // 8) * 8
+    room = np.minimum(base[ctx] + size[ctx] - at - length, wide)
+    grid = text[np.minimum(at[:, None] + length + np.arange(wide)[None, :], len(text) - 1)]
+    grid = np.where(np.arange(wide)[None, :] < room[:, None], grid, 0).astype(np.uint8)
+    words = np.ascontiguousarray(grid).view(">u8").astype(np.uint64)
+    used = max(1, -(-int(room.max(initial=0)) // 8))
+    order = np.lexsort((room, *[words[:, k] for k in range(used)][::-1], group))
+    ctx, off, at, before, room, group, grid = ctx[order], off[order], at[order], before[order], room[order], group[order], grid[order]
     lcp = np.zeros(len(at), np.int64)
     if len(at) > 1:
         differ = grid[1:] != grid[:-1]
-        lcp[1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), wide), np.minimum(room[1:], room[:-1]))
-    before = np.where(off > 0, text[np.maximum(at - 1, 0)].astype(np.int64), -1)
+        more = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), wide), np.minimum(room[1:], room[:-1]))
+        lcp[1:] = np.where(group[1:] == group[:-1], length + more, 0)
     yield doc[ctx], start[ctx] + off
     change = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))]) if len(at) else np.zeros(0, np.int64)
     for n, a, b in lcp_intervals(lcp, length):
@@ -349,9 +366,9 @@ def _cover(found) -> pa.Table:
     d, s, e = d[hit], s[hit], s[hit] + reach[hit]
     o = np.lexsort((s, d))
     d, s, e = d[o], s[o], e[o]
-    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    packed = [np.stack(runs_of(s[a:b], e[a:b])).astype(np.uint32).tobytes() for a, b in zip(first, np.append(first[1:], len(d)).astype(np.int64), strict=True)]
-    return pa.table({"doc_id": pa.array(d[first], pa.int64()), "runs": pa.array(packed, pa.binary())})
+    spans = _spans_of(d)
+    packed = [np.stack(runs_of(s[a:b], e[a:b])).astype(np.uint32).tobytes() for a, b in spans]
+    return pa.table({"doc_id": pa.array([int(d[a]) for a, _ in spans], pa.int64()), "runs": pa.array(packed, pa.binary())})
 
 
 def runs_of(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

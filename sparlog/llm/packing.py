@@ -34,16 +34,17 @@ class _Encoder:
     two other characters always begins a new pre-token (a space joins the word
     after it, a line feed stands alone). So a text without adjoining white
     space is encoded word by word: new words go through the tokenizer together,
-    one to a line, and a bounded dictionary keeps their ids. Any other text is
-    encoded whole.
+    one to a line, and two generations of a dictionary keep their ids: when the
+    young one has ``keep`` words it becomes the old one, so that words in use
+    stay. Any other text is encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.old = keep, {}, {}
         self.line = self._encode(["\n"])[0]
         self.by_word = len(self.line) == 1
 
@@ -51,12 +52,17 @@ class _Encoder:
         return [np.asarray(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(words)
-        self.known[""], self.known["\n"] = b"", self.line.tobytes()
-        new = [w for w in new if w and w != "\n"]
+        if len(self.known) > self.keep:
+            self.old, self.known = self.known, {}
+        new, known, old = [], self.known, self.old
+        known[""], known["\n"] = b"", self.line.tobytes()
+        for w in words:
+            if w not in known:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
             raw, begin = ids.tobytes(), 0

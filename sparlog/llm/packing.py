@@ -24,6 +24,10 @@ from .common import NULL_ID, cut, keyed
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _TWO_SPACES = re.compile(r"\s\s")
+_SPACE, _LINE_FEED = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
+_PLAIN = re.compile(r" ?\S+")
+#: Longest part with a run of white space that the dictionary takes.
+_LONG_PART = 1000
 _CACHE: dict[str, tuple] = {}
 
 
@@ -32,11 +36,12 @@ class _Encoder:
 
     Under the byte-level pre-tokenization a single space or line feed between
     two other characters always begins a new pre-token (a space joins the word
-    after it, a line feed stands alone). So a text without adjoining white
-    space is encoded word by word: new words go through the tokenizer together,
-    one to a line, and two generations of a dictionary keep their ids: when the
-    young one has ``keep`` words it becomes the old one, so that words in use
-    stay. Any other text is encoded whole.
+    after it, a line feed stands alone). So a text is encoded part by part
+    between these places: new words go through the tokenizer together, one to a
+    line, new parts that hold a run of white space each alone, and two
+    generations of a dictionary keep their ids: when the young one has ``keep``
+    parts it becomes the old one, so that parts in use stay. A text with a NUL
+    or with a very long part that holds a run is encoded whole.
     """
 
     def __init__(self, path: str, keep: int = 250_000):
@@ -54,20 +59,20 @@ class _Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > self.keep:
             self.old, self.known = self.known, {}
-        new, known, old = [], self.known, self.old
+        known, old = self.known, self.old
         known[""], known["\n"] = b"", self.line.tobytes()
-        for w in words:
-            if w not in known:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
+        fresh = words.difference(known)
+        again = fresh.intersection(old)
+        known.update((w, old[w]) for w in again)
+        new, runs = [], []
+        for w in fresh - again:
+            (new if _PLAIN.fullmatch(w) else runs).append(w)
+        known.update(zip(runs, (ids.tobytes() for ids in self._encode(runs)), strict=True))
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
             raw, begin = ids.tobytes(), 0
             for w, end in zip(group, [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)], strict=True):
-                self.known[w] = raw[4 * begin : 4 * end]
+                known[w] = raw[4 * begin : 4 * end]
                 begin = end + 1
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
@@ -82,14 +87,17 @@ class _Encoder:
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         words = [self._words(t) for t in texts]
-        self._learn({w for ws in words if ws is not None for w in ws})
+        self._learn(set().union(*(ws for ws in words if ws is not None)))
         get = self.known.__getitem__
         for t, ws in zip(texts, words, strict=True):
             yield self._encode([t])[0].tobytes() if ws is None else b"".join(map(get, ws))
 
     def _words(self, t: str) -> list[str] | None:
-        if not self.by_word or "\x00" in t or t[:1].isspace() or t[-1:].isspace() or _TWO_SPACES.search(t):
+        if not self.by_word or "\x00" in t:
             return None
+        if t[:1].isspace() or t[-1:].isspace() or _TWO_SPACES.search(t):
+            parts = _LINE_FEED.sub("\x00\n\x00", _SPACE.sub("\x00 ", t)).split("\x00")
+            return parts if max(map(len, parts)) <= _LONG_PART else None
         return t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 

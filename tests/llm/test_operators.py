@@ -162,6 +162,24 @@ def test_lines(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_simhash(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a", "a b", "a b a", "x y z", *(" ".join(dict.fromkeys(f"w{R.randint(0, 9 * n)}" for _ in range(n))) for n in (5, 60, 127, 128, 129, 700))]
+    words = [sorted({w for t in texts for w in t.split()})]
+    hashed = spark.createDataFrame([(w,) for w in words[0]], "w string").select("w", F.xxhash64("w").alias("h0"), F.xxhash64("w", F.lit(1)).alias("h1")).collect()
+    of = {r["w"]: (r["h0"], r["h1"]) for r in hashed}
+
+    def majority(votes, bits):
+        return sum(1 << k for k, bit in enumerate(bits) if 2 * sum(v >> bit & 1 for v in votes) > len(votes))
+
+    for r in lines.simhash(spark.createDataFrame([(t,) for t in texts], "norm string")).collect():
+        votes = [of[w] for w in set(r["norm"].split())]
+        votes += [max(votes)] * (len(votes) % 2 == 0)
+        lo, hi = majority([v[0] for v in votes], range(64)), majority([v[1] for v in votes], [k for k in range(64) if k % 8 < 4])
+        assert (r["lo"] % 2**64, r["hi"]) == (lo, hi)
+
+
 def test_sharding(docs, none):
     got = sharding.shard(docs, shards=5).collect()
     assert len(got) == len(ROWS)

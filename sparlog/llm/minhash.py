@@ -147,35 +147,51 @@ def _verify(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFra
     return both.where(F.col("same") * need[1] >= (F.col("total") - F.col("same")) * need[0]).select("a", "b")
 
 
-def candidates(reps: DataFrame, bands: int, most: int, lowest: float, levels: int = 3) -> DataFrame:
-    """Pairs (a, b) of class representatives that share a band and look alike; every pair once.
-
-    ``reps``: node, n, sig, bands. A bucket of at most ``most`` members gives
-    its pairs. In a larger one every member is paired with the first, and the
-    bucket is split by its members' next band: two that agree in one band
-    agree in many, so they are split apart in some of these only. The members
-    of what is still large after ``levels`` splits are almost equal.
-    """
-    rows = reps.select("node", F.posexplode("bands").alias("at", "key"))
-    found = None
-    for level in range(levels + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1")
-        met = cut(rows.join(sizes, "key").select("node", "at", "key", "m", "first"))
-        small = met.where(F.col("m") <= most).select("key", "node")
-        pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        large = met.where(F.col("m") > most)
-        pairs = pairs.union(large.select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b"))
-        found = pairs if found is None else found.union(pairs)
-        if level == levels or large.isEmpty():
-            break
-        at = ((F.col("at") + 1) % bands).cast("int")
-        rows = large.select("node", "at", "key").join(reps.select("node", "bands"), "node").select("node", at.alias("at"), F.xxhash64("key", F.element_at("bands", at + 1)).alias("key"))
+def _met(rows: DataFrame, reps: DataFrame, lowest: float) -> DataFrame:
+    """Pairs (a, b) of (key, node, group) rows that share a key but no group and look alike; every pair once."""
+    other = rows.select("key", F.col("node").alias("b"), F.col("group").alias("other"))
+    return _look_alike(rows.withColumnRenamed("node", "a").join(other, "key").where("a < b and group <> other").select("a", "b").distinct(), reps, lowest)
+
+
+def _look_alike(pairs: DataFrame, reps: DataFrame, lowest: float) -> DataFrame:
     sig = reps.select("node", "n", "sig")
-    pairs = found.distinct()
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     return cut(pairs.where(_alike("sa", "sb") >= lowest).select("a", "b", "na", "nb"))
 
 
+def candidates(reps: DataFrame, most: int, lowest: float, verified, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, edges): all pairs (a, b, na, nb) of class representatives that share a band, look alike and may join two components, and the links found so far.
+
+    ``reps``: node, n, sig, bands; ``verified`` gives the true links among such
+    pairs. Members of buckets of more than ``most`` are first verified against
+    ``rounds`` of their members, which puts most copies of a family in one
+    component. Then every bucket gives all its pairs across components, those
+    of linked and not linked members included: no link between components is
+    lost, and pairs within one are not needed.
+    """
+    rows = reps.select("node", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    rows = cut(rows.join(sizes, "key").select("key", "node", "m"))
+    hot, edges, comp = rows.where(F.col("m") > most), None, None
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        if comp is None:
+            return rows.select("key", "node", F.col("node").alias("group"))
+        return rows.join(comp.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+
+    if not hot.isEmpty():
+        for k in range(rounds):
+            open_keys = grouped(hot).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("top")).where("low <> high").select("key", "top")
+            pairs = hot.join(open_keys, "key").where("node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
+            pairs = pairs if edges is None else pairs.join(edges, ["a", "b"], "left_anti")
+            new = verified(_look_alike(pairs, reps, lowest))
+            edges = new if edges is None else cut(edges.union(new))
+            comp = cut(connected_components(edges))
+    rows = cut(grouped(rows))
+    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    return _met(cut(rows.join(mixed, "key")), reps, lowest), edges
+
+
 def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: int = 5, coords: int = 256, bands: int = 36, rows: int = 5, most: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text).
 
@@ -193,15 +209,20 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: in
     # five standard errors of the estimate below the threshold
     limit = need[0] / need[1]
     lowest = limit - 5 * (limit * (1 - limit) / coords) ** 0.5
-    pairs = candidates(reps, bands, most, lowest).where((F.col("na") * need[1] >= F.col("nb") * need[0]) & (F.col("nb") * need[1] >= F.col("na") * need[0])).select("a", "b")
-    sets = cut(_sets(whole, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size))
-    # first one pair for each document; then only pairs that would still join two components
-    first = cut(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, need))
-    comp = cut(connected_components(first))
-    of = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
-    open_pairs = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-    more = _verify(open_pairs.join(first, ["a", "b"], "left_anti"), sets, need)
-    comp = cut(connected_components(first.union(more)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.where((F.col("na") * need[1] >= F.col("nb") * need[0]) & (F.col("nb") * need[1] >= F.col("na") * need[0])).select("a", "b"))
+        sets = cut(_sets(whole, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size))
+        # first one pair for each document; then only pairs that would still join two components
+        first = cut(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, need))
+        comp = cut(connected_components(first))
+        of = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
+        open_pairs = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+        return cut(first.union(_verify(open_pairs.join(first, ["a", "b"], "left_anti"), sets, need)))
+
+    pairs, edges = candidates(reps, most, lowest, verified)
+    more = verified(pairs)
+    comp = cut(connected_components(more if edges is None else edges.union(more)))
     member = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     out = seen.join(member, "cls", "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select(restore_id(), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))

@@ -1,0 +1,13 @@
+import corpus_pipeline
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    base = [f"w{i}" for i in range(104)]
+    copy = base[:50] + ["other", "words"] + base[52:]
+    a, b = ({tuple(w[i : i + 5]) for i in range(100)} for w in (base, copy))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.9
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy[:90] + ["end", *copy[91:]])), (3, "quite another text of its own"), (4, " ".join(base[:50] + ["new", "ones", "here", "and", "more"] + base[55:]))], "doc_id long, text string")
+    sets = {r["doc_id"]: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in docs.collect() for w in [r["text"].split()]}
+    alike = {d: len(sets[1] & sets[d]) / len(sets[1] | sets[d]) for d in (2, 4)}
+    assert all(0.8 <= x < 0.85 for x in alike.values()), alike
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 3]

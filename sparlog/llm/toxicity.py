@@ -70,11 +70,12 @@ def char_model(docs: DataFrame) -> np.ndarray:
     return np.log((counts + 10 * bi[None, :, :]) / (counts.sum(axis=2, keepdims=True) + 10)).astype(np.float32)
 
 
-def decode(token: str, lm: np.ndarray) -> str:
+def decode(token: str, lm: np.ndarray, breaks: bool = False) -> str:
     """The likeliest word behind a disguised token: a Viterbi path over (last two letters) states.
 
     Each character is a letter, one of the letters that it looks like, a
-    repetition that is dropped, or noise that is dropped.
+    repetition that is dropped, or noise that is dropped. With ``breaks`` a
+    separator may also end a word; the words are then joined by spaces.
     """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before = ""
@@ -87,6 +88,8 @@ def decode(token: str, lm: np.ndarray) -> str:
         else:
             steps += [(-1.5 - 0.7 * (len(LOOKS_LIKE[c]) > 1), x) for x in LOOKS_LIKE.get(c, "")]
             steps.append((-0.1 if c in " .-_*" else -7.0, ""))
+            if breaks and c in " .-_*":
+                steps.append((-0.1, " "))
         before = c
         then: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (p, word) in states.items():
@@ -102,6 +105,17 @@ def decode(token: str, lm: np.ndarray) -> str:
     return max((p + float(lm[a, b, 0]), w) for (a, b), (p, w) in states.items())[1]
 
 
+def decode_whole(token: str, lm: np.ndarray, size: int = 200, overlap: int = 80) -> str:
+    """The words behind a token of any length, joined by spaces: pieces of ``size`` that overlap, spaced ones with and without word breaks."""
+    found: dict[str, None] = {}
+    for k in range(0, max(1, len(token) - overlap), size - overlap):
+        piece = token[k : k + size]
+        found.update(dict.fromkeys(decode(piece, lm).split()))
+        if _SPACED.search(piece):
+            found.update(dict.fromkeys(decode(piece, lm, True).split()))
+    return " ".join(found)
+
+
 def words_of(text: str | None, lm: np.ndarray, known: dict[str, str] | None = None) -> tuple[set[str], dict[str, str]]:
     """(words of the restored text, disguised token -> word); known: a memory of decoded tokens."""
     if not text:
@@ -118,11 +132,15 @@ def words_of(text: str | None, lm: np.ndarray, known: dict[str, str] | None = No
         s = w.strip(_STRIP)
         if s.isalpha():
             words.add(s)
-        if len(w) <= 40 and any(c.isalpha() for c in w):
+        if any(c.isalpha() for c in w):
             if not s.isalpha():
-                odd.append(s)
-                words.update(x for x in re.split(r"[^\w]+", s) if x.isalpha())
-            elif w[0] in "$@!|(" or (w[-1] in "$@" and w[-2:] not in ("$$", "@@")):
+                parts = re.split(r"[\W_]+", s)
+                words.update(x for x in parts if x.isalpha())
+                if len(s) <= 40:
+                    odd.append(s)
+                else:  # joined words: each part may be disguised by itself
+                    odd += [x for x in re.split(r"[^\w$@!|(€£*+]+|_", s) if x and not x.isalpha() and any(c.isalpha() for c in x)]
+            elif w[0] in "$@!|(" or w[-1] in "$@":
                 odd.append(w)
     if _STRETCHED.search(low):
         odd += [s for s in words if _STRETCHED.search(s)]
@@ -132,10 +150,10 @@ def words_of(text: str | None, lm: np.ndarray, known: dict[str, str] | None = No
         if s not in known:
             if len(known) > 200_000:
                 known.clear()
-            known[s] = decode(s[:200], lm)
+            known[s] = decode_whole(s, lm)
         if known[s] and known[s] != s:
             restored[s] = known[s]
-            words.add(known[s])
+            words.update(known[s].split())
     return words, restored
 
 
@@ -280,7 +298,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows[0].append(s)
                 rows[1].append(int(s >= 0.5))
                 rows[2].append(sorted(found & m.chosen))
-                rows[3].append(sorted(f"{a}>{w}" for a, w in restored.items() if marks({w}) & m.chosen) if rows[2][-1] else [])
+                rows[3].append(sorted(f"{a}>{w}" for a, w in restored.items() if marks(set(w.split())) & m.chosen) if rows[2][-1] else [])
             yield pa.record_batch([b.column("doc_id"), pa.array(rows[0], pa.float64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.string())), pa.array(rows[3], pa.list_(pa.string()))], names=_SCORED.names)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(work, _SCORED)

@@ -9,8 +9,10 @@ pieces into the patterns' places by their rank among pieces of equal length.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,82 +26,54 @@ from pyspark.sql.window import Window as W
 from .common import NULL_ID, cut, keyed
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_TWO_SPACES = re.compile(r"\s\s")
-_SPACE, _LINE_FEED = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
-_PLAIN = re.compile(r" ?\S+")
-#: Longest part with a run of white space that the dictionary takes.
-_LONG_PART = 1000
-_CACHE: dict[str, tuple] = {}
+#: Fixed value: how byte-level BPE splits a text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The faster encoder runs out of stack in white space of some hundred thousand characters.
+_LONG_RUN = re.compile(r"\s{1000}")
+_CACHE: dict[str, _Encoder] = {}
 
 
 class _Encoder:
-    """Ids of a text as little-endian uint32 bytes.
-
-    Under the byte-level pre-tokenization a single space or line feed between
-    two other characters always begins a new pre-token (a space joins the word
-    after it, a line feed stands alone). So a text is encoded part by part
-    between these places: new words go through the tokenizer together, one to a
-    line, new parts that hold a run of white space each alone, and two
-    generations of a dictionary keep their ids: when the young one has ``keep``
-    parts it becomes the old one, so that parts in use stay. A text with a NUL
-    or with a very long part that holds a run is encoded whole.
+    """Ids of a text under the tokenizer file at ``path``, as little-endian uint32 bytes.
+
+    A plain byte-level BPE file is read as ranks, which another encoder of the
+    same vocabulary applies several times faster; any other file, and texts
+    with very long runs of white space, go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.keep, self.known, self.old = keep, {}, {}
-        self.line = self._encode(["\n"])[0]
-        self.by_word = len(self.line) == 1
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.keep:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        known[""], known["\n"] = b"", self.line.tobytes()
-        fresh = words.difference(known)
-        again = fresh.intersection(old)
-        known.update((w, old[w]) for w in again)
-        new, runs = [], []
-        for w in fresh - again:
-            (new if _PLAIN.fullmatch(w) else runs).append(w)
-        known.update(zip(runs, (ids.tobytes() for ids in self._encode(runs)), strict=True))
-        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
-        for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups]), strict=True):
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(group, [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)], strict=True):
-                known[w] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        size, group = 0, []
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size > 4_000_000:
-                yield from self._group(group)
-                size, group = 0, []
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        words = [self._words(t) for t in texts]
-        self._learn(set().union(*(ws for ws in words if ws is not None)))
-        get = self.known.__getitem__
-        for t, ws in zip(texts, words, strict=True):
-            yield self._encode([t])[0].tobytes() if ws is None else b"".join(map(get, ws))
-
-    def _words(self, t: str) -> list[str] | None:
-        if not self.by_word or "\x00" in t:
-            return None
-        if t[:1].isspace() or t[-1:].isspace() or _TWO_SPACES.search(t):
-            parts = _LINE_FEED.sub("\x00\n\x00", _SPACE.sub("\x00 ", t)).split("\x00")
-            return parts if max(map(len, parts)) <= _LONG_PART else None
-        return t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        with open(path, encoding="utf-8") as f:
+            self.fast = _byte_bpe(json.load(f))
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast is None or _LONG_RUN.search(text):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return array("I", ids).tobytes()
+
+
+def _byte_bpe(spec: dict):
+    """An encoder for a byte-level BPE file whose ids follow the order of its merges; None for any other file."""
+    import tiktoken
+
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("merges") is None or spec.get("normalizer") or (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in special}
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"])
+    if any(vocab.get(w) != 256 + i for i, w in enumerate(merged)) or len(vocab) != 256 + len(model["merges"]):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks={bytes(byte_of[c] for c in w): i for w, i in vocab.items()}, special_tokens={})
 
 
 def _encoder(path: str) -> _Encoder:
@@ -118,12 +92,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     def work(batches):
         enc = _encoder(tokenizer_path)
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         for b in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc(texts), strict=True):
-                ids += end
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = enc(t or "") + end
                 n = len(ids) // 4
                 at, size = 0, (n - 1) % capacity + 1
                 for k in range((n - 1) // capacity + 1):

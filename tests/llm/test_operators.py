@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+import numpy as np
 from sparlog.llm import contamination, lines, media, minhash, packing, pii, quality, sharding, suffix, toxicity
 from sparlog.llm.queries import tokenizer_path
 
@@ -105,7 +106,7 @@ def test_packing(docs, none):
 
 
 def test_bin_completion_is_exact_where_it_can_be():
-    assert sum(n for n, _ in packing.plan_bins({7: 3, 3: 3, 6: 2, 4: 2}, 10)) == 5
+    assert packing.plan_bins({7: 3, 3: 3, 6: 2, 4: 2}, 10).bins == 5
 
 
 def test_media(docs, none):
@@ -162,22 +163,64 @@ def test_lines(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
-def test_simhash(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["a", "a b", "a b a", "x y z", *(" ".join(dict.fromkeys(f"w{R.randint(0, 9 * n)}" for _ in range(n))) for n in (5, 60, 127, 128, 129, 700))]
-    words = [sorted({w for t in texts for w in t.split()})]
-    hashed = spark.createDataFrame([(w,) for w in words[0]], "w string").select("w", F.xxhash64("w").alias("h0"), F.xxhash64("w", F.lit(1)).alias("h1")).collect()
-    of = {r["w"]: (r["h0"], r["h1"]) for r in hashed}
-
-    def majority(votes, bits):
-        return sum(1 << k for k, bit in enumerate(bits) if 2 * sum(v >> bit & 1 for v in votes) > len(votes))
-
-    for r in lines.simhash(spark.createDataFrame([(t,) for t in texts], "norm string")).collect():
-        votes = [of[w] for w in set(r["norm"].split())]
-        votes += [max(votes)] * (len(votes) % 2 == 0)
-        lo, hi = majority([v[0] for v in votes], range(64)), majority([v[1] for v in votes], [k for k in range(64) if k % 8 < 4])
-        assert (r["lo"] % 2**64, r["hi"]) == (lo, hi)
+def test_bins_against_the_optimum():
+    from collections import Counter
+
+    def least(items, room=100):
+        items, best = sorted(items, reverse=True), len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for j in sorted(set(bins)):
+                if j + items[i] <= room:
+                    rest = list(bins)
+                    rest.remove(j)
+                    go(i + 1, (*rest, j + items[i]))
+            go(i + 1, (*bins, items[i]))
+
+        go(0, ())
+        return best
+
+    for k in range(200):
+        items = [R.randint(1, 60) if k % 2 else R.randint(10, 50) for _ in range(R.randint(1, 11))]
+        plan = packing.plan_bins(Counter(items), 100)
+        used = Counter()
+        for times, pattern in plan.patterns:
+            assert sum(n * c for n, c in pattern) <= 100
+            for n, c in pattern:
+                used[n] += times * c
+        assert used == Counter(items) and plan.bins == plan.bound == least(items)
+    assert packing.plan_bins(Counter([46, 50, 40, 22, 27, 44, 19, 30, 40, 30, 16, 35]), 100).bins == 4
+    assert packing.plan_bins({1: 10**6}, 2048).bins == 489
+    assert packing.plan_bins({}, 2048).patterns == []
+
+
+def test_ids_of_every_character_are_the_tokenizers():
+    import public_tokenizers
+
+    enc = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert enc.fast is not None
+    for low in range(0, 0x110000, 97 * 64):
+        chars = [chr(c) for c in range(low, min(low + 64, 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c} {c}a{c}{c}1{c} 1 {c}  {c}\n" for c in chars) + "<|endoftext|>"
+        assert np.frombuffer(enc(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    text = " " * 300_000 + "a"
+    assert np.frombuffer(enc(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_many_empty_texts(spark):
+    import public_tokenizers
+
+    docs = spark.range(5000).selectExpr("id as doc_id", "if(id % 2 = 0, null, '') as text", "7 as length", "'x' as sequence_id")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(got) == 5000 and {r["sequences"] for r in got} == {3}
+    places = {(r["sequence_id"], r["offset"]) for r in got}
+    assert len(places) == 5000 and max(r["offset"] for r in got) == 2047
 
 
 def test_sharding(docs, none):

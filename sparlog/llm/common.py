@@ -13,10 +13,12 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a local session (tests) a temporary one where unset."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -90,3 +92,18 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     gone = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
     side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_IDS else gone
     return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]), "left_anti")
+
+
+def numbered(docs: DataFrame, name: str = "row_number_") -> DataFrame:
+    """``docs`` with a long ``name`` that tells apart what differs in doc_id or text, in order of doc_id (null first).
+
+    Where every row has a doc_id of its own, that is the number. Rows equal in
+    both columns share a number, as they share every decision.
+    """
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(docs["doc_id"])).first()
+    if n == ids:
+        return docs.withColumn(name, docs["doc_id"].cast("long"))
+    told = docs.withColumn("text_md5_", F.md5("text"))
+    rows = told.select(F.col("doc_id").alias("id_"), F.col("text_md5_").alias("md5_")).distinct().orderBy("id_", "md5_")
+    rows = cut(rows.withColumn(name, F.monotonically_increasing_id()))
+    return told.join(rows, told["doc_id"].eqNullSafe(rows["id_"]) & told["text_md5_"].eqNullSafe(rows["md5_"])).drop("id_", "md5_", "text_md5_")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_STATE = "doc_id long, text string, n_words long, hits array<int>, items array<string>, longest int, longest_item string, longest_at int"
+_STATE = "doc_id long, text string, n_words long, hits array<int>, items array<string>, longest int, longest_item string, longest_at int, longest_item_at int"
 _FINAL = ", n_hit long, items_sha256 string, contaminated boolean"
 
 
@@ -34,14 +34,14 @@ class _Windows:
 
     def __init__(self, items: list[tuple[str, str | None]], size: int):
         self.size, self.vocab = size, {}
-        owners: dict[tuple, set[str]] = {}
+        owners: dict[tuple, set[tuple[str, int]]] = {}
         for item, text in items:
             ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text))
             n = min(size, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                owners.setdefault(ids[i : i + n], set()).add(item)
+                owners.setdefault(ids[i : i + n], set()).add((item, i))
         self.windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
+        self.places = [sorted(owners[w]) for w in self.windows]  # (item, place in it)
         self.lengths = np.asarray([len(w) for w in self.windows], dtype=np.int64)
         grid = np.zeros((len(self.windows), size), dtype=">u4")
         for k, w in enumerate(self.windows):
@@ -87,7 +87,7 @@ def suffix_array(ids: np.ndarray, bench: _Windows) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(block: list[tuple[str, list[bytes]]], bench: _Windows) -> list[tuple]:
-    """For each document of the block: hit word runs (flat start, end), items, longest match (words, item, place)."""
+    """For each document of the block: hit word runs (flat start, end), items, longest match (words, item, place, place in the item)."""
     counts = np.asarray([len(w) for w in block], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 1)])
     get = bench.vocab.get
@@ -96,28 +96,28 @@ def _scan(block: list[tuple[str, list[bytes]]], bench: _Windows) -> list[tuple]:
         ids[starts[k] : starts[k] + counts[k]] = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     at, keys = suffix_array(ids, bench)
     lo, hi = np.searchsorted(keys, bench.low, "left"), np.searchsorted(keys, bench.high, "right")
-    found = [([], set(), (0, None, -1)) for _ in block]
+    found = [([], set(), (0, None, -1, -1)) for _ in block]
     hits: dict[int, list[tuple[int, int]]] = {}
     for w in np.flatnonzero(hi > lo):
         where = at[lo[w] : hi[w]]
         for p, k in zip(where.tolist(), (np.searchsorted(starts, where, "right") - 1).tolist(), strict=True):
             hits.setdefault(k, []).append((p - int(starts[k]), int(w)))
     for k, places in hits.items():
-        runs, items, best = [], set(), (0, None, -1)
-        live: dict[str, tuple[int, int]] = {}  # item -> place of its last window here and where that match began
+        runs, items, best = [], set(), (0, None, -1, -1)
+        live: dict[tuple[str, int], tuple[int, int]] = {}  # (item, place there) -> place here and where that match began
         for p, w in sorted(places):
             end = p + int(bench.lengths[w])
             if runs and p <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], end)
             else:
                 runs.append([p, end])
-            for item in bench.owners[w]:
-                last = live.get(item)
+            for item, i in bench.places[w]:
+                last = live.get((item, i - 1))  # a match goes on where it is next here and in the item
                 begin = last[1] if last and last[0] == p - 1 else p
-                live[item] = (p, begin)
+                live[item, i] = (p, begin)
+                items.add(item)
                 if end - begin > best[0]:
-                    best = (end - begin, item, begin)
-            items.update(bench.owners[w])
+                    best = (end - begin, item, begin, i - (p - begin))
         found[k] = ([x for r in runs for x in r], items, best)
     return found
 
@@ -127,10 +127,12 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words:
 
     ``docs``: (doc_id, text); ``benchmark``: (item_id, text). Returns doc_id,
     text, n_words, hits (flat word runs start, end), n_hit, items (sorted),
-    longest, longest_item, longest_at, contaminated (n_hit > 0 and
-    20 n_hit >= n_words). Null texts have no words; items without words match
+    longest, longest_item, longest_at and longest_item_at (words of the longest
+    verbatim match of a window or more, its item and its places here and
+    there), contaminated (n_hit > 0 and 20 n_hit >= n_words). Null texts have no words; items without words match
     nothing; ties for the longest match go to the earliest place; repeated
-    rows give repeated results; columns besides these are ignored.
+    rows give repeated results; an empty table gives no rows, and with an empty
+    benchmark nothing is hit; columns besides these are ignored.
 
     The benchmark is read in blocks of at most about ``block_bytes`` of text,
     each broadcast on its own, so its size is not bounded by one task.
@@ -139,7 +141,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    state = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(-1).alias("longest_at"))
+    state = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest"), F.lit(None).cast("string").alias("longest_item"), F.lit(-1).alias("longest_at"), F.lit(-1).alias("longest_item_at"))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(_Windows([(r[0], r[1]) for r in part.collect()], window))  # a block of bounded size
@@ -169,14 +171,14 @@ def _step(shared, shard_words: int, last: bool):
                         rows["hits"][k] = rows["hits"][k] + runs
                         rows["items"][k] = rows["items"][k] + sorted(items)
                         if best[0] > rows["longest"][k]:
-                            rows["longest"][k], rows["longest_item"][k], rows["longest_at"][k] = best
+                            rows["longest"][k], rows["longest_item"][k], rows["longest_at"][k], rows["longest_item_at"][k] = best
             yield _batch(_finish(rows) if last else rows)
 
     return work
 
 
 def _batch(rows: dict) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "text": pa.string(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "longest": pa.int32(), "longest_item": pa.string(), "longest_at": pa.int32(), "n_words": pa.int64(), "n_hit": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()}
+    kinds = {"doc_id": pa.int64(), "text": pa.string(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "longest": pa.int32(), "longest_item": pa.string(), "longest_at": pa.int32(), "longest_item_at": pa.int32(), "n_words": pa.int64(), "n_hit": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()}
     return pa.record_batch([pa.array(v, kinds[k]) for k, v in rows.items()], names=list(rows))
 
 

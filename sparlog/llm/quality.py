@@ -153,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 6
 
     ``docs``: (doc_id, text); ``labels``: (doc_id, quality). Their passages
     are encoded whole by Spark and the encodings are collected. Rows with a
-    null id or label teach nothing; without labels of both kinds every score
-    is one half or the labels' common value.
+    null id or label teach nothing, nor do labels of ids without a document;
+    without labels every score is one half, and with labels of one kind only
+    it is close to that.
     """
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
     told = cut(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -167,8 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 6
                 yield pa.record_batch([b.column("quality").slice(i, 1), pa.array([x.astype(np.float16).tobytes()], pa.binary())], names=["quality", "bag"])
 
     seen = rows.mapInArrow(work, "quality int, bag binary").collect()
-    model = Attention(WIDTH)
-    if not seen:
+    model, kinds = Attention(WIDTH), {r["quality"] for r in seen}
+    if len(kinds) < 2:  # nothing to tell apart
+        model.p["c"][:] = 0
+        model.p["c0"][:] = 0 if not kinds else (4 if kinds == {1} else -4)
         return model
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in seen]
     begin = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
@@ -177,7 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, epochs: int = 6
 
 
 def score(docs: DataFrame, model: Attention) -> DataFrame:
-    """doc_id, score, predicted, passages, focus (place of the passage with most weight) for every row of ``docs``."""
+    """doc_id, score, predicted, passages, focus (place of the passage with most weight) for every row of ``docs``.
+
+    A null or empty text is one blank passage; a text of any length is encoded
+    whole; repeated rows are scored each; an empty table gives no rows; columns
+    besides doc_id and text, whatever their names, are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):

@@ -35,7 +35,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(parts: int, kept: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == kept
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == kept, F.lit(False))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.match(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long) as n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at")
+    return found.selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long) as n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at", "longest_item_at")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

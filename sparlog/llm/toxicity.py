@@ -116,12 +116,19 @@ def decode_whole(token: str, lm: np.ndarray, size: int = 200, overlap: int = 80)
     return " ".join(found)
 
 
+def _spaced_out(tokens: list[str]) -> bool:
+    """Whether a single character stands between two others, signs beside them left out."""
+    single = [k for k, w in enumerate(tokens) if len(w) == 1]
+    return any(0 < k < len(tokens) - 1 and len(tokens[k - 1].strip(_STRIP)) == 1 == len(tokens[k + 1].strip(_STRIP)) for k in single)
+
+
 def words_of(text: str | None, lm: np.ndarray, known: dict[str, str] | None = None) -> tuple[set[str], dict[str, str]]:
     """(words of the restored text, disguised token -> word); known: a memory of decoded tokens."""
     if not text:
         return set(), {}
     low = text.lower()
-    raw = set(low.split())
+    tokens = low.split()
+    raw = set(tokens)
     known = {} if known is None else known
     words, restored = set(), {}
     odd = []
@@ -144,7 +151,7 @@ def words_of(text: str | None, lm: np.ndarray, known: dict[str, str] | None = No
                 odd.append(w)
     if _STRETCHED.search(low):
         odd += [s for s in words if _STRETCHED.search(s)]
-    if sum(len(w) == 1 for w in raw) >= 3:
+    if _spaced_out(tokens):
         odd += [m.group() for m in _SPACED.finditer(low)]
     for s in odd:
         if s not in known:
@@ -280,8 +287,10 @@ _SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sc
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, marks (chosen marks found), restored ("token>word" of toxic words that were disguised).
 
-    One row for every row of ``docs``; null and empty texts have the score of
-    a text without marks.
+    One row for every row of ``docs``, repeated rows too; null and empty texts
+    have the score of a text without marks; texts of any length are read whole;
+    an empty table gives no rows; columns besides doc_id and text, whatever
+    their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

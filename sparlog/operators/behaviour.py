@@ -37,18 +37,27 @@ step(
 step("b7_error_rate", lambda d: f"select count(*) as messages, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, round({d.bool_sum(d.matches('lower(content)', _REWORK))} / nullif(count(*) * 1e0, 0e0), 6) as rate from {{s6_messages}} where role = 'user'")
 step("phrases", "select phrase from (values " + ", ".join(f"('{p}')" for p in REWORK) + ") as t(phrase)", operator=False)
 step("b8_error_breakdown", "select p.phrase, count(m.content) as n from {phrases} p left join (select * from {s6_messages} where role = 'user') m on contains(lower(m.content), p.phrase) group by p.phrase")
-step("b9_high_error_sessions", lambda d: f"select session_id, hits, total, round(hits / (total * 1e0), 6) as rate from (select session_id, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, count(*) as total from {{s6_messages}} where role = 'user' group by session_id) where hits / (total * 1e0) >= 0.15e0")
+step("session_errors", lambda d: f"select session_id, hits, total, hits / (total * 1e0) as rate from (select session_id, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, count(*) as total from {{s6_messages}} where role = 'user' group by session_id)", operator=False)
+step("b9_high_error_sessions", "select session_id, hits, total, round(rate, 6) as rate from {session_errors} where rate >= $least_rate", least_rate=0.15)
 step("b10_style", "select m.role, m.messages, round(t.tokens / (m.messages * 1e0), 6) as mean_tokens, round(m.sentences / (m.messages * 1e0), 6) as mean_sentences, t.vocabulary from (select role, count(*) as messages, sum(greatest(1, length(content) - length(replace(replace(replace(content, '.', ''), '!', ''), '?', '')))) as sentences from {s6_messages} group by role) m join (select role, count(*) as tokens, count(distinct w) as vocabulary from {token_rows} group by role) t on m.role = t.role")
-step("b11_rework_label", "select session_id, case when rate > 0.15e0 then 'high' when rate > 0.05e0 then 'moderate' else 'healthy' end as label from {b9_high_error_sessions}")
-#: Labels and patterns of technologies (word boundaries are those of ASCII words).
+step("b11_rework_label", "select session_id, case when rate > 0.15e0 then 'high' when rate > 0.05e0 then 'moderate' else 'healthy' end as label from {session_errors}")
+#: Labels and patterns of technologies; those of the second list are looked for as they are spelt.
 TECH = (
-    ("Go", r"golang|go +(build|run|test|mod|install)"), ("TypeScript", "typescript|tsx?|ts-node"), ("JavaScript", "javascript|node[.]?js|nodejs|npm|yarn"), ("React", "react|jsx|tsx|next[.]?js|vite"),
+    ("Go", r"golang|go\s+(build|run|test|mod|install)"), ("TypeScript", "typescript|tsx?|ts-node"), ("JavaScript", r"javascript|node\.?js|nodejs|npm|yarn"), ("React", r"react|jsx|tsx|next\.?js|vite"),
     ("Python", "python|pip|pipx|pyenv|poetry|pyproject|venv"), ("Postgres", "postgres|postgresql|psql|pgcli"), ("MongoDB", "mongodb|mongosh|mongo"), ("Docker", "docker|colima|orbstack|dockerfile"),
-    ("Kubernetes", "kubectl|kubernetes|k8s|helm|stern|kubectx|k9s"), ("AWS", "aws|ec2|lambda|s3|eks|cloudformation|cloudwatch"), ("Terraform", "terraform|terragrunt|atmos|opentofu"), ("SQLite", "sqlite|fts5|modernc"), ("Git", "git|github|gh +(repo|pr|issue)"),
+    ("Kubernetes", "kubectl|kubernetes|k8s|helm|stern|kubectx|k9s"), ("AWS", "aws|ec2|lambda|s3|eks|cloudformation|cloudwatch"), ("Terraform", "terraform|terragrunt|atmos|opentofu"),
+    ("Bubble Tea", "bubble.?tea|lipgloss|charm"), ("SQLite", "sqlite|fts5|modernc"), ("Git", r"git|github|gh\s+(?:repo|pr|issue)"),
 )
-step("b12_detect_tech", lambda d: " union all ".join(f"select '{label}' as tech, count(*) as messages from {{s6_messages}} where {d.matches('lower(content)', '(^|[^0-9a-z_])(' + p + ')([^0-9a-z_]|$)')}" for label, p in TECH))
-step("b13_transcripts", lambda d: f"select session_id, {d.joined('line', 'ord')} as transcript from (select session_id, ord, role || ': ' || substring(content, 1, 800) as line, sum(least(length(content), 800)) over (partition by session_id order by ord rows unbounded preceding) as used, least(length(content), 800) as own from {{s6_messages}}) where used - own < 8000 group by session_id")
-step("b14_embedding_text", lambda d: f"select session_id, {d.joined('content', 'ord')} as body from (select session_id, ord, content, sum(length(content)) over (partition by session_id order by ord rows unbounded preceding) as used from {{s6_messages}} where role = 'user') where used - length(content) < 4000 group by session_id")
+TECH_AS_SPELT = (
+    ("Bun", r"bun(?:\s+(?:install|run|add|dev|build|x))?"), ("NestJS", "nest(?:js|js)?"), ("Tailwind", "tailwind(?:css)?"), ("Redis", "redis(?:-cli)?"), ("Vite", "vite"), ("Recharts", "recharts"), ("Ollama", "ollama"),
+    ("Obsidian", "obsidian"), ("Ghostty", "ghostty"), ("Hammerspoon", "hammerspoon"), ("Claude Code", "claude.?code"),
+)
+_TECH = [(label, rf"(?i)\b(?:{r})\b") for label, r in TECH] + [(label, rf"\b(?:{r})\b") for label, r in TECH_AS_SPELT]
+step("tech_counts", lambda d: f"select {d.table(('tech', 'found'), [(repr(label), d.count_matches('content', d.ascii_word(r))) for label, r in _TECH])} from {{tech_texts}}", operator=False)
+step("tech_texts", "select content from {s6_messages} union all select input_preview from {shell_commands}", operator=False)
+step("b12_detect_tech", "select tech, cast(sum(found) as bigint) as matches from {tech_counts} group by tech having sum(found) > 0 order by matches desc, tech")
+step("b13_transcripts", lambda d: f"select session_id, {d.lines('line', 'ord')} as transcript from (select session_id, ord, role || ': ' || substring(content, 1, 800) as line, sum(least(length(content), 800)) over (partition by session_id order by ord rows unbounded preceding) as used, least(length(content), 800) as own from {{s6_messages}}) where used - own < 8000 group by session_id")
+step("b14_embedding_text", lambda d: f"select session_id, substring({d.lines('content', 'ord')}, 1, $most_chars) as body from (select session_id, ord, content, sum(length(content)) over (partition by session_id order by ord rows unbounded preceding) as used from {{s6_messages}} where role = 'user') where used - length(content) < $most_chars group by session_id", most_chars=4000)
 step(
     "b15_insight_evidence",
     """select 'word' as kind, w as item, n from (select w, n from {b2_top_words} order by n desc, w limit 15) union all select 'bigram', gram, n from (select gram, n from {b4_top_bigrams} order by n desc, gram limit 10)
@@ -56,19 +65,36 @@ step(
 )
 step("b16_knowledge_inputs", "select session_id, ord, substring(content, 1, 200) as content, case when f <= 5 then 'first' else 'last' end as side from (select *, row_number() over (partition by session_id order by ord) as f, row_number() over (partition by session_id order by ord desc) as l from {s6_messages} where role = 'user' and substring(content, 1, 1) <> '<') where f <= 5 or l <= 5")
 
-step("r1_detect_loops", lambda d: f"select session_id, tool_name, input_hash, count(*) as n, {d.us('min(ts)', 'max(ts)')} as span_us, max(input_preview) as preview from {{tool_events}} group by session_id, tool_name, input_hash having count(*) >= 2 and {d.us('min(ts)', 'max(ts)')} > 0 and {d.us('min(ts)', 'max(ts)')} <= 36000000000 order by n desc, span_us, session_id, tool_name, input_hash limit 50")
+
+
+def _loops(d, count: str, seconds: str) -> str:
+    span = d.us("min(ts)", "max(ts)")
+    return f"select session_id, tool_name, input_hash, count(*) as n, {span} as span_us, max(input_preview) as preview from {{tool_events}} group by session_id, tool_name, input_hash having count(*) >= {count} and {span} > 0 and {span} <= cast({seconds} as bigint) * 1000000"
+
+
+step("r1_detect_loops", lambda d: _loops(d, "$min_count", "$window_s") + " order by n desc, span_us, session_id, tool_name, input_hash limit 50", min_count=3, window_s=300)
 step("r2_file_reuse", "select file_path, count(distinct session_id) as sessions, cast(sum(op_count) as bigint) as ops from {session_files} group by file_path having count(distinct session_id) >= 2 order by sessions desc, ops desc, file_path limit 20")
-step("r3_rule_file_reuse", "select 'skill_file' as rule, cast(file_path as varchar(20)) as title, sessions * 10 as score from {r2_file_reuse} where sessions >= 3 order by sessions desc, ops desc, file_path limit 10".replace("varchar(20)", "string"))
-step("r4_rule_hook", "select 'hook' as rule, input_hash as title, n * 8 as score from {r1_detect_loops} where tool_name = 'click'")
-step("r5_rule_downgrade", "select 'downgrade' as rule, 'opus' as title, cast(round(sum(cost_usd) * 5) as bigint) as score from {p1_session_cost} where contains(model, 'opus') and message_count <= 10 and output_tokens <= 50000 and cost_usd >= 0.1e0 having count(*) >= 3")
+step("r3_rule_file_reuse", "select 'skill_file' as rule, cast(file_path as varchar(20)) as title, sessions * 10 as score, sessions as strength from {r2_file_reuse} where sessions >= 3 order by sessions desc, ops desc, file_path limit 10".replace("varchar(20)", "string"))
+step("hook_loops", lambda d: _loops(d, "$hook_count", "$hook_window_s") + " and tool_name = '$hook_tool' order by n desc, span_us, session_id, tool_name, input_hash limit 50", operator=False, hook_count=3, hook_window_s=3600, hook_tool="Bash")
+step("r4_rule_hook", "select 'hook' as rule, input_hash as title, n * 8 as score, n as strength from {hook_loops}")
+step("r5_rule_downgrade", "select 'downgrade' as rule, 'opus' as title, cast(round(sum(cost_usd) * 5) as bigint) as score, 4 as strength from {p1_session_cost} where contains(model, 'opus') and message_count <= 10 and output_tokens <= 50000 and cost_usd >= 0.1e0 having count(*) >= 3")
 step(
     "j4_reads_within_5_minutes",
-    lambda d: "select session_id, cast(sum(pairs) as bigint) as pairs from (select session_id, count(*) over (partition by session_id order by us range between 1 following and 300000000 following) as pairs from (select session_id, " + d.us("timestamp '2024-01-01 00:00:00'", "ts") + " as us from {tool_events} where tool_name = 'view')) group by session_id having sum(pairs) > 0",
+    lambda d: "select session_id, cast(sum(pairs) as bigint) as pairs from (select session_id, count(*) over (partition by session_id order by us range between 1 following and 300000000 following) as pairs from (select session_id, " + d.us("timestamp '2024-01-01 00:00:00'", "ts") + " as us from {tool_events} where tool_name = '$read_tool')) group by session_id having sum(pairs) > 0",
+    read_tool="Read",
 )
-step("r6_rule_subagent", "select 'subagent' as rule, session_id as title, pairs as score from {j4_reads_within_5_minutes} where pairs >= 1 order by pairs desc, session_id limit 5")
-step("r7_rule_context", "select 'context' as rule, head as title, count(*) * 6 as score from (select lower(substring(trim(first_user_msg), 1, 60)) as head from {sessions}) group by head having count(*) >= 3")
-step("r8_rule_loop_skill", "select 'loop_skill' as rule, tool_name || ' ' || input_hash as title, n * 7 as score from {r1_detect_loops} where tool_name <> 'click'")
+step("r6_rule_subagent", "select 'subagent' as rule, session_id as title, pairs as score, 4 as strength from {j4_reads_within_5_minutes} where pairs >= $min_pairs order by pairs desc, session_id limit 5", min_pairs=30)
+step("r7_rule_context", "select 'context' as rule, head as title, count(*) * 6 as score, count(*) as strength from (select lower(substring(trim(first_user_msg), 1, 60)) as head from {sessions}) group by head having count(*) >= 3")
+step("skill_loops", lambda d: _loops(d, "$skill_count", "$skill_window_s") + " and tool_name <> '$hook_tool' order by n desc, span_us, session_id, tool_name, input_hash limit 50", operator=False, skill_count=5, skill_window_s=3600)
+step("r8_rule_loop_skill", "select 'loop_skill' as rule, tool_name || ' ' || input_hash as title, n * 7 as score, 7 as strength from {skill_loops}")
 #: Commands that a tool would do better, and how many make a case.
 CLI = (("gh", ("api.github.com", "raw.githubusercontent.com"), 3), ("gh + git aliases", ("git diff --name-only", "git log --pretty="), 5), ("fd", ('find . -name "*', "find . -type f"), 4), ("rg (ripgrep)", ("grep -r", "grep -R"), 4), ("jq (já é CLI)", ("jq -r", "jq ''.["), 8), ("httpie ou xh", ("curl http", "wget http"), 5), ("lazydocker", ("docker run -it", "docker exec -it"), 4), ("k9s", ("kubectl get", "kubectl describe"), 5))
-step("r9_rule_cli", lambda d: " union all ".join(f"select 'cli' as rule, '{cli}' as title, count(*) * 4 as score from {{tool_events}} where " + " or ".join(f"contains(input_preview, '{p}')" for p in pats) + f" having count(*) >= {least}" for cli, pats, least in CLI))
-step("r10_advise", "select rule, title, score, case when score >= 70 then 'high' when score >= 40 then 'medium' else 'low' end as confidence from (" + " union all ".join(f"select rule, title, cast(score as bigint) as score from {{{r}}}" for r in ("r3_rule_file_reuse", "r4_rule_hook", "r5_rule_downgrade", "r6_rule_subagent", "r7_rule_context", "r8_rule_loop_skill", "r9_rule_cli")) + ")")
+_MET = [" or ".join(f"contains(input_preview, '{p}')" for p in pats) for _, pats, _ in CLI]
+step("cli_counts", lambda d: f"select {d.table(('title', 'least', 'met'), [(repr(cli), str(least), f'case when {met} then 1 else 0 end') for (cli, _, least), met in zip(CLI, _MET, strict=True)])} from {{shell_commands}} where tool_name = '$hook_tool'", operator=False)
+step("r9_rule_cli", lambda d: f"select 'cli' as rule, title, cast(sum(met) as bigint) * 4 as score, cast({d.floor_div('cast(sum(met) as bigint)', '2')} as bigint) as strength from {{cli_counts}} group by title, least having sum(met) >= least")
+step("r10_advise", "select rule, title, score, case when strength >= 7 then 'high' when strength >= 4 then 'medium' else 'low' end as confidence from (" + " union all ".join(f"select rule, title, cast(score as bigint) as score, cast(strength as bigint) as strength from {{{r}}}" for r in ("r3_rule_file_reuse", "r4_rule_hook", "r5_rule_downgrade", "r6_rule_subagent", "r7_rule_context", "r8_rule_loop_skill", "r9_rule_cli")) + ") order by score desc, rule, title")
+step(
+    "r11_meta_report",
+    lambda d: f"""select 'file' as part, {d.text('file_path')} as item, cast(sessions as double) as n from {{r2_file_reuse}} union all select 'ticket', coalesce(ticket, ''), cast(cost_usd as double) from {{c11_cost_by_ticket}}
+    union all select 'loop', session_id || ' ' || tool_name || ' ' || input_hash, cast(n as double) from {{r1_detect_loops}}""",
+)

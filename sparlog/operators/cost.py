@@ -96,7 +96,16 @@ step(
     round(max(case when cr = {d.floor_div("n", "2")} + 1 then cost end), 8) as median_cost, max(case when dr = {d.floor_div("n", "2")} + 1 then duration_us end) as median_duration_us
     from {{recent_30}} group by project_dir having max(n) >= 3""",
 )
-step("c16_project_history", lambda d: f"select project_dir, cast(floor({d.us('start_time', AS_OF)} / 8.64e10) as bigint) as days_ago, count(*) as sessions from {{sessions}} where start_time >= {AS_OF} - interval 14 day group by 1, 2")
+step(
+    "c16_project_history",
+    lambda d: f"""select g.project_dir, g.days_ago, count(s.session_id) as sessions from (select project_dir, {d.ints('0', '$history_days - 1')} as days_ago from (select distinct project_dir from {{sessions}})) g
+    left join (select project_dir, session_id, cast(floor({d.us('start_time', AS_OF)} / 8.64e10) as bigint) as days_ago from {{sessions}}) s on s.project_dir = g.project_dir and s.days_ago = g.days_ago group by g.project_dir, g.days_ago""",
+    history_days=14,
+)
+step("p9_delta_label", lambda d: f"select session_id, case when base = 0e0 or base is null then '' when (now - base) / base * 100 > 50 then '↑↑' when (now - base) / base * 100 > 10 then '↑' when (now - base) / base * 100 < -50 then '↓↓' when (now - base) / base * 100 < -10 then '↓' else '=' end as delta from (select s.session_id, s.message_count * 1e0 as now, b.median_messages * 1e0 as base from {{sessions}} s left join {{c15_baseline}} b on s.project_dir = b.project_dir)")
+step("p11_title_for", lambda d: f"select session_id, coalesce(nullif(trim(substring(head, 1, case when cut > 0 then cut - 1 else 200 end)), ''), '(untitled)') as title from (select session_id, head, {d.position(repr('. '), 'head')} as cut from (select session_id, substring(coalesce(solution, problem, ''), 1, 200) as head from {{knowledge}}))")
+step("p14_model_family", lambda d: f"select session_id, case when contains(lower(model), 'opus') then 'opus' when contains(lower(model), 'sonnet') then 'sonnet' when contains(lower(model), 'haiku') then 'haiku' else 'other' end as family, {d.extract('git_branch', '^[^/-]+')} as branch_kind from {{sessions}}")
+step("p15_tool_category", "select tool_name, case when tool_name in ('Bash', 'purchase') then 'execution' when tool_name in ('Edit', 'Write', 'MultiEdit', 'NotebookEdit', 'click') then 'edit' when tool_name in ('Read', 'Grep', 'Glob', 'view') then 'read' else 'other' end as category, sum(calls) as calls from {s8_tool_calls} group by tool_name")
 step(
     "p8_session_detail",
     lambda d: f"""select session_id, round(cache_read_tokens / nullif(cache_read_tokens + input_tokens, 0e0), 8) as cache_hit_ratio,

@@ -16,8 +16,8 @@ step(
     join (select query_id as qid, count(distinct term) as wanted from {search_terms} group by query_id) w on w.qid = s.query_id and w.wanted = s.hit) where place <= 100""",
 )
 step("q3_search_exact", "select b.query_id, b.session_id, b.ord from {q2_search_bm25} b join {s6_messages} m on b.session_id = m.session_id and b.ord = m.ord join (select query_id, min(term) as term from {search_terms} group by query_id) t on t.query_id = b.query_id where contains(lower(m.content), t.term)")
-step("q4_search_like", "select session_id, ord from {s6_messages} where contains(lower(content), 'tion') order by session_id, ord limit 100")
-step("q5_search_metadata", "select session_id, case when contains(lower(project_dir), '3') then 'project' when contains(lower(coalesce(git_branch, '')), '3') then 'branch' when contains(lower(model), '3') then 'model' when contains(lower(first_user_msg), '3') then 'first message' else 'last message' end as field from {sessions} where contains(lower(project_dir), '3') or contains(lower(coalesce(git_branch, '')), '3') or contains(lower(model), '3') or contains(lower(first_user_msg), '3') or contains(lower(last_user_msg), '3')")
+step("q4_search_like", "select session_id, ord from {s6_messages} where contains(lower(content), lower('$text')) order by session_id, ord limit 100", text="error")
+step("q5_search_metadata", "select session_id, case when contains(lower(project_dir), lower('$text')) then 'project' when contains(lower(coalesce(git_branch, '')), lower('$text')) then 'branch' when contains(lower(model), lower('$text')) then 'model' when contains(lower(first_user_msg), lower('$text')) then 'first message' else 'last message' end as field from {sessions} where contains(lower(project_dir), lower('$text')) or contains(lower(coalesce(git_branch, '')), lower('$text')) or contains(lower(model), lower('$text')) or contains(lower(first_user_msg), lower('$text')) or contains(lower(last_user_msg), lower('$text'))")
 step("w7_first_match", "select query_id, session_id, ord, more from (select query_id, session_id, ord, row_number() over (partition by query_id, session_id order by place) as k, count(*) over (partition by query_id, session_id) - 1 as more from {q2_search_bm25}) where k = 1")
 step("q7_query_type", lambda d: f"select session_id, ord, case when length(trim(content)) - length(replace(trim(content), ' ', '')) >= 5 then 'dense' when {d.matches('content', '[a-z][A-Z]|_|::')} then 'bm25' else 'balanced' end as kind from {{s6_messages}} where role = 'user'")
 step("vector_queries", "select session_id as query_id, embedding from {vectors} where session_id % 20 = 0", operator=False)
@@ -27,21 +27,40 @@ step(
     select q.query_id, v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
     from {{vectors}} v cross join {{vector_queries}} q where q.query_id <> v.session_id)) where place <= 10""",
 )
+step(
+    "q13_similar_to_vector",
+    lambda d: f"""select session_id, sim from (select v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
+    from {{vectors}} v cross join (select embedding from {{vectors}} where session_id = $like_session) q) where sim > $least_sim order by sim desc, session_id limit $nearest""",
+    like_session=0, least_sim=0, nearest=30,
+)
+step(
+    "q14_retrieve_context",
+    lambda d: f"""select q.session_id, q.sim, 'Problem: ' || coalesce(k.problem, '') || ' Solution: ' || coalesce(k.solution, '') as context from (select session_id, sim from {{q13_similar_to_vector}} where sim > 0 order by sim desc, session_id limit $contexts) q left join {{knowledge}} k on k.session_id = q.session_id""",
+    contexts=8,
+)
+step("q6_search_hybrid", "select session_id, 'metadata' as source, field as place_found from {q5_search_metadata} union all select " + "session_id_text, 'body', 'message' from {body_hits}")
+step("body_hits", lambda d: f"select {d.text('session_id')} as session_id_text, count(*) - 1 as more from {{s6_messages}} where contains(lower(content), lower('$text')) group by session_id", operator=False)
 step("q8_rrf_merge", """select query_id, session_id, round(sum(weight / (60 + place)), 9) as score, count(*) as sources from (select query_id, session_id, place, 1.5e0 as weight from (select query_id, session_id, row_number() over (partition by query_id order by min(place), session_id) as place from {q2_search_bm25} group by query_id, session_id)
     union all select query_id, session_id, place, 0.5e0 from {q12_similar_sessions}) group by query_id, session_id""")
 step("q9_search_rrf", "select query_id, session_id, score, place from (select *, row_number() over (partition by query_id order by score desc, session_id) as place from {q8_rrf_merge}) where place <= 50")
 step("q10_explain", "select q.query_id, q.session_id, q.place, b.ord is not null as by_words, s.sim from {q9_search_rrf} q left join {w7_first_match} b on q.query_id = b.query_id and q.session_id = b.session_id left join {q12_similar_sessions} s on q.query_id = s.query_id and q.session_id = s.session_id")
 step("q16_exemplars", lambda d: f"""select label, session_id, k from (select v.label, v.session_id, row_number() over (partition by v.label order by round({d.dot("v.embedding", "c.embedding")} / nullif(sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) desc, v.session_id) as k from {{vectors}} v join {{centres}} c on v.label = c.label) where k <= 5""")
-step("centres", lambda d: "select label, embedding from (select label, embedding, row_number() over (partition by label order by session_id) as k from {vectors}) where k = 1", operator=False)
+step("centres", lambda d: d.mean_vector("{vectors}", "label"), operator=False)  # the mean of all members
 step("q17_cluster_members", lambda d: f"select label, count(*) as members, {d.joined('session_id', 'session_id')} as ids from {{vectors}} where label >= 0 group by label")
 step("q18_index_health", "select count(*) as documents, count(l.doc_id) as labelled from {documents} d left join {labels} l on d.doc_id = l.doc_id")
 
-step("knowledge_words", lambda d: f"select session_id, lang, generated_at, w from (select session_id, lang, generated_at, {d.unnest('words')} as w from {{knowledge}}) where length(w) >= 6", operator=False)
-step("k1_top_patterns", "select w, count(*) as n, count(distinct session_id) as sessions from {knowledge_words} group by w order by n desc, w limit 20")
-step("k2_decision_history", "select session_id, generated_at, substring(text, 1, 60) as decision from {knowledge} where text <> '' order by generated_at desc, session_id limit 50")
-step("k4_open_questions", "select session_id, greatest(0, 1000 - generated_at) as age from {knowledge} where contains(text, '?') or contains(text, '!') order by age desc, session_id limit 30")
-step("k6_knowledge_of", lambda d: f"select session_id, lang, {d.size('words')} as n_words, substring(text, 1, 40) as problem from {{knowledge}} where session_id % 20 = 0")
+step("patterns", lambda d: f"select session_id, generated_at, trim(p) as p from (select session_id, generated_at, {d.unnest('code_patterns')} as p from (select k.session_id, k.generated_at, string_split as code_patterns from {{session_words}} s join {{knowledge}} k on k.session_id = s.session_id)) where trim(p) <> ''", operator=False)
+step("session_words", lambda d: f"select session_id, {'split' if d.name == 'spark' else 'string_split'}(content, ' ') as string_split from {{s6_messages}} where role = 'assistant'", operator=False)
+# counted by spelling and session first, so that a frequent pattern is summed and never gathered
+step("pattern_sessions", "select lower(p) as norm, session_id, p, max(generated_at) as generated_at, count(*) as n from {patterns} group by lower(p), session_id, p", operator=False)
+step("k1_top_patterns", lambda d: f"select max_by(p, {d.row('generated_at', '-session_id', 'p')}) as pattern, cast(sum(n) as bigint) as n, count(distinct session_id) as sessions from {{pattern_sessions}} group by norm order by n desc, norm limit $patterns", patterns=20)
+step("decisions", lambda d: f"select session_id, generated_at, {d.unnest('decisions')} as decision from {{knowledge}}", operator=False)
+step("k2_decision_history", "select session_id, generated_at, decision from {decisions} where trim(decision) <> '' order by generated_at desc, session_id, decision limit $decisions", decisions=50)
+step("questions", lambda d: f"select session_id, generated_at, {d.unnest('open_questions')} as question from {{knowledge}}", operator=False)
+step("k4_open_questions", lambda d: f"select session_id, question, greatest(0, cast(floor(($as_of_s - generated_at) / 86400e0) as bigint)) as age_days from {{questions}} where trim(question) <> '' order by age_days desc, session_id, question limit $questions", as_of_s=1706659200, questions=30)
+step("k5_knowledge_aggregate", lambda d: f"select 'pattern' as part, pattern as item, n from {{k1_top_patterns}} union all select 'decision', decision, session_id from {{k2_decision_history}} union all select 'question', question, age_days from {{k4_open_questions}} union all select 'sessions', '', count(*) from {{knowledge}}")
+step("k6_knowledge_of", lambda d: f"select session_id, generated_at, problem, solution, {d.size('decisions')} as n_decisions, {d.size('open_questions')} as n_questions from {{knowledge}} where {'startswith' if d.name == 'spark' else 'starts_with'}({d.text('session_id')}, '$session') order by generated_at desc, session_id", session="")
 step("k7_standup_timeline", lambda d: f"select cast(start_time as date) as day, session_id, '- ' || substring(first_user_msg, 1, 40) as line, row_number() over (partition by cast(start_time as date) order by start_time, session_id) as place from {{sessions}}")
 step("k8_standup_project", "select project_dir, session_id, cost_usd, row_number() over (partition by project_dir order by coalesce(cost_usd, 0e0) desc, session_id) as place, round(sum(coalesce(cost_usd, 0e0)) over (partition by project_dir), 8) as project_usd from {p1_session_cost}")
-step("k9_standup_editorial", "select 1 as section, session_id, substring(text, 1, 60) as line from {knowledge} where contains(text, '.') union all select 2, session_id, substring(text, 1, 60) from {knowledge} where contains(text, '|') union all select 3, session_id, substring(text, 1, 60) from {knowledge} where contains(text, '!')")
+step("k9_standup_editorial", "select 1 as section, session_id, coalesce(solution, problem) as line from {knowledge} where coalesce(solution, problem) is not null union all select 2, session_id, decision from {decisions} where trim(decision) <> '' union all select 3, session_id, question from {questions} where trim(question) <> ''")
 step("k10_insights", "select source, doc_id, n_chars from (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id desc) as k from {documents} where lang = 'en') where k <= 20")

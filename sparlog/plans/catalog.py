@@ -31,7 +31,14 @@ class Spark:
     matches = staticmethod(lambda s, r: f"({s} rlike '{r}')")
     extract = staticmethod(lambda s, r: f"regexp_extract({s}, '{r}', 0)")
     words = staticmethod(lambda s: f"regexp_extract_all({s}, '(?<![0-9A-Za-z_])[A-Za-z]+(?![0-9A-Za-z_])', 0)")
-    joined = staticmethod(lambda x, order: f"array_join(transform(array_sort(collect_list(struct({order} as o, {x} as x))), s -> s.x), ',')")
+    joined = staticmethod(lambda x, order, by=",": f"array_join(transform(array_sort(collect_list(struct({order} as o, {x} as x))), s -> s.x), '{by}')")
+    text = staticmethod(lambda x: f"cast({x} as string)")
+    list = staticmethod(lambda x, order, where: f"transform(array_sort(collect_list(struct({order} as o, {x} as x)) filter (where {where})), s -> s.x)")
+    table = staticmethod(lambda names, rows: "inline(array(" + ", ".join(f"struct({', '.join(r)})" for r in rows) + f")) as ({', '.join(names)})")
+    ascii_word = staticmethod(lambda r: r.replace("\\", "\\\\"))
+    lines = staticmethod(lambda x, order: Spark.joined(x, order, "\\n"))
+    count_matches = staticmethod(lambda s, r: f"regexp_count({s}, '{r}')")
+    mean_vector = staticmethod(lambda pairs, by: f"select {by}, transform(array_sort(collect_list(struct(i, m))), x -> x.m) as embedding from (select {by}, i, avg(cast(x as double)) as m from (select {by}, posexplode(embedding) as (i, x) from {pairs}) group by {by}, i) group by {by}")
     joined_set = staticmethod(lambda x: f"array_join(array_sort(collect_set({x})), ',')")
     log2 = staticmethod(lambda x: f"log2({x})")
     day_text = staticmethod(lambda d: f"cast({d} as string)")
@@ -60,7 +67,14 @@ class Duck(Spark):
     matches = staticmethod(lambda s, r: f"regexp_matches({s}, '{r}')")
     extract = staticmethod(lambda s, r: f"regexp_extract({s}, '{r}', 0)")
     words = staticmethod(lambda s: f"regexp_extract_all({s}, '\\b[A-Za-z]+\\b', 0)")
-    joined = staticmethod(lambda x, order: f"array_to_string(list({x} order by {order}, {x}), ',')")
+    joined = staticmethod(lambda x, order, by=",": f"array_to_string(list({x} order by {order}, {x}), '{by}')")
+    text = staticmethod(lambda x: f"cast({x} as varchar)")
+    list = staticmethod(lambda x, order, where: f"coalesce(list({x} order by {order}, {x}) filter (where {where}), [])")
+    table = staticmethod(lambda names, rows: "unnest([" + ", ".join("{" + ", ".join(f"'{n}': {v}" for n, v in zip(names, r, strict=True)) + "}" for r in rows) + "], recursive := true)")
+    ascii_word = staticmethod(lambda r: r)
+    lines = staticmethod(lambda x, order: f"array_to_string(list({x} order by {order}, {x}), chr(10))")
+    count_matches = staticmethod(lambda s, r: f"len(regexp_extract_all({s}, '{r}'))")
+    mean_vector = staticmethod(lambda pairs, by: f"select {by}, list(m order by i) as embedding from (select {by}, i, avg(cast(x as double)) as m from (select {by}, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from {pairs}) group by {by}, i) group by {by}")
     joined_set = staticmethod(lambda x: f"array_to_string(list_sort(list(distinct {x})), ',')")
     last_day = staticmethod(lambda d: f"last_day({d})")
     position = staticmethod(lambda needle, s: f"position({needle} in {s})")
@@ -73,11 +87,15 @@ class Duck(Spark):
 
 Step = Callable[[type[Spark]], str]
 STEPS: dict[str, Step] = {}
+#: Parameters, named in a step's text with a dollar sign, and their defaults.
+DEFAULTS: dict[str, object] = {}
 #: Names of the steps that are operators of their own.
 OPERATORS: list[str] = []
 
 
-def step(name: str, text: Step | str, operator: bool = True) -> None:
+def step(name: str, text: Step | str, /, operator: bool = True, **defaults: object) -> None:
+    """Add a step; ``defaults`` are parameters that its text names. Text parameters stand between quotes there."""
+    DEFAULTS.update(defaults)
     STEPS[name] = (lambda d, t=text: t) if isinstance(text, str) else text
     if operator:
         OPERATORS.append(name)
@@ -87,27 +105,49 @@ def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-def frame(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], made: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The DataFrame of a step; ``tables`` holds input tables, or any step that is to be replaced by a given DataFrame."""
+def _text(name: str, dialect: type[Spark], arguments: Mapping[str, object]) -> str:
+    """A step's text with the arguments in place of its parameters; quotes in text arguments are doubled."""
+
+    def value(m: re.Match) -> str:
+        if m[1] not in DEFAULTS:
+            return m[0]
+        v = arguments.get(m[1], DEFAULTS[m[1]])
+        if not isinstance(v, (int, float, str)) or isinstance(v, bool):
+            raise TypeError(f"{m[1]}: a number or a text, not {v!r}")
+        if isinstance(v, str) and isinstance(DEFAULTS[m[1]], (int, float)):
+            raise TypeError(f"{m[1]}: a number, not {v!r}")
+        return str(v).replace("\\", "").replace("'", "''").replace("{", "").replace("}", "")
+
+    return re.sub(r"\$([a-z]\w*)", value, STEPS[name](dialect))
+
+
+def frame(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], made: dict[str, DataFrame] | None = None, **arguments: object) -> DataFrame:
+    """The DataFrame of a step; ``tables`` holds input tables, or any step that is to be replaced by a given DataFrame.
+
+    ``arguments`` replace defaults of the parameters that the step, or a step
+    below it, names; an unknown one is an error.
+    """
+    if unknown := arguments.keys() - DEFAULTS.keys():
+        raise TypeError(f"no such parameters: {sorted(unknown)}")
     made = {} if made is None else made
     if name in tables:
         return tables[name]
     if name not in made:
-        text = STEPS[name](Spark)
-        made[name] = spark.sql(text, **{n: frame(spark, n, tables, made) for n in needs(text)})
+        text = _text(name, Spark, arguments)
+        made[name] = spark.sql(text, **{n: frame(spark, n, tables, made, **arguments) for n in needs(text)})
     return made[name]
 
 
-def sql(name: str) -> str:
+def sql(name: str, **arguments: object) -> str:
     """One statement for the checking engine, over its tables."""
     order: list[str] = []
 
     def visit(n: str) -> None:
         if n in STEPS and n not in order:
-            for m in needs(STEPS[n](Duck)):
+            for m in needs(_text(n, Duck, arguments)):
                 visit(m)
             order.append(n)
 
     visit(name)
-    parts = [f"{n}_ as ({re.sub(r'\{(\w+)\}', lambda m: m[1] + '_' if m[1] in STEPS else m[1], STEPS[n](Duck))})" for n in order]
+    parts = [f"{n}_ as ({re.sub(r'\{(\w+)\}', lambda m: m[1] + '_' if m[1] in STEPS else m[1], _text(n, Duck, arguments))})" for n in order]
     return f"with {', '.join(parts)} select * from {name}_"

@@ -26,6 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _shared(spark: SparkSession) -> str:
     """A folder for what streams write: the cluster's shared one, or a temporary one where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/streams" if base else "file://" + tempfile.mkdtemp(prefix="spark-streams-")
 
 
@@ -110,7 +112,39 @@ def st7_windowed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_micros("start").alias("start_us"), "tool_name", "calls")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("text", "turn").alias("title"))
+
+
+def s16_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the conversations gets new rows, and a fifth is removed."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turns")
+    return logs.upsert(rows, rows.where("conv_id % 3 = 0").selectExpr("conv_id", "turns + 100 as turns"), "conv_id", removed=rows.where("conv_id % 5 = 0").select("conv_id"))
+
+
+def s17_merge_keep_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates without a title or a number keep what was there; half of the conversations are updated, a seventh is new."""
+    rows = _turns(spark, sf_dir)
+    updates = rows.where("conv_id % 2 = 0").selectExpr("conv_id", "if(conv_id % 4 = 0, null, turns + 100) as turns", "if(conv_id % 6 = 0, '', upper(title)) as title")
+    return logs.merge_keep_nonempty(rows.where("conv_id % 7 <> 0"), updates, "conv_id", ("title",), ("turns",))
+
+
+def s18_stale_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _turns(spark, sf_dir).selectExpr("conv_id as session_id", "turns as mtime")
+    return logs.stale_cache(found, found.where("session_id % 3 <> 0").selectExpr("session_id", "if(session_id % 5 = 0, mtime - 1, mtime) as jsonl_mtime", "if(session_id % 7 = 0, '', 'told') as summary"))
+
+
+def st4_chosen_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.chosen_tools(_table(spark, sf_dir, "events").withColumnRenamed("event_type", "tool_name"), exclude=("view",)).groupBy("tool_name").agg(F.count("*").alias("calls"))
+
+
+def st7_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as session_id", "cast(ts as timestamp) as ts")
+    return live.bursts(rows, "6 hours").select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "calls")
+
+
 _ALL = (
+    s16_upsert, s17_merge_keep_nonempty, s18_stale_cache, st4_chosen_tools, st7_bursts,
     s4_sessions_from_events, s6_messages_from_events, s7_ledger_from_events, s9_tool_events_from_events, s12_file_ops_from_events, s14_ingest_filter,
     s15_incremental_plan, p17_export_sessions, b17_parse_model_json, q15_kmeans_topics, st2_stream_loops, st7_windowed_usage,
 )
@@ -129,7 +163,17 @@ max(n) filter (role = 'user' and regexp_matches(lower(text), '{_PHRASES}')) as r
 _WARM = "|".join(logs.WARMUP_PHRASES)
 _INPUT = """'{"file_path":"/f/' || event_id % 50 || '","props":' || to_json(props) || '}'"""
 
+_TURNS = "(select conv_id, count(*) as turns, arg_min(text, turn) as title from conversations group by conv_id)"
+
 _SQL = {
+    "s16_upsert": f"select conv_id, case when conv_id % 3 = 0 then turns + 100 else turns end as turns from {_TURNS} where conv_id % 3 = 0 or conv_id % 5 <> 0",
+    "s17_merge_keep_nonempty": f"""select conv_id, case when conv_id % 2 = 0 and conv_id % 4 <> 0 then turns + 100 when conv_id % 7 <> 0 then turns end as turns,
+case when conv_id % 2 = 0 and conv_id % 6 <> 0 then coalesce(nullif(upper(title), ''), case when conv_id % 7 <> 0 then title end) when conv_id % 7 <> 0 then title end as title from {_TURNS} where conv_id % 7 <> 0 or conv_id % 2 = 0""",
+    "s18_stale_cache": f"select conv_id as session_id, turns as mtime from {_TURNS} where conv_id % 3 = 0 or conv_id % 5 = 0 or conv_id % 7 = 0",
+    "st4_chosen_tools": "select event_type as tool_name, count(*) as calls from events where event_type <> 'view' group by event_type",
+    "st7_bursts": """with e as (select user_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as before from events),
+b as (select *, sum(case when before is null or us - before >= 21600000000 then 1 else 0 end) over (partition by user_id order by us rows unbounded preceding) as burst from e)
+select cast(user_id as varchar) as session_id, min(us) as start_us, max(us) + 21600000000 as end_us, count(*) as calls from b group by user_id, burst""",
     "s4_sessions_from_events": _SESSIONS,
     "s6_messages_from_events": f"select cast(conv_id as varchar) as session_id, turn, role, text from ({_said()}) where text <> ''",
     "s7_ledger_from_events": f"select '/logs/-p/' || conv_id || '.jsonl' as file_path, row_number() over (partition by conv_id order by turn) - 1 as idx, role, text from ({_said()}) where text <> ''",

@@ -12,6 +12,22 @@ from . import catalog
 TABLES = ("customer", "conversations", "documents", "embeddings", "events", "labels", "lineitem")
 
 
+#: What the registered queries ask on the given tables, whose events lie hours apart; all else has its default.
+ARGUMENTS: dict[str, dict[str, object]] = {
+    "r1_detect_loops": {"min_count": 2, "window_s": 36_000},
+    "r4_rule_hook": {"hook_tool": "click", "hook_count": 2, "hook_window_s": 36_000},
+    "r6_rule_subagent": {"min_pairs": 1, "read_tool": "view"},
+    "r8_rule_loop_skill": {"hook_tool": "click", "skill_count": 2, "skill_window_s": 36_000},
+    "r9_rule_cli": {"hook_tool": "purchase"},
+    "r10_advise": {"hook_tool": "click", "hook_count": 2, "hook_window_s": 36_000, "skill_count": 2, "skill_window_s": 36_000, "min_pairs": 1, "read_tool": "view"},
+    "r11_meta_report": {"min_count": 2, "window_s": 36_000},
+    "j4_reads_within_5_minutes": {"read_tool": "view"},
+    "q6_search_hybrid": {"text": "at"},
+    "q4_search_like": {"text": "tion"},
+    "q5_search_metadata": {"text": "3"},
+}
+
+
 class _Tables(Mapping):
     """Reads a table only when a step names it."""
 
@@ -34,8 +50,8 @@ class _Tables(Mapping):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, n=name: catalog.frame(spark, n, _Tables(spark, sf_dir))) for name in catalog.OPERATORS}
+    return {name: (lambda spark, sf_dir, n=name: catalog.frame(spark, n, _Tables(spark, sf_dir), **ARGUMENTS.get(n, {}))) for name in catalog.OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: catalog.sql(name) for name in catalog.OPERATORS}
+    return {name: catalog.sql(name, **ARGUMENTS.get(name, {})) for name in catalog.OPERATORS}

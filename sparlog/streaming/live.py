@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -60,17 +61,23 @@ def stream_loops(events: DataFrame, window_s: int = 60, least: int = 3, debounce
         hashes, times, last = state.get if state.exists else ([], [], begins)
         calls = [(int(t), h) for f in frames for t, h in zip(f["us"], f["input_hash"], strict=True)]
         behind = state.getCurrentWatermarkMs() * 1000
-        kept, out = list(zip(times, hashes, strict=True)), []
+        recent: defaultdict[str, deque[int]] = defaultdict(deque)  # of each input, oldest first
+        for t, h in sorted(zip(times, hashes, strict=True)):
+            recent[h].append(t)
+        newest, out = max(times, default=begins), []
         for t, h in sorted(calls):
             if t < behind:
                 continue
-            kept = [(u, g) for u, g in kept if u > t - window] + [(t, h)]
-            hits = sum(g == h for _, g in kept)
-            if hits >= least:
-                kept = [(u, g) for u, g in kept if g != h]
+            own, newest = recent[h], max(newest, t)
+            own.append(t)
+            while own[0] <= t - window:
+                own.popleft()
+            if (hits := len(own)) >= least:
+                own.clear()
                 if t - last >= debounce:
                     out.append((*key, h, t, hits))
                     last = t
+        kept = sorted((t, h) for h, own in recent.items() for t in own if t > newest - window)
         state.update(([h for _, h in kept], [t for t, _ in kept], last))
         until = max([t for t, _ in kept] + [last + debounce]) + window
         state.setTimeoutTimestamp(max(until, behind + 1000) // 1000 + 1)

@@ -26,7 +26,7 @@ def plain(v):
 def test_equals_checking_engine(spark, duck, name):
     df = queries.queries()[name](spark, DATA)
     cols = sorted(df.columns)
-    rel = duck.sql(catalog.sql(name))
+    rel = duck.sql(queries.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     want = sorted((tuple(plain(dict(zip(rel.columns, row, strict=True))[c]) for c in cols) for row in rel.fetchall()), key=repr)
@@ -40,3 +40,17 @@ def test_price_of_a_session(spark):
     assert round(got["cost_usd"], 6) == 4.8375 and round(got["cost_brl"], 6) == 24.1875
     none = catalog.frame(spark, "p1_session_cost", {"sessions": row, "s19_load_pricing": prices.where("model = 'x'")}).first()
     assert none["cost_usd"] is None
+
+
+def test_arguments_of_operators(spark):
+    tables = queries._Tables(spark, DATA)
+    narrow = catalog.frame(spark, "r1_detect_loops", tables, min_count=2, window_s=60).count()
+    wide = catalog.frame(spark, "r1_detect_loops", tables, min_count=2, window_s=10**7).count()
+    assert narrow <= wide and wide > 0
+    assert catalog.frame(spark, "r1_detect_loops", tables).count() == 0  # three calls within five minutes
+    assert catalog.frame(spark, "q4_search_like", tables, text="it's {here}").count() == 0
+    for wrong in ({"no_such": 1}, {"min_count": "1 or 1 = 1"}, {"min_count": None}):
+        with pytest.raises(TypeError):
+            catalog.frame(spark, "r1_detect_loops", tables, **wrong)
+    later = catalog.frame(spark, "c16_project_history", tables, as_of="2024-02-10 00:00:00", history_days=3)
+    assert {r["days_ago"] for r in later.collect()} == {0, 1, 2}

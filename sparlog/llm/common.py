@@ -28,8 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return stored(df, "cut")
+
+
+#: Lets Spark remove the shuffle files of a statement when it ends.
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed Parquet table in the shared folder, read again: its lineage is cut and its shuffle files are gone.
+
+    A lost executor loses nothing of it. ``discard`` removes the table once
+    nothing reads it any more.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(SHORT_SHUFFLES)
+    spark.conf.set(SHORT_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHORT_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of ``stored`` or ``cut`` that nothing will read again."""
+    for table in tables:
+        if table is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -56,11 +85,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each
     round is two group-by minima joined back, so a node with very many
     neighbours costs a skewed join that Spark can split, never one task.
-    Nodes without an edge are not returned. Empty edges give no rows.
+    Nodes without an edge are not returned. Empty edges give no rows. The
+    result is a table of ``cut``.
     """
     e = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
+        last = e
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -68,19 +99,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct()
         e = cut(small)
+        discard(last)
         sign = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break
         before = sign
     tops = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``cut`` through compressed Parquet, for rows that carry text."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops))
+    discard(e)
+    return out
 
 
 #: Ids that ``without`` may broadcast (about 16 MB).

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, connected_components, cut, keyed, restore_id
+from .common import NULL_ID, connected_components, cut, discard, keyed, restore_id
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE = np.random.default_rng(20_231).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -186,7 +186,7 @@ def candidates(reps: DataFrame, most: int, lowest: float, verified, rounds: int
             pairs = pairs if edges is None else pairs.join(edges, ["a", "b"], "left_anti")
             new = verified(_look_alike(pairs, reps, lowest))
             edges = new if edges is None else cut(edges.union(new))
-            comp = cut(connected_components(edges))
+            comp = connected_components(edges)
     rows = cut(grouped(rows))
     mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     return _met(cut(rows.join(mixed, "key")), reps, lowest), edges
@@ -215,14 +215,16 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: in
         sets = cut(_sets(whole, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size))
         # first one pair for each document; then only pairs that would still join two components
         first = cut(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, need))
-        comp = cut(connected_components(first))
+        comp = connected_components(first)
         of = lambda c, name: comp.select(F.col("node").alias(c), F.col("component").alias(name))
         open_pairs = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-        return cut(first.union(_verify(open_pairs.join(first, ["a", "b"], "left_anti"), sets, need)))
+        out = cut(first.union(_verify(open_pairs.join(first, ["a", "b"], "left_anti"), sets, need)))
+        discard(pairs, sets, first, comp)
+        return out
 
     pairs, edges = candidates(reps, most, lowest, verified)
     more = verified(pairs)
-    comp = cut(connected_components(more if edges is None else edges.union(more)))
+    comp = connected_components(more if edges is None else edges.union(more))
     member = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     out = seen.join(member, "cls", "left").withColumn("component", F.coalesce("component", "doc_id"))
     return out.select(restore_id(), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))

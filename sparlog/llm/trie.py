@@ -161,7 +161,7 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def burst_trie(turns: DataFrame, members: DataFrame, limit: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def burst_trie(turns: DataFrame, members: DataFrame, limit: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """(nodes, ends) of the prefix trie of conversations.
 
     ``turns``: (conv_id, pos, turn_id, words, cum) as ``numbered_turns`` gives
@@ -304,7 +304,7 @@ def _digest_batch(keys: list[tuple[int, int]], found: list[str]) -> pa.RecordBat
     return pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(found)], names=["conv_id", "depth", "ends_sha256"])
 
 
-def conversation_trie(conversations: DataFrame, limit: int = 20_000, take_over: bool = False) -> DataFrame:
+def conversation_trie(conversations: DataFrame, limit: int = 2_000, take_over: bool = False) -> DataFrame:
     """A row for each node of the prefix trie of ``conversations`` (conv_id, turn, role, text), as ``burst_trie``, with ends_sha256.
 
     With ``take_over``, conversations first begin with turns of others

@@ -54,7 +54,7 @@ TECH_AS_SPELT = (
 )
 _TECH = [(label, rf"(?i)\b(?:{r})\b") for label, r in TECH] + [(label, rf"\b(?:{r})\b") for label, r in TECH_AS_SPELT]
 step("tech_counts", lambda d: f"select {d.table(('tech', 'found'), [(repr(label), d.count_matches('content', d.ascii_word(r))) for label, r in _TECH])} from {{tech_texts}}", operator=False)
-step("tech_texts", "select content from {s6_messages} union all select input_preview from {shell_commands}", operator=False)
+step("tech_texts", "select content from {s6_messages}", operator=False)
 step("b12_detect_tech", "select tech, cast(sum(found) as bigint) as matches from {tech_counts} group by tech having sum(found) > 0 order by matches desc, tech")
 step("b13_transcripts", lambda d: f"select session_id, {d.lines('line', 'ord')} as transcript from (select session_id, ord, role || ': ' || substring(content, 1, 800) as line, sum(least(length(content), 800)) over (partition by session_id order by ord rows unbounded preceding) as used, least(length(content), 800) as own from {{s6_messages}}) where used - own < 8000 group by session_id")
 step("b14_embedding_text", lambda d: f"select session_id, substring({d.lines('content', 'ord')}, 1, $most_chars) as body from (select session_id, ord, content, sum(length(content)) over (partition by session_id order by ord rows unbounded preceding) as used from {{s6_messages}} where role = 'user') where used - length(content) < $most_chars group by session_id", most_chars=4000)
@@ -90,7 +90,7 @@ step("r8_rule_loop_skill", "select 'loop_skill' as rule, tool_name || ' ' || inp
 #: Commands that a tool would do better, and how many make a case.
 CLI = (("gh", ("api.github.com", "raw.githubusercontent.com"), 3), ("gh + git aliases", ("git diff --name-only", "git log --pretty="), 5), ("fd", ('find . -name "*', "find . -type f"), 4), ("rg (ripgrep)", ("grep -r", "grep -R"), 4), ("jq (já é CLI)", ("jq -r", "jq ''.["), 8), ("httpie ou xh", ("curl http", "wget http"), 5), ("lazydocker", ("docker run -it", "docker exec -it"), 4), ("k9s", ("kubectl get", "kubectl describe"), 5))
 _MET = [" or ".join(f"contains(input_preview, '{p}')" for p in pats) for _, pats, _ in CLI]
-step("cli_counts", lambda d: f"select {d.table(('title', 'least', 'met'), [(repr(cli), str(least), f'case when {met} then 1 else 0 end') for (cli, _, least), met in zip(CLI, _MET, strict=True)])} from {{shell_commands}} where tool_name = '$hook_tool'", operator=False)
+step("cli_counts", lambda d: f"select {d.table(('title', 'least', 'met'), [(repr(cli), str(least), f'case when {met} then 1 else 0 end') for (cli, _, least), met in zip(CLI, _MET, strict=True)])} from {{tool_events}} where tool_name = '$hook_tool'", operator=False)
 step("r9_rule_cli", lambda d: f"select 'cli' as rule, title, cast(sum(met) as bigint) * 4 as score, cast({d.floor_div('cast(sum(met) as bigint)', '2')} as bigint) as strength from {{cli_counts}} group by title, least having sum(met) >= least")
 step("r10_advise", "select rule, title, score, case when strength >= 7 then 'high' when strength >= 4 then 'medium' else 'low' end as confidence from (" + " union all ".join(f"select rule, title, cast(score as bigint) as score, cast(strength as bigint) as strength from {{{r}}}" for r in ("r3_rule_file_reuse", "r4_rule_hook", "r5_rule_downgrade", "r6_rule_subagent", "r7_rule_context", "r8_rule_loop_skill", "r9_rule_cli")) + ") order by score desc, rule, title")
 step(

@@ -114,12 +114,6 @@ step(
 )
 step("p2_list_sessions", "select session_id, project_dir, start_time, message_count, row_number() over (partition by project_dir order by start_time desc, session_id) as place from {sessions}")
 step("p3_get_sessions", "select s.session_id, s.model, t.tool_name, t.calls from {sessions} s join {s8_tool_calls} t on s.session_id = t.session_id where s.session_id in (select distinct session_id from {event_rows} where event_id % 20 = 0)")
-step(
-    "p4_resolve_session_id",
-    """select q, session_id from (select q.q, s.session_id, row_number() over (partition by q.q order by case when lower(s.session_id) = q.q then 0 else 1 end, s.start_time desc, s.session_id) as k
-    from {sessions} s join (select distinct lower(substring(session_id, 1, 9)) as q from {event_rows} where event_id % 20 = 0) q on substring(lower(s.session_id), 1, 9) = q.q) where k = 1""",
-)
-step("p5_search_filters", f"select session_id from {{p1_session_cost}} where contains(lower(project_dir), '/p/3') and contains(lower(coalesce(git_branch, '')), 'cc-1') and coalesce(cost_usd, 0e0) >= 0.001e0 and start_time >= {AS_OF} - interval 20 day")
 step("p6_period_filter", f"select session_id, case when start_time > {AS_OF} - interval 7 day then 'week' when start_time > {AS_OF} - interval 30 day then 'month' else 'all' end as period from {{sessions}}")
 step("p10_activity", lambda d: f"select session_id, case when {d.us('end_time', AS_OF)} < 300000000 then 'active' when {d.us('end_time', AS_OF)} < 3600000000 then 'paused' else 'idle' end as state, case when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 0 then 'Today' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 1 then 'Yesterday' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} < 7 then 'This week' else 'Older' end as bucket from {{sessions}}")
 step(

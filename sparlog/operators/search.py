@@ -1,32 +1,133 @@
-"""Search: keyword, metadata and vector ranking, fusion, exemplars; knowledge roll-ups."""
+"""Search: text index, keyword, metadata and vector ranking, fusion, exemplars; knowledge roll-ups.
 
+Queries are a table. The registered ones ask with the first one to four words
+of every user message of a twentieth of the conversations, and with the vector
+of the session that asks.
+"""
+
+from ..functions import stem
 from ..plans.catalog import step
 
-# queries are a table: every user message of a twentieth of the conversations asks, its first three words being the terms
-step("search_terms", "select session_id as query_id, w as term from (select session_id, w, row_number() over (partition by session_id order by ord, place) as k from {b1_tokenize} where role = 'user' and session_id % 20 = 0) where k <= 2", operator=False)
-step("q1_text_index", "select session_id, ord, w as term, count(*) as tf from {token_rows} group by session_id, ord, w")
-step("doc_lengths", "select session_id, ord, cast(sum(tf) as bigint) as len from {q1_text_index} group by session_id, ord", operator=False)
-step("term_stats", "select term, count(*) as df from {q1_text_index} group by term", operator=False)
+_FOLDED, _PLAIN = stem.folding()
+
+# tokens are runs of letters and digits of the content, and the role, which is indexed as well (pos -1)
+step("content_tokens", lambda d: f"select session_id, ord, role, pos, raw, translate(lower(raw), '{_FOLDED}', '{_PLAIN}') as w from (select session_id, ord, role, {d.raw_tokens('content')} from {{s6_messages}})", operator=False)
+step("all_tokens", "select session_id, ord, role, pos, raw, w from {content_tokens} union all select session_id, ord, role, -1, role, lower(role) from {s6_messages}", operator=False)
+step("vocabulary", "select distinct w from {all_tokens}", operator=False)
+# few bytes that cost much: Spark deals the words to all its slots (``plans.queries``)
+step("spread", lambda d: "select w from {spread_vocabulary}" if d.name == "spark" else "select w from {vocabulary}", operator=False)
+step("stems", lambda d: stem.stemmed(d, "w", "{spread}"), operator=False)
+step("token_stems", "select t.session_id, t.ord, t.role, t.pos, t.raw, s.stem as term from {all_tokens} t join {stems} s on t.w = s.w", operator=False)
+# Spark reads the index it has stored (``plans.queries``), so that a query's many uses of it do not tokenise anew
+step("indexed", lambda d: "select * from {index_rows}" if d.name == "spark" else "select * from {token_stems}", operator=False)
+step("search_queries", lambda d: f"select {d.text('session_id')} || '/' || {d.text('ord')} as query_id, session_id as asker, {d.first_words('content', '(1 + (ord + session_id / 20) % 4)')} as q from {{s6_messages}} where role = 'user' and session_id % 20 = 0".replace("session_id / 20", d.floor_div("session_id", "20")), operator=False)
+step("query_words", lambda d: f"select query_id, translate(lower(raw), '{_FOLDED}', '{_PLAIN}') as w from (select query_id, {d.raw_tokens('q')} from {{search_queries}})", operator=False)
+step("query_stems", lambda d: stem.stemmed(d, "w", "(select distinct w from {query_words})"), operator=False)
+step("query_terms", "select distinct q.query_id, s.stem as term from {query_words} q join {query_stems} s on q.w = s.w", operator=False)
+step("q1_text_index", lambda d: f"select session_id, ord, role, term, count(*) as tf, {d.joined(d.text('pos'), 'pos')} as positions from {{indexed}} group by session_id, ord, role, term")
+step("postings", "select session_id, ord, term, count(*) as tf from {indexed} where term in (select term from {query_terms}) group by session_id, ord, term", operator=False)
+step("doc_lengths", "select session_id, ord, role, count(*) as len from {indexed} group by session_id, ord, role", operator=False)
+step("term_stats", "select term, count(*) as df from {postings} group by term", operator=False)
+step(
+    "term_weights",
+    "select q.query_id, t.term, case when (n.docs - t.df + 0.5e0) / (t.df + 0.5e0) > 1 then greatest(ln((n.docs - t.df + 0.5e0) / (t.df + 0.5e0)), 1e-6) else 1e-6 end as idf, n.mean_len, count(*) over (partition by q.query_id) as wanted from {query_terms} q left join {term_stats} t on t.term = q.term cross join (select count(*) * 1e0 as docs, avg(len * 1e0) as mean_len from {doc_lengths}) n",
+    operator=False,
+)
 step(
-    "q2_search_bm25",
-    """select query_id, session_id, ord, round(score, 6) as score, place from (select query_id, session_id, ord, score, row_number() over (partition by query_id order by round(score, 6) desc, session_id, ord) as place from (
-    select q.query_id, i.session_id, i.ord, count(distinct i.term) as hit, sum(ln(1 + (n.docs - t.df + 0.5e0) / (t.df + 0.5e0)) * i.tf * 2.2e0 / (i.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.len / n.mean_len))) as score
-    from (select distinct query_id, term from {search_terms}) q join {q1_text_index} i on q.term = i.term join {term_stats} t on t.term = i.term join {doc_lengths} l on l.session_id = i.session_id and l.ord = i.ord
-    cross join (select count(*) * 1e0 as docs, avg(len * 1e0) as mean_len from {doc_lengths}) n group by q.query_id, i.session_id, i.ord) s
-    join (select query_id as qid, count(distinct term) as wanted from {search_terms} group by query_id) w on w.qid = s.query_id and w.wanted = s.hit) where place <= 100""",
+    "bm25_hits",
+    """select query_id, session_id, ord, role, score, place from (select *, row_number() over (partition by query_id order by score desc, session_id, ord) as place from (
+    select w.query_id, p.session_id, p.ord, l.role, round(sum(w.idf * p.tf * 2.2e0 / (p.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.len / w.mean_len))), 6) as score
+    from {term_weights} w join {postings} p on p.term = w.term join {doc_lengths} l on l.session_id = p.session_id and l.ord = p.ord group by w.query_id, w.wanted, p.session_id, p.ord, l.role having count(*) = w.wanted)) where place <= 100""",
+    operator=False,
 )
-step("q3_search_exact", "select b.query_id, b.session_id, b.ord from {q2_search_bm25} b join {s6_messages} m on b.session_id = m.session_id and b.ord = m.ord join (select query_id, min(term) as term from {search_terms} group by query_id) t on t.query_id = b.query_id where contains(lower(m.content), t.term)")
+_DOC = "query_id, session_id, ord"
+
+
+def _snippets(hits: str) -> str:
+    """Steps for the best window of 16 tokens of each of ``hits``: of most terms, then most hits, then the first; gives the name of the last one."""
+    of = f"{hits}_marked"
+    step(of, f"select h.query_id, c.session_id, c.ord, c.pos, c.raw, q.term from {{{hits}}} h join {{indexed}} c on c.session_id = h.session_id and c.ord = h.ord and c.pos >= 0 left join {{query_terms}} q on q.query_id = h.query_id and q.term = c.term", operator=False)
+    window = f"partition by {_DOC} order by pos range between current row and 15 following"
+    step(f"{hits}_windows", lambda d: f"select {_DOC}, pos, {d.distinct_over('term', window)} as terms, count(*) over ({window}) as hits from {{{of}}} where term is not null", operator=False)
+    step(f"{hits}_best", lambda d: f"select {_DOC}, min_by(pos, {d.row('-terms', '-hits', 'pos')}) as pos from {{{hits}_windows}} group by {_DOC}", operator=False)
+    step(f"{hits}_place", f"select n.*, case when b.pos is null or n.tokens <= 16 then 0 else least(b.pos, n.tokens - 16) end as start from (select {_DOC}, count(*) as tokens from {{{of}}} group by {_DOC}) n left join {{{hits}_best}} b on b.query_id = n.query_id and b.session_id = n.session_id and b.ord = n.ord", operator=False)
+    step(
+        f"{hits}_snippets",
+        lambda d: f"""select query_id, session_id, ord, case when start > 0 then '…' else '' end || body || case when start + 16 < tokens then '…' else '' end as snippet from (select m.query_id, m.session_id, m.ord, p.start, p.tokens, {d.joined("case when m.term is null then m.raw else '[' || m.raw || ']' end", "m.pos", " ")} as body
+        from {{{of}}} m join {{{hits}_place}} p on p.query_id = m.query_id and p.session_id = m.session_id and p.ord = m.ord and m.pos >= p.start and m.pos < p.start + 16 group by m.query_id, m.session_id, m.ord, p.start, p.tokens)""",
+        operator=False,
+    )
+    return f"{hits}_snippets"
+
+
+_SNIPPETS = _snippets("bm25_hits")
+step("q2_search_bm25", f"select h.query_id, h.session_id, h.ord, h.role, h.score, h.place, s.snippet from {{bm25_hits}} h left join {{{_SNIPPETS}}} s on s.query_id = h.query_id and s.session_id = h.session_id and s.ord = h.ord")
+# the literal query has to occur in the content too
+step("q3_search_exact", "select h.query_id, h.session_id, h.ord, h.role, h.score, row_number() over (partition by h.query_id order by h.place) as place, h.snippet from {q2_search_bm25} h join {search_queries} q on q.query_id = h.query_id join {s6_messages} m on m.session_id = h.session_id and m.ord = h.ord where contains(lower(m.content), lower(q.q))")
 step("q4_search_like", "select session_id, ord from {s6_messages} where contains(lower(content), lower('$text')) order by session_id, ord limit 100", text="error")
-step("q5_search_metadata", "select session_id, case when contains(lower(project_dir), lower('$text')) then 'project' when contains(lower(coalesce(git_branch, '')), lower('$text')) then 'branch' when contains(lower(model), lower('$text')) then 'model' when contains(lower(first_user_msg), lower('$text')) then 'first message' else 'last message' end as field from {sessions} where contains(lower(project_dir), lower('$text')) or contains(lower(coalesce(git_branch, '')), lower('$text')) or contains(lower(model), lower('$text')) or contains(lower(first_user_msg), lower('$text')) or contains(lower(last_user_msg), lower('$text'))")
-step("w7_first_match", "select query_id, session_id, ord, more from (select query_id, session_id, ord, row_number() over (partition by query_id, session_id order by place) as k, count(*) over (partition by query_id, session_id) - 1 as more from {q2_search_bm25}) where k = 1")
-step("q7_query_type", lambda d: f"select session_id, ord, case when length(trim(content)) - length(replace(trim(content), ' ', '')) >= 5 then 'dense' when {d.matches('content', '[a-z][A-Z]|_|::')} then 'bm25' else 'balanced' end as kind from {{s6_messages}} where role = 'user'")
-step("vector_queries", "select session_id as query_id, embedding from {vectors} where session_id % 20 = 0", operator=False)
+# sessions of the conversations: what search looks at besides the messages
+step("session_tools", "select distinct user_id as session_id, event_type as tool from {event_rows}", operator=False)
+step(
+    "chat_sessions",
+    lambda d: f"""select m.session_id, '/p/' || {d.text('m.session_id % 7')} as project_dir, 'feat/CC-' || {d.text('m.session_id % 23')} as git_branch, case m.session_id % 3 when 0 then 'claude-sonnet-4-6' when 1 then 'claude-opus-4-7' else 'claude-haiku-4-5' end as model,
+    m.first_user_msg, m.last_user_msg, k.problem as summary from (select session_id, min_by(content, ord) filter (where role = 'user') as first_user_msg, max_by(content, ord) filter (where role = 'user') as last_user_msg from {{s6_messages}} group by session_id) m left join {{knowledge}} k on k.session_id = m.session_id""",
+    operator=False,
+)
+_FIELDS = (("path", "project_dir"), ("branch", "git_branch"), ("first_msg", "first_user_msg"), ("last_msg", "last_user_msg"), ("id", "id_text"), ("model", "model"), ("tool", "tool"), ("summary", "summary"))
+
+
+def _metadata(d, q: str, of: str, where: str) -> str:
+    """The first field of a session that holds ``q``, and what stands around it; tools are named."""
+    field = " ".join(f"when contains(lower({c}), {q}) then '{name}'" for name, c in _FIELDS)
+    text = " ".join(f"when '{name}' then {c}" for name, c in _FIELDS)
+    at = d.position(q, "lower(body)")
+    n = f"length({q})"
+    start = f"greatest({at} - 30, 1)"
+    snippet = f"case when field = 'tool' then 'tool: ' || body else case when {start} > 1 then '…' else '' end || substring(body, {start}, {at} - {start}) || '[' || substring(body, {at}, {n}) || ']' || substring(body, {at} + {n}, 30) || case when {at} + {n} + 29 < length(body) then '…' else '' end end"
+    return f"select {of}, session_id, field, {snippet} as snippet from (select *, case field {text} end as body from (select *, case {field} end as field from {where})) where field is not null"
+
+
+_SEARCHED = "(select s.*, {text} as id_text, t.tool from {{chat_sessions}} s left join (select session_id, min(tool) as tool from {{session_tools}} where {met} group by session_id) t on t.session_id = s.session_id)"
+step("q5_search_metadata", lambda d: _metadata(d, "lower('$text')", "'$text' as q", _SEARCHED.replace("{{", "{").replace("}}", "}").replace("{text}", d.text("s.session_id")).replace("{met}", "contains(lower(tool), lower('$text'))")))
+# a counted set of queries against all sessions
+step("query_tools", "select q.query_id, t.session_id, min(t.tool) as tool from {session_tools} t join {search_queries} q on contains(lower(t.tool), lower(q.q)) group by q.query_id, t.session_id", operator=False)
+step("query_sessions", lambda d: f"select q.query_id, lower(q.q) as q, s.*, {d.text('s.session_id')} as id_text, t.tool from {{chat_sessions}} s join {{search_queries}} q on length(q.q) > 0 left join {{query_tools}} t on t.query_id = q.query_id and t.session_id = s.session_id", operator=False)
+step("metadata_hits", lambda d: _metadata(d, "q", "query_id", "{query_sessions}"), operator=False)
+step("w7_first_match", "select query_id, session_id, ord, role, snippet, more from (select query_id, session_id, ord, role, snippet, row_number() over (partition by query_id, session_id order by place) as k, count(*) over (partition by query_id, session_id) - 1 as more from {q3_search_exact}) where k = 1")
+# metadata hits first, then those of the bodies: every one ($expand = 1), or the first of a session that has none, with the number of further ones
 step(
-    "q12_similar_sessions",
-    lambda d: f"""select query_id, session_id, sim, place from (select query_id, session_id, sim, row_number() over (partition by query_id order by sim desc, session_id) as place from (
-    select q.query_id, v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
-    from {{vectors}} v cross join {{vector_queries}} q where q.query_id <> v.session_id)) where place <= 10""",
+    "q6_search_hybrid",
+    lambda d: f"""select query_id, row_number() over (partition by query_id order by part, place, session_id) as place, session_id, role || case when $expand = 0 and hits > 1 then ' (+' || {d.text('hits - 1')} || ')' else '' end as role, snippet from (
+    select m.query_id, 1 as part, 0 as place, m.session_id, m.field as role, m.snippet, coalesce(f.more + 1, 0) as hits from {{metadata_hits}} m left join {{w7_first_match}} f on f.query_id = m.query_id and f.session_id = m.session_id
+    union all select h.query_id, 2, h.place, h.session_id, 'body:' || h.role, h.snippet, f.more + 1 from {{q3_search_exact}} h join {{w7_first_match}} f on f.query_id = h.query_id and f.session_id = h.session_id left join {{metadata_hits}} m on m.query_id = h.query_id and m.session_id = h.session_id
+    where $expand = 1 or (m.session_id is null and f.ord = h.ord))""",
+    expand=0,
 )
+#: Fixed value: what identifiers look like; a dot and letters up to the end of a word count too.
+IDENTIFIER = r"[A-Z][a-z]+[A-Z]|_[a-z]|::|\.[a-z]+\(|\.[a-z]+([^0-9A-Za-z_]|$)|[A-Z]+-[0-9]"
+
+
+def _kind(d, q: str) -> str:
+    return f"case when {d.fields(q)} >= 6 then 'dense' when {d.matches(q, d.ascii_word(IDENTIFIER))} then 'bm25' else 'balanced' end"
+
+
+_WEIGHTS = "case kind when 'bm25' then 1.5e0 when 'dense' then 0.5e0 else 1e0 end as bm25_weight, case kind when 'bm25' then 0.5e0 when 'dense' then 1.5e0 else 1e0 end as dense_weight"
+step("q7_query_type", lambda d: f"select session_id, ord, kind, {_WEIGHTS} from (select session_id, ord, {_kind(d, 'content')} as kind from {{s6_messages}} where role = 'user')")
+step("query_kinds", lambda d: f"select query_id, kind, {_WEIGHTS} from (select query_id, {_kind(d, 'q')} as kind from {{search_queries}})", operator=False)
+step("vector_queries", "select distinct asker as session_id, embedding from {search_queries} q join {vectors} v on v.session_id = q.asker", operator=False)
+
+
+def _near(d, most: int, least: str, queries: str, own: str, made: str) -> str:
+    """Nearest vectors: Spark multiplies blocks (``operators.vectors``), the checking engine all pairs."""
+    if d.name == "spark":
+        return f"select query_id, session_id, sim, place from {{{made}}}"
+    return f"""select query_id, session_id, sim, place from (select query_id, session_id, sim, row_number() over (partition by query_id order by sim desc, session_id) as place from (
+    select q.session_id as query_id, v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
+    from {{vectors}} v cross join {{{queries}}} q where {own}) where {least}) where place <= {most}"""
+
+
+step("q12_similar_sessions", lambda d: _near(d, 10, "sim is not null", "vectors", "q.session_id <> v.session_id", "nearest_sessions"))
+step("dense_hits", lambda d: _near(d, 50, "sim > 0", "vector_queries", "true", "nearest_to_queries"), operator=False)
 step(
     "q13_similar_to_vector",
     lambda d: f"""select session_id, sim from (select v.session_id, round({d.dot("q.embedding", "v.embedding")} / nullif(sqrt({d.dot("q.embedding", "q.embedding")}) * sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) as sim
@@ -38,26 +139,43 @@ step(
     lambda d: f"""select q.session_id, q.sim, 'Problem: ' || coalesce(k.problem, '') || ' Solution: ' || coalesce(k.solution, '') as context from (select session_id, sim from {{q13_similar_to_vector}} where sim > 0 order by sim desc, session_id limit $contexts) q left join {{knowledge}} k on k.session_id = q.session_id""",
     contexts=8,
 )
-step("q6_search_hybrid", "select session_id, 'metadata' as source, field as place_found from {q5_search_metadata} union all select " + "session_id_text, 'body', 'message' from {body_hits}")
-step("body_hits", lambda d: f"select {d.text('session_id')} as session_id_text, count(*) - 1 as more from {{s6_messages}} where contains(lower(content), lower('$text')) group by session_id", operator=False)
-step("q8_rrf_merge", """select query_id, session_id, round(sum(weight / (60 + place)), 9) as score, count(*) as sources from (select query_id, session_id, place, 1.5e0 as weight from (select query_id, session_id, row_number() over (partition by query_id order by min(place), session_id) as place from {q2_search_bm25} group by query_id, session_id)
-    union all select query_id, session_id, place, 0.5e0 from {q12_similar_sessions}) group by query_id, session_id""")
-step("q9_search_rrf", "select query_id, session_id, score, place from (select *, row_number() over (partition by query_id order by score desc, session_id) as place from {q8_rrf_merge}) where place <= 50")
-step("q10_explain", "select q.query_id, q.session_id, q.place, b.ord is not null as by_words, s.sim from {q9_search_rrf} q left join {w7_first_match} b on q.query_id = b.query_id and q.session_id = b.session_id left join {q12_similar_sessions} s on q.query_id = s.query_id and q.session_id = s.session_id")
+# rankings of three kinds; each query's kind decides their weights
+step(
+    "rankings",
+    """select query_id, 'bm25' as source, session_id, row_number() over (partition by query_id order by place) as place from (select query_id, session_id, min(place) as place from {q3_search_exact} group by query_id, session_id)
+    union all select q.query_id, 'dense', d.session_id, d.place from {search_queries} q join {dense_hits} d on d.query_id = q.asker
+    union all select query_id, 'metadata', session_id, row_number() over (partition by query_id order by session_id) from {metadata_hits}""",
+    operator=False,
+)
+step("weighted", "select r.query_id, r.source, r.session_id, r.place, case r.source when 'bm25' then k.bm25_weight when 'dense' then k.dense_weight else $metadata_weight end as weight from {rankings} r join {query_kinds} k on k.query_id = r.query_id", operator=False, metadata_weight=0.7)
+_MERGED = "{joined} as sources, max(case when source = 'bm25' then place end) as bm25_place, max(case when source = 'dense' then place end) as dense_place, max(case when source = 'metadata' then place end) as metadata_place"
+step("q8_rrf_merge", lambda d: f"select query_id, session_id, score, sources, bm25_place, dense_place, metadata_place, place from (select *, row_number() over (partition by query_id order by score desc, session_id) as place from (select query_id, session_id, round(sum(cast(weight as double) / (60 + place)), 9) as score, {_MERGED.replace('{joined}', d.joined('source', 'source', '+'))} from {{weighted}} group by query_id, session_id)) where place <= $most_hits", most_hits=50)
+step("q9_search_rrf", "select r.query_id, r.place, r.session_id, r.score, 'rrf:' || r.sources as role, coalesce(f.snippet, m.snippet) as snippet from {q8_rrf_merge} r left join {w7_first_match} f on f.query_id = r.query_id and f.session_id = r.session_id left join {metadata_hits} m on m.query_id = r.query_id and m.session_id = r.session_id")
+step("q10_explain", "select r.query_id, k.kind, k.bm25_weight, k.dense_weight, r.place, r.session_id, r.bm25_place, r.dense_place, r.metadata_place from {q8_rrf_merge} r join {query_kinds} k on k.query_id = r.query_id")
 step("q16_exemplars", lambda d: f"""select label, session_id, k from (select v.label, v.session_id, row_number() over (partition by v.label order by round({d.dot("v.embedding", "c.embedding")} / nullif(sqrt({d.dot("v.embedding", "v.embedding")}), 0e0), 6) desc, v.session_id) as k from {{vectors}} v join {{centres}} c on v.label = c.label) where k <= 5""")
 step("centres", lambda d: d.mean_vector("{vectors}", "label"), operator=False)  # the mean of all members
 step("q17_cluster_members", lambda d: f"select label, count(*) as members, {d.joined('session_id', 'session_id')} as ids from {{vectors}} where label >= 0 group by label")
 step("q18_index_health", "select count(*) as documents, count(l.doc_id) as labelled from {documents} d left join {labels} l on d.doc_id = l.doc_id")
 
-step("patterns", lambda d: f"select session_id, generated_at, trim(p) as p from (select session_id, generated_at, {d.unnest('code_patterns')} as p from (select k.session_id, k.generated_at, string_split as code_patterns from {{session_words}} s join {{knowledge}} k on k.session_id = s.session_id)) where trim(p) <> ''", operator=False)
-step("session_words", lambda d: f"select session_id, {'split' if d.name == 'spark' else 'string_split'}(content, ' ') as string_split from {{s6_messages}} where role = 'assistant'", operator=False)
-# counted by spelling and session first, so that a frequent pattern is summed and never gathered
-step("pattern_sessions", "select lower(p) as norm, session_id, p, max(generated_at) as generated_at, count(*) as n from {patterns} group by lower(p), session_id, p", operator=False)
-step("k1_top_patterns", lambda d: f"select max_by(p, {d.row('generated_at', '-session_id', 'p')}) as pattern, cast(sum(n) as bigint) as n, count(distinct session_id) as sessions from {{pattern_sessions}} group by norm order by n desc, norm limit $patterns", patterns=20)
+step("patterns", lambda d: f"select session_id, generated_at, trim(p) as p from (select session_id, generated_at, {d.unnest('code_patterns')} as p from {{knowledge}}) where trim(p) <> ''", operator=False)
+step("technologies", lambda d: f"select session_id, generated_at, trim(p) as p from (select session_id, generated_at, {d.unnest('tech_used')} as p from {{knowledge}}) where trim(p) <> ''", operator=False)
+
+
+def _frequency(of: str):
+    """How often each spelling-insensitive item is noted, its newest spelling and the five newest sessions; counted by spelling and session first."""
+    # a frequent item's sessions are cut down in parts before they meet
+    step(f"{of}_counts", f"select lower(p) as norm, session_id, p, max(generated_at) as generated_at, count(*) as n from {{{of}}} group by lower(p), session_id, p", operator=False)
+    step(f"{of}_newest", f"select norm, session_id, generated_at, row_number() over (partition by norm, session_id % 64 order by generated_at desc, session_id) as k from (select norm, session_id, max(generated_at) as generated_at from {{{of}_counts}} group by norm, session_id)", operator=False)
+    step(f"{of}_sessions", lambda d: f"select norm, {d.joined(d.text('session_id'), 'k')} as newest from (select norm, session_id, row_number() over (partition by norm order by generated_at desc, session_id) as k from {{{of}_newest}} where k <= 5) where k <= 5 group by norm", operator=False)
+    return lambda d: f"select c.pattern, c.n, c.sessions, s.newest from (select norm, max_by(p, {d.row('generated_at', '-session_id', 'p')}) as pattern, cast(sum(n) as bigint) as n, count(distinct session_id) as sessions from {{{of}_counts}} group by norm) c join {{{of}_sessions}} s on c.norm = s.norm"
+
+
+step("k1_top_patterns", lambda d, f=_frequency("patterns"): f(d) + " order by n desc, pattern limit $patterns", patterns=20)
+step("k1_tech_frequency", lambda d, f=_frequency("technologies"): f(d).replace("c.pattern,", "c.pattern as tech,") + " order by n desc, tech")
 step("decisions", lambda d: f"select session_id, generated_at, {d.unnest('decisions')} as decision from {{knowledge}}", operator=False)
 step("k2_decision_history", "select session_id, generated_at, decision from {decisions} where trim(decision) <> '' order by generated_at desc, session_id, decision limit $decisions", decisions=50)
 step("questions", lambda d: f"select session_id, generated_at, {d.unnest('open_questions')} as question from {{knowledge}}", operator=False)
-step("k4_open_questions", lambda d: f"select session_id, question, greatest(0, cast(floor(($as_of_s - generated_at) / 86400e0) as bigint)) as age_days from {{questions}} where trim(question) <> '' order by age_days desc, session_id, question limit $questions", as_of_s=1706659200, questions=30)
+step("k4_open_questions", lambda d: f"select session_id, question, greatest(0, cast(floor(($as_of_s - generated_at) / 86400e0) as bigint)) as age_days from {{questions}} where trim(question) <> '' order by age_days desc, session_id, question limit $questions", as_of_s=1706832000, questions=30)
 step("k5_knowledge_aggregate", lambda d: f"select 'pattern' as part, pattern as item, n from {{k1_top_patterns}} union all select 'decision', decision, session_id from {{k2_decision_history}} union all select 'question', question, age_days from {{k4_open_questions}} union all select 'sessions', '', count(*) from {{knowledge}}")
 step("k6_knowledge_of", lambda d: f"select session_id, generated_at, problem, solution, {d.size('decisions')} as n_decisions, {d.size('open_questions')} as n_questions from {{knowledge}} where {'startswith' if d.name == 'spark' else 'starts_with'}({d.text('session_id')}, '$session') order by generated_at desc, session_id", session="")
 step("k7_standup_timeline", lambda d: f"select cast(start_time as date) as day, session_id, '- ' || substring(first_user_msg, 1, 40) as line, row_number() over (partition by cast(start_time as date) order by start_time, session_id) as place from {{sessions}}")

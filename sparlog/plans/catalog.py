@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,13 @@ class Spark:
     size = staticmethod(lambda a: f"size({a})")
     item = staticmethod(lambda a, k: f"{a}[{k} - 1]")
     floor_div = staticmethod(lambda a, b: f"({a} div {b})")
+    group1 = "$1"
+    applied = staticmethod(lambda x, body: f"element_at(transform(array({x}), w -> {body}), 1)")
+    changed = staticmethod(lambda s, r, new, every=False: f"regexp_replace({s}, '{r}', '{new}')")
+    raw_tokens = staticmethod(lambda s: f"posexplode(regexp_extract_all({s}, '[\\\\pL\\\\pN]+', 0)) as (pos, raw)")
+    distinct_over = staticmethod(lambda x, window: f"size(array_distinct(collect_list({x}) over ({window})))")
+    first_words = staticmethod(lambda s, n: f"array_join(slice(regexp_extract_all({s}, '[^ \\\\n]+', 0), 1, cast({n} as int)), ' ')")
+    fields = staticmethod(lambda s: f"size(regexp_extract_all({s}, '[^ \\\\t\\\\n\\\\r]+', 0))")
     dot = staticmethod(lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> cast(p as double) * cast(q as double)), cast(0 as double), (s, v) -> s + v)")
 
 
@@ -82,6 +90,13 @@ class Duck(Spark):
     item = staticmethod(lambda a, k: f"{a}[{k}]")
     floor_div = staticmethod(lambda a, b: f"({a} // {b})")
     day_text = staticmethod(lambda d: f"cast({d} as varchar)")
+    group1 = "\\1"
+    applied = staticmethod(lambda x, body: f"list_transform([{x}], lambda w: {body})[1]")
+    changed = staticmethod(lambda s, r, new, every=False: f"regexp_replace({s}, '{r}', '{new}'{', \'g\'' if every else ''})")
+    raw_tokens = staticmethod(lambda s: f"unnest(regexp_extract_all({s}, '[\\pL\\pN]+')) as raw, generate_subscripts(regexp_extract_all({s}, '[\\pL\\pN]+'), 1) - 1 as pos")
+    distinct_over = staticmethod(lambda x, window: f"len(list_distinct(list({x}) over ({window})))")
+    first_words = staticmethod(lambda s, n: f"array_to_string(regexp_extract_all({s}, '[^ \\n]+')[1:{n}], ' ')")
+    fields = staticmethod(lambda s: f"len(regexp_extract_all({s}, '[^ \\t\\n\\r]+'))")
     dot = staticmethod(lambda a, b: f"list_dot_product(cast({a} as double[]), cast({b} as double[]))")
 
 
@@ -105,20 +120,33 @@ def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-def _text(name: str, dialect: type[Spark], arguments: Mapping[str, object]) -> str:
-    """A step's text with the arguments in place of its parameters; quotes in text arguments are doubled."""
+def _argument(name: str, arguments: Mapping[str, object]) -> object:
+    v = arguments.get(name, DEFAULTS[name])
+    if not isinstance(v, (int, float, str)) or isinstance(v, bool):
+        raise TypeError(f"{name}: a number or a text, not {v!r}")
+    if isinstance(v, str) and isinstance(DEFAULTS[name], (int, float)):
+        raise TypeError(f"{name}: a number, not {v!r}")
+    return v
 
-    def value(m: re.Match) -> str:
-        if m[1] not in DEFAULTS:
-            return m[0]
-        v = arguments.get(m[1], DEFAULTS[m[1]])
-        if not isinstance(v, (int, float, str)) or isinstance(v, bool):
-            raise TypeError(f"{m[1]}: a number or a text, not {v!r}")
-        if isinstance(v, str) and isinstance(DEFAULTS[m[1]], (int, float)):
-            raise TypeError(f"{m[1]}: a number, not {v!r}")
-        return str(v).replace("\\", "").replace("'", "''").replace("{", "").replace("}", "")
 
-    return re.sub(r"\$([a-z]\w*)", value, STEPS[name](dialect))
+def _text(text: str, arguments: Mapping[str, object], bound: dict[str, object] | None) -> str:
+    """A step's text with the arguments in place of its parameters.
+
+    Text arguments become parameters of the statement where ``bound`` collects
+    them, and literals with doubled quotes elsewhere; times are literals.
+    """
+
+    def quoted(m: re.Match) -> str:
+        v = str(_argument(m[2], arguments))
+        if m[1]:
+            return f"{m[1]}'{datetime.fromisoformat(v).isoformat(' ')}'"
+        if bound is None:
+            return "'" + v.replace("'", "''") + "'"
+        bound[m[2]] = v
+        return f":{m[2]}"
+
+    text = re.sub(r"(timestamp )?'\$([a-z]\w*)'", quoted, text)
+    return re.sub(r"\$([a-z]\w*)", lambda m: str(_argument(m[1], arguments)) if m[1] in DEFAULTS else m[0], text)
 
 
 def frame(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], made: dict[str, DataFrame] | None = None, **arguments: object) -> DataFrame:
@@ -133,8 +161,9 @@ def frame(spark: SparkSession, name: str, tables: Mapping[str, DataFrame], made:
     if name in tables:
         return tables[name]
     if name not in made:
-        text = _text(name, Spark, arguments)
-        made[name] = spark.sql(text, **{n: frame(spark, n, tables, made, **arguments) for n in needs(text)})
+        bound: dict[str, object] = {}
+        text = _text(STEPS[name](Spark), arguments, bound)
+        made[name] = spark.sql(text, bound or None, **{n: frame(spark, n, tables, made, **arguments) for n in needs(text)})
     return made[name]
 
 
@@ -144,10 +173,11 @@ def sql(name: str, **arguments: object) -> str:
 
     def visit(n: str) -> None:
         if n in STEPS and n not in order:
-            for m in needs(_text(n, Duck, arguments)):
+            for m in needs(STEPS[n](Duck)):
                 visit(m)
             order.append(n)
 
     visit(name)
-    parts = [f"{n}_ as ({re.sub(r'\{(\w+)\}', lambda m: m[1] + '_' if m[1] in STEPS else m[1], _text(n, Duck, arguments))})" for n in order]
+    body = lambda n: re.sub(r"\{(\w+)\}", lambda m: m[1] + "_" if m[1] in STEPS else m[1], STEPS[n](Duck))
+    parts = [f"{n}_ as ({_text(body(n), arguments, None)})" for n in order]
     return f"with {', '.join(parts)} select * from {name}_"

@@ -125,7 +125,7 @@ def s16_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s17_merge_keep_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates without a title or a number keep what was there; half of the conversations are updated, a seventh is new."""
     rows = _turns(spark, sf_dir)
-    updates = rows.where("conv_id % 2 = 0").selectExpr("conv_id", "if(conv_id % 4 = 0, null, turns + 100) as turns", "if(conv_id % 6 = 0, '', upper(title)) as title")
+    updates = rows.where("conv_id % 2 = 0").selectExpr("conv_id", "if(conv_id % 4 = 0, null, turns + 100) as turns", "if(conv_id % 6 = 0, '', concat('new ', title)) as title")
     return logs.merge_keep_nonempty(rows.where("conv_id % 7 <> 0"), updates, "conv_id", ("title",), ("turns",))
 
 
@@ -168,7 +168,7 @@ _TURNS = "(select conv_id, count(*) as turns, arg_min(text, turn) as title from
 _SQL = {
     "s16_upsert": f"select conv_id, case when conv_id % 3 = 0 then turns + 100 else turns end as turns from {_TURNS} where conv_id % 3 = 0 or conv_id % 5 <> 0",
     "s17_merge_keep_nonempty": f"""select conv_id, case when conv_id % 2 = 0 and conv_id % 4 <> 0 then turns + 100 when conv_id % 7 <> 0 then turns end as turns,
-case when conv_id % 2 = 0 and conv_id % 6 <> 0 then coalesce(nullif(upper(title), ''), case when conv_id % 7 <> 0 then title end) when conv_id % 7 <> 0 then title end as title from {_TURNS} where conv_id % 7 <> 0 or conv_id % 2 = 0""",
+case when conv_id % 2 = 0 and conv_id % 6 <> 0 then coalesce(nullif('new ' || title, ''), case when conv_id % 7 <> 0 then title end) when conv_id % 7 <> 0 then title end as title from {_TURNS} where conv_id % 7 <> 0 or conv_id % 2 = 0""",
     "s18_stale_cache": f"select conv_id as session_id, turns as mtime from {_TURNS} where conv_id % 3 = 0 or conv_id % 5 = 0 or conv_id % 7 = 0",
     "st4_chosen_tools": "select event_type as tool_name, count(*) as calls from events where event_type <> 'view' group by event_type",
     "st7_bursts": """with e as (select user_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as before from events),

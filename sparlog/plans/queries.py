@@ -6,10 +6,12 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import activity, behaviour, cost, search  # noqa: F401  they fill the catalogue
+from ..operators import activity, behaviour, cost, search, vectors  # noqa: F401  they fill the catalogue
+from ..sources import knowledge
 from . import catalog
+from .scratch import Rounds
 
-TABLES = ("customer", "conversations", "documents", "embeddings", "events", "labels", "lineitem")
+TABLES = ("customer", "conversations", "documents", "embeddings", "events", "labels", "lineitem", "pages")
 
 
 #: What the registered queries ask on the given tables, whose events lie hours apart; all else has its default.
@@ -22,31 +24,54 @@ ARGUMENTS: dict[str, dict[str, object]] = {
     "r10_advise": {"hook_tool": "click", "hook_count": 2, "hook_window_s": 36_000, "skill_count": 2, "skill_window_s": 36_000, "min_pairs": 1, "read_tool": "view"},
     "r11_meta_report": {"min_count": 2, "window_s": 36_000},
     "j4_reads_within_5_minutes": {"read_tool": "view"},
-    "q6_search_hybrid": {"text": "at"},
     "q4_search_like": {"text": "tion"},
     "q5_search_metadata": {"text": "3"},
 }
 
 
+def _nearest_to_queries(tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
+    every = catalog.frame(spark, "vectors", tables)
+    return vectors.nearest(catalog.frame(spark, "vector_queries", tables), every, 50, least=0.0, with_self=True)
+
+
+def _nearest_sessions(tables: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
+    every = catalog.frame(spark, "vectors", tables)
+    return vectors.nearest(every, every, 10)
+
+
+#: Inputs of steps that Spark operators make.
+MADE: dict[str, Callable[[Mapping[str, DataFrame], SparkSession], DataFrame]] = {
+    "knowledge_rows": lambda tables, spark: knowledge.knowledge_from_replies(knowledge.replies_from_pages(tables["pages"])),
+    "spread_vocabulary": lambda tables, spark: catalog.frame(spark, "vocabulary", tables).repartition(spark.sparkContext.defaultParallelism),
+    "index_rows": lambda tables, spark: Rounds(spark, "text-index").keep(catalog.frame(spark, "token_stems", tables)),
+    "nearest_sessions": _nearest_sessions,
+    "nearest_to_queries": _nearest_to_queries,
+}
+
+
 class _Tables(Mapping):
-    """Reads a table only when a step names it."""
+    """Reads a table, or makes an input, only when a step names it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in MADE:
+            if name not in self.made:
+                self.made[name] = MADE[name](self, self.spark)
+            return self.made[name]
         if name not in TABLES:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __contains__(self, name: object) -> bool:
-        return name in TABLES
+        return name in TABLES or name in MADE
 
     def __iter__(self):
-        return iter(TABLES)
+        return iter((*TABLES, *MADE))
 
     def __len__(self) -> int:
-        return len(TABLES)
+        return len(TABLES) + len(MADE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ tables from star-schema tables, so that every operator runs on data that grows.
 """
 
 from ..plans.catalog import DEFAULTS, step
+from . import knowledge
 
 AS_OF = "timestamp '$as_of'"
 DEFAULTS["as_of"] = "2024-01-31 00:00:00"
@@ -49,13 +50,14 @@ step("s8_tool_calls", "select session_id, tool_name, count(*) as calls from {too
 step("session_files", "select l_orderkey as session_id, l_partkey as file_path, count(*) as op_count, min(cast(l_shipdate as timestamp)) as first_op_ts from {lineitem} group by l_orderkey, l_partkey", operator=False)
 step("s6_messages", "select conv_id as session_id, turn as ord, role, text as content from {conversations} where role in ('user', 'assistant') and trim(text) <> ''")
 step("vectors", "select vec_id as session_id, label, embedding from {embeddings}", operator=False)
-#: Commands that shell events hold, by turns.
-SHELL = ("curl https://api.github.com/repos", "grep -r TODO .", "find . -type f", "git diff --name-only", "kubectl get pods", "jq -r .name", "docker run -it box", "ls")
-step("shell_commands", lambda d: "select session_id, tool_name, " + "case event_id % 8 " + " ".join(f"when {k} then '{c}'" for k, c in enumerate(SHELL)) + " end as input_preview from (select session_id, event_type as tool_name, event_id from {event_rows})", operator=False)
-# what a model would note of a session: its first question, its last answer, its answers as decisions, its words as patterns
-step(
-    "knowledge",
-    lambda d: f"""select session_id, 1704067200 + session_id % 30 * 86400 as generated_at, min_by(content, ord) filter (where role = 'user') as problem, max_by(content, ord) filter (where role = 'assistant') as solution,
-    {d.list("content", "ord", "role = 'assistant'")} as decisions, {d.list("content", "ord", "role = 'user'")} as open_questions from {{s6_messages}} group by session_id""",
-    operator=False,
-)
+# ``sources.knowledge`` makes it from model replies; the checking engine reads the pages that the replies tell of
+def _knowledge(d) -> str:
+    if d.name == "spark":
+        return "select * from {knowledge_rows}"
+    each = lambda pattern: "regexp_extract_all(html, '" + pattern.replace('\\"', '"') + "', 1)"
+    one = lambda pattern: "regexp_extract(html, '" + pattern.replace('\\"', '"') + "', 1)"
+    return f"""select page_id as session_id, 1704067200 + page_id % 30 * 86400 + page_id % 7 * 3600 as generated_at, {one(knowledge.TITLE)} as problem, {one(knowledge.HEADLINE)} as solution,
+    {each(knowledge.BOLD)} as decisions, {each(knowledge.ASIDE)} as code_patterns, {each(knowledge.LINK)} as tech_used, {each(knowledge.SHORT)} as open_questions from {{pages}}"""
+
+
+step("knowledge", _knowledge, operator=False)

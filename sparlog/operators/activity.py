@@ -37,19 +37,26 @@ step(
 )
 step("t11_tool_stats", lambda d: f"select tool_name, cast(sum(calls) as bigint) as calls, count(distinct session_id) as sessions, {d.floor_div('cast(sum(calls) as bigint)', 'count(distinct session_id)')} as mean_calls from {{s8_tool_calls}} group by tool_name order by calls desc, tool_name limit 25")
 step("t12_tool_sessions", "select session_id, calls from {s8_tool_calls} where tool_name = 'click' order by calls desc, session_id limit 50")
+# order statistics: Spark selects them over ranges of values (``operators.order``), the checking engine numbers the rows of a group
 step(
-    "flow_ranked",
-    """select message_count as m, row_number() over (partition by model order by message_count, session_id) as k, count(*) over (partition by model) as n, model,
-    case when message_count < 10 then 0 when message_count < 30 then 1 when message_count < 100 then 2 when message_count < 300 then 3 when message_count < 1000 then 4 else 5 end as bucket from {sessions}""",
+    "flow_rows",
+    "select model, session_id, message_count, case when message_count < 10 then 0 when message_count < 30 then 1 when message_count < 100 then 2 when message_count < 300 then 3 when message_count < 1000 then 4 else 5 end as bucket from {sessions}",
     operator=False,
 )
-step("t13_flow_distribution", lambda d: "select model, " + ", ".join(f"{d.bool_sum(f'bucket = {b}')} as b{b}" for b in range(6)) + ", " + ", ".join(f"max(case when k = floor((n - 1) * {p / 100}e0) + 1 then m end) as p{p}" for p in (50, 90, 99)) + " from {flow_ranked} group by model")
 step(
-    "t14_convergence",
-    lambda d: f"""select model, max(total) as total, max(n) as resolved, max(case when k = {d.floor_div("n", "2")} + 1 then r end) as p50, max(case when k = least({d.floor_div("n * 9", "10")}, n - 1) + 1 then r end) as p90 from
-    (select coalesce(model, '(unknown)') as model, resolved_at_turn as r, count(*) over (partition by model) as total, count(resolved_at_turn) over (partition by model) as n,
-    row_number() over (partition by model order by case when resolved_at_turn is null then 1 else 0 end, resolved_at_turn, session_id) as k from {{sessions}}) group by model""",
+    "flow_percentiles",
+    lambda d: "select * from {flow_selected}" if d.name == "spark" else "select model, " + ", ".join(f"max(case when k = floor((n - 1) * {p / 100}e0) + 1 then message_count end) as p{p}" for p in (50, 90, 99)) + " from (select *, row_number() over (partition by model order by message_count, session_id) as k, count(*) over (partition by model) as n from {flow_rows}) group by model",
+    operator=False,
+)
+step("t13_flow_distribution", lambda d: "select b.*, p.p50, p.p90, p.p99 from (select model, " + ", ".join(f"{d.bool_sum(f'bucket = {b}')} as b{b}" for b in range(6)) + " from {flow_rows} group by model) b join {flow_percentiles} p on p.model = b.model")
+step("resolved_rows", "select coalesce(model, '(unknown)') as model, session_id, resolved_at_turn as r from {sessions}", operator=False)
+step(
+    "resolved_percentiles",
+    lambda d: "select model, n as resolved, p50, p90 from {resolved_selected}" if d.name == "spark" else f"""select model, max(n) as resolved, max(case when k = {d.floor_div("n", "2")} + 1 then r end) as p50, max(case when k = least({d.floor_div("n * 9", "10")}, n - 1) + 1 then r end) as p90 from
+    (select model, r, count(*) over (partition by model) as n, row_number() over (partition by model order by r, session_id) as k from {{resolved_rows}} where r is not null) group by model""",
+    operator=False,
 )
+step("t14_convergence", "select t.model, t.total, coalesce(p.resolved, 0) as resolved, p.p50, p.p90 from (select model, count(*) as total from {resolved_rows} group by model) t left join {resolved_percentiles} p on p.model = t.model")
 step("t15_recent_by_project", "select project_dir, session_id, max(end_time) over (partition by project_dir) as latest, count(*) over (partition by project_dir) as sessions, row_number() over (partition by project_dir order by end_time desc, session_id) as place from {sessions}")
 step(
     "thread_rows",
@@ -65,6 +72,13 @@ step(
 )
 step("w2_thread_totals", lambda d: f"select project_dir, git_branch, cast(thread_no as bigint) as thread_no, cast(sum({d.us('start_time', 'end_time')}) as bigint) as duration_us, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd, cast(sum(sidechain_agents) as bigint) as agents from {{thread_rows}} group by project_dir, git_branch, thread_no")
 step("w3_thread_shape", lambda d: f"select session_id, cast(least(7, floor({d.us('start_time', 'end_time')} * 7e0 / nullif(max({d.us('start_time', 'end_time')}) over (partition by project_dir, git_branch, thread_no), 0))) as integer) as level from {{thread_rows}}")
-step("w4_rank_percentile", "select source, max(n) as n, max(case when k = floor((n - 1) * 0.5e0) + 1 then n_chars end) as p50, max(case when k = floor((n - 1) * 0.9e0) + 1 then n_chars end) as p90 from (select source, n_chars, row_number() over (partition by source order by n_chars, doc_id) as k, count(*) over (partition by source) as n from {documents}) group by source")
+step(
+    "w4_rank_percentile",
+    lambda d: "select * from {price_percentiles}" if d.name == "spark" else f"""select l_shipmode_, count(*) as n, max(case when k = floor((n - 1) * 0.5e0) then v end) as p50, max(case when k = floor((n - 1) * 0.9e0) then v end) as p90, max(case when k = {d.floor_div("n", "2")} then v end) as upper_median,
+    max(case when k = least({d.floor_div("n * 9", "10")}, n - 1) then v end) as nine_tenths from (select l_returnflag || l_linestatus as l_shipmode_, l_extendedprice as v, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) - 1 as k, count(*) over (partition by l_returnflag, l_linestatus) as n from {{lineitem}}) group by l_shipmode_""".replace("l_shipmode_", "kind"),
+)
 step("w5_top_k_per_group", "select lang, doc_id, n_chars, k from (select lang, doc_id, n_chars, row_number() over (partition by lang order by n_chars desc, doc_id) as k from {documents}) where k <= 5")
-step("w6_thread_lanes", "select project_dir, git_branch, cast(thread_no as bigint) as thread_no, min(place) as first_place, max(place) as last_place from (select *, row_number() over (partition by project_dir order by start_time, session_id) as place from {thread_rows}) group by project_dir, git_branch, thread_no")
+step(
+    "w6_thread_lanes",
+    lambda d: "select project_dir, git_branch, cast(thread_no as bigint) as thread_no, first_index, last_index, sessions from {lanes}" if d.name == "spark" else "select project_dir, git_branch, cast(thread_no as bigint) as thread_no, min(place) as first_index, max(place) as last_index, count(*) as sessions from (select *, row_number() over (order by start_time, session_id) - 1 as place from {thread_rows}) group by project_dir, git_branch, thread_no",
+)

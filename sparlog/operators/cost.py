@@ -55,19 +55,21 @@ step(
     from (select *, {d.extract("git_branch", "[A-Z][A-Z]+-[0-9]+")} as ticket from {{p1_session_cost}} where git_branch is not null and git_branch <> '') where ticket <> ''
     group by ticket order by cost_usd desc, ticket limit 20""",
 )
-step(
-    "project_ranks",
-    """select project_dir, cost_usd, input_tokens + output_tokens as tokens, row_number() over (partition by project_dir order by coalesce(cost_usd, 0e0), session_id) as cost_rank,
-    row_number() over (partition by project_dir order by input_tokens + output_tokens, session_id) as token_rank, count(*) over (partition by project_dir) as n from {p1_session_cost}""",
-    operator=False,
-)
+step("project_rows", "select project_dir, session_id, cost_usd, coalesce(cost_usd, 0e0) as cost, input_tokens + output_tokens as tokens from {p1_session_cost}", operator=False)
+
+
+def _p90(value: str, made: str):
+    """Spark selects the order statistic over ranges of values (``operators.order``), the checking engine numbers the rows of a group."""
+    return lambda d: f"select project_dir, p90 from {{{made}}}" if d.name == "spark" else f"select project_dir, max(case when k = floor((n - 1) * 0.9e0) + 1 then {value} end) as p90 from (select *, row_number() over (partition by project_dir order by {value}, session_id) as k, count(*) over (partition by project_dir) as n from {{project_rows}}) group by project_dir"
+
+
+step("project_p90_cost", _p90("cost", "selected_cost"), operator=False)
+step("project_p90_tokens", _p90("tokens", "selected_tokens"), operator=False)
 step("project_tools", "select project_dir, tool_name, calls, row_number() over (partition by project_dir order by calls desc, tool_name) as k from (select s.project_dir, t.tool_name, cast(sum(t.calls) as bigint) as calls from {s8_tool_calls} t join {sessions} s on t.session_id = s.session_id group by s.project_dir, t.tool_name)", operator=False)
 step(
     "c12_project_profile",
-    lambda d: f"""select r.project_dir, max(n) as sessions, round(sum(cost_usd), 8) as cost_usd,
-    round(max(case when cost_rank = floor((n - 1) * 0.9e0) + 1 then coalesce(cost_usd, 0e0) end), 8) as p90_cost,
-    max(case when token_rank = floor((n - 1) * 0.9e0) + 1 then tokens end) as p90_tokens, max(t.tools) as top_tools, max(l.ticket) as ticket
-    from {{project_ranks}} r
+    lambda d: f"""select r.project_dir, count(*) as sessions, round(sum(cost_usd), 8) as cost_usd, round(max(c.p90), 8) as p90_cost, max(k.p90) as p90_tokens, max(t.tools) as top_tools, max(l.ticket) as ticket
+    from {{project_rows}} r join {{project_p90_cost}} c on c.project_dir = r.project_dir join {{project_p90_tokens}} k on k.project_dir = r.project_dir
     left join (select project_dir, {d.joined("tool_name", "k")} as tools from {{project_tools}} where k <= 3 group by project_dir) t on r.project_dir = t.project_dir
     left join (select project_dir, {d.extract("max_by(git_branch, " + d.row("start_time", "session_id") + ")", "[A-Z][A-Z]+-[0-9]+")} as ticket from {{sessions}} where git_branch is not null group by project_dir) l on r.project_dir = l.project_dir
     group by r.project_dir""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query_language
-from ..operators import recurring
+from ..operators import recurring, topics
 from . import catalog
 from . import queries as catalogue
 
@@ -42,7 +42,12 @@ def p4_resolve_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_language.resolve_session_ids(sessions, asked)
 
 
-_ALL = (k3_recurring_problems, j5_similar_problems, p5_search_filters, p4_resolve_session_id)
+def q15_kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten topics of all vectors; tests hold the rounds to their rules, SQL cannot express them."""
+    return topics.kmeans_topics(_frame(spark, sf_dir, "vectors"))[0].select("session_id", "topic")
+
+
+_ALL = (q15_kmeans_topics, k3_recurring_problems, j5_similar_problems, p5_search_filters, p4_resolve_session_id)
 
 _STOP = ", ".join(f"'{w}'" for w in recurring.PROBLEM_STOPWORDS)
 _PROBLEMS = rf"""problems as (select session_id, problem, words, row_number() over (order by said desc, session_id) as rank from (select page_id as session_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as problem, 1704067200 + page_id % 30 * 86400 + page_id % 7 * 3600 as said,

@@ -93,15 +93,6 @@ def b17_parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.parse_model_json(replies, "role string, turn long")
 
 
-def q15_kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of vectors by k-means from k-means|| seeds; the assignment is Spark's own, not the reference values."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    return KMeans(k=10, maxIter=50, seed=42).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("topic"))
-
-
 def st2_stream_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops of equal events of a user within a day; the window is wide since the table's events are far apart."""
     return live.drain(live.stream_loops(_stream(spark, sf_dir), window_s=7 * 86_400, least=3, debounce_s=3600), _shared(spark))
@@ -146,7 +137,7 @@ def st7_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     s16_upsert, s17_merge_keep_nonempty, s18_stale_cache, st4_chosen_tools, st7_bursts,
     s4_sessions_from_events, s6_messages_from_events, s7_ledger_from_events, s9_tool_events_from_events, s12_file_ops_from_events, s14_ingest_filter,
-    s15_incremental_plan, p17_export_sessions, b17_parse_model_json, q15_kmeans_topics, st2_stream_loops, st7_windowed_usage,
+    s15_incremental_plan, p17_export_sessions, b17_parse_model_json, st2_stream_loops, st7_windowed_usage,
 )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import activity, behaviour, cost, search, vectors  # noqa: F401  they fill the catalogue
+from ..operators import activity, behaviour, cost, order, search, vectors  # noqa: F401  they fill the catalogue
 from ..sources import knowledge
 from . import catalog
 from .scratch import Rounds
@@ -39,11 +39,21 @@ def _nearest_sessions(tables: Mapping[str, DataFrame], spark: SparkSession) -> D
     return vectors.nearest(every, every, 10)
 
 
+def _percentiles(step: str, by: str, value: str, **wanted: tuple[str, float]):
+    return lambda tables, spark: order.rank_percentiles(catalog.frame(spark, step, tables), [by], value, wanted)
+
+
 #: Inputs of steps that Spark operators make.
 MADE: dict[str, Callable[[Mapping[str, DataFrame], SparkSession], DataFrame]] = {
     "knowledge_rows": lambda tables, spark: knowledge.knowledge_from_replies(knowledge.replies_from_pages(tables["pages"])),
     "spread_vocabulary": lambda tables, spark: catalog.frame(spark, "vocabulary", tables).repartition(spark.sparkContext.defaultParallelism),
     "index_rows": lambda tables, spark: Rounds(spark, "text-index").keep(catalog.frame(spark, "token_stems", tables)),
+    "flow_selected": _percentiles("flow_rows", "model", "message_count", p50=("floor", 0.5), p90=("floor", 0.9), p99=("floor", 0.99)),
+    "resolved_selected": _percentiles("resolved_rows", "model", "r", p50=("half", 0), p90=("nine_tenths", 0)),
+    "selected_cost": _percentiles("project_rows", "project_dir", "cost", p90=("floor", 0.9)),
+    "selected_tokens": _percentiles("project_rows", "project_dir", "tokens", p90=("floor", 0.9)),
+    "price_percentiles": lambda tables, spark: order.rank_percentiles(tables["lineitem"].selectExpr("l_returnflag || l_linestatus as kind", "l_extendedprice as v"), ["kind"], "v", {"p50": ("floor", 0.5), "p90": ("floor", 0.9), "upper_median": ("half", 0), "nine_tenths": ("nine_tenths", 0)}),
+    "lanes": lambda tables, spark: order.thread_lanes(catalog.frame(spark, "thread_rows", tables), ["project_dir", "git_branch", "thread_no"]),
     "nearest_sessions": _nearest_sessions,
     "nearest_to_queries": _nearest_to_queries,
 }

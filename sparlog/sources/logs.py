@@ -32,13 +32,21 @@ _AGENT_PATH = "/subagents/"
 
 def read_lines(spark: SparkSession, root: str, agents: bool = False) -> DataFrame:
     """Lines of all ``*.jsonl`` below ``root``: those of sessions, or with ``agents`` those of their sub-agents."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("mtime"), order.alias("ord"), F.col("value").alias("line"))
+    rows = _lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root))
     inside = F.col("file_path").contains(_AGENT_PATH)
     return rows.where(inside if agents else ~inside)
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of given files, as ``read_lines`` has them."""
+    return _lines(spark.read.text(paths))
+
+
+def _lines(raw: DataFrame) -> DataFrame:
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("mtime"), order.alias("ord"), F.col("value").alias("line"))
+
+
 def decode_project_dir(path: Column) -> Column:
     """The project folder that a log's parent folder spells with dashes (S3)."""
     name = F.element_at(F.split(path, "/"), -2)

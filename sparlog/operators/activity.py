@@ -1,6 +1,6 @@
 """Activity: heat maps, streaks, distributions, work threads."""
 
-from ..plans.catalog import step
+from ..plans.catalog import DEFAULTS, step
 from ..sources.canonical import AS_OF
 
 step("grid_6_7", lambda d: f"select bin, wd from (select {d.ints(0, 5)} as bin) cross join (select {d.ints(0, 6)} as wd)", operator=False)
@@ -17,18 +17,18 @@ step("t4_time_cost_points", "select session_id, cast(hour(start_time) as integer
 step(
     "t5_overview",
     lambda d: f"""select count(*) as sessions, cast(sum(message_count) as bigint) as messages, count(distinct cast(start_time as date)) as active_days, {d.days("cast(min(start_time) as date)", "cast(max(start_time) as date)")} + 1 as observed_days,
-    max_by(session_id, {d.row(d.us("start_time", "end_time"), "session_id")}) as longest, min(start_time) as first_seen, max(start_time) as last_seen,
+    max_by(session_id, {d.row(d.us("start_time", "end_time"), "session_id")}) as longest, (select day from (select cast(start_time as date) as day, count(*) as n from {{sessions}} group by 1) order by n desc, day limit 1) as busiest_day, min(start_time) as first_seen, max(start_time) as last_seen,
     (select model from (select model, count(*) as n from {{sessions}} where model <> '' and model <> '<synthetic>' group by model) order by n desc, model limit 1) as favourite from {{sessions}}""",
 )
 step("days_active", "select distinct cast(start_time as date) as day from {sessions}", operator=False)
 step("runs_of_days", lambda d: f"select min(day) as first_day, max(day) as last_day, count(*) as n from (select day, {d.days('date ' + repr('2020-01-01'), 'day')} - row_number() over (order by day) as g from {{days_active}}) group by g", operator=False)
 step("t6_streaks", lambda d: f"select max(n) as longest, coalesce(max(case when {d.days('last_day', 'date ' + repr('2024-01-31'))} <= 1 then n end), 0) as current from {{runs_of_days}}".replace("as current", "as current_run"))
-step("t7_timeline", "select cast(start_time as date) as day, session_id, row_number() over (partition by cast(start_time as date) order by start_time desc, session_id) as place from {sessions} where start_time >= timestamp '2024-01-24 00:00:00' and cast(start_time as date) <= date '2024-01-30'")
+step("t7_timeline", "select cast(start_time as date) as day, session_id, row_number() over (partition by cast(start_time as date) order by start_time desc, session_id) as place from {sessions} where start_time >= timestamp '$from_day' and cast(start_time as date) <= cast(timestamp '$to_day' as date)", from_day="2024-01-24 00:00:00", to_day="2024-01-30 00:00:00")
 step("t8_model_distribution", "select coalesce(nullif(model, ''), 'unknown') as model, cast(sum(message_count) as bigint) as messages from {sessions} group by 1")
 step(
     "t9_tokens_by_day_model",
     """select day, model, tokens, cast(sum(tokens) over (partition by day) as bigint) as day_tokens from (select day, model, tokens, dense_rank() over (order by day desc) as k from
-    (select cast(start_time as date) as day, model, cast(sum(input_tokens + output_tokens) as bigint) as tokens from {sessions} where model <> '' group by 1, 2) where tokens > 0) where k <= 30""",
+    (select cast(start_time as date) as day, model, cast(sum(input_tokens + output_tokens) as bigint) as tokens from {sessions} where model <> '' and model <> '<synthetic>' group by 1, 2) where tokens > 0) where k <= 30""",
 )
 step(
     "t10_model_breakdown",
@@ -36,11 +36,11 @@ step(
     (select model, cast(sum(input_tokens + cache_creation_tokens + cache_read_tokens) as bigint) as tokens_in, cast(sum(output_tokens) as bigint) as tokens_out, count(*) as sessions from {sessions} group by model)""",
 )
 step("t11_tool_stats", lambda d: f"select tool_name, cast(sum(calls) as bigint) as calls, count(distinct session_id) as sessions, {d.floor_div('cast(sum(calls) as bigint)', 'count(distinct session_id)')} as mean_calls from {{s8_tool_calls}} group by tool_name order by calls desc, tool_name limit 25")
-step("t12_tool_sessions", "select session_id, calls from {s8_tool_calls} where tool_name = 'click' order by calls desc, session_id limit 50")
+step("t12_tool_sessions", "select session_id, calls from {s8_tool_calls} where tool_name = '$tool' order by calls desc, session_id limit $tool_sessions", tool="Edit", tool_sessions=50)
 # order statistics: Spark selects them over ranges of values (``operators.order``), the checking engine numbers the rows of a group
 step(
     "flow_rows",
-    "select model, session_id, message_count, case when message_count < 10 then 0 when message_count < 30 then 1 when message_count < 100 then 2 when message_count < 300 then 3 when message_count < 1000 then 4 else 5 end as bucket from {sessions}",
+    "select model, session_id, message_count, case when message_count < 10 then 0 when message_count < 30 then 1 when message_count < 100 then 2 when message_count < 300 then 3 when message_count < 1000 then 4 else 5 end as bucket from (select model, session_id, message_count from {sessions} union all select 'all models', session_id, message_count from {sessions})",
     operator=False,
 )
 step(
@@ -61,16 +61,18 @@ step("t15_recent_by_project", "select project_dir, session_id, max(end_time) ove
 step(
     "thread_rows",
     lambda d: f"""select *, sum(opens) over (partition by project_dir, git_branch order by start_time, session_id rows unbounded preceding) as thread_no from
-    (select *, case when before is null then 'first' when gap_us < 60000000 then 'compact' else 'resumed' end as kind, case when before is null or gap_us > 1800000000 then 1 else 0 end as opens from
+    (select *, case when before is null then 'first' when gap_us < $compact_s * 1000000 then 'compact' else 'resumed' end as kind, case when before is null or gap_us > $gap_s * 1000000 then 1 else 0 end as opens from
     (select *, greatest(0, {d.us("before", "start_time")}) as gap_us from (select *, lag(end_time) over (partition by project_dir, git_branch order by start_time, session_id) as before from {{p1_session_cost}})))""",
     operator=False,
 )
+DEFAULTS.update(compact_s=60, gap_s=1800)
 step(
     "w1_build_threads",
     lambda d: f"""select project_dir, git_branch, cast(thread_no as bigint) as thread_no, min(start_time) as start_time, max_by(end_time, {d.row("start_time", "session_id")}) as end_time, count(*) as sessions,
     {d.bool_sum("kind = 'compact' and opens = 0")} as compact, {d.joined("session_id", "start_time")} as session_ids from {{thread_rows}} group by project_dir, git_branch, thread_no""",
 )
 step("w2_thread_totals", lambda d: f"select project_dir, git_branch, cast(thread_no as bigint) as thread_no, cast(sum({d.us('start_time', 'end_time')}) as bigint) as duration_us, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd, cast(sum(sidechain_agents) as bigint) as agents from {{thread_rows}} group by project_dir, git_branch, thread_no")
+step("w2_threads_by_project", "select project_dir, sum(sessions) over (partition by project_dir) as project_sessions, git_branch, thread_no, sessions, row_number() over (partition by project_dir order by start_time desc, git_branch, thread_no) as place from {w1_build_threads}")
 step("w3_thread_shape", lambda d: f"select session_id, cast(least(7, floor({d.us('start_time', 'end_time')} * 7e0 / nullif(max({d.us('start_time', 'end_time')}) over (partition by project_dir, git_branch, thread_no), 0))) as integer) as level from {{thread_rows}}")
 step(
     "w4_rank_percentile",

@@ -39,7 +39,9 @@ step("phrases", "select phrase from (values " + ", ".join(f"('{p}')" for p in RE
 step("b8_error_breakdown", "select p.phrase, count(m.content) as n from {phrases} p left join (select * from {s6_messages} where role = 'user') m on contains(lower(m.content), p.phrase) group by p.phrase")
 step("session_errors", lambda d: f"select session_id, hits, total, hits / (total * 1e0) as rate from (select session_id, {d.bool_sum(d.matches('lower(content)', _REWORK))} as hits, count(*) as total from {{s6_messages}} where role = 'user' group by session_id)", operator=False)
 step("b9_high_error_sessions", "select session_id, hits, total, round(rate, 6) as rate from {session_errors} where rate >= $least_rate", least_rate=0.15)
-step("b10_style", "select m.role, m.messages, round(t.tokens / (m.messages * 1e0), 6) as mean_tokens, round(m.sentences / (m.messages * 1e0), 6) as mean_sentences, t.vocabulary from (select role, count(*) as messages, sum(greatest(1, length(content) - length(replace(replace(replace(content, '.', ''), '!', ''), '?', '')))) as sentences from {s6_messages} group by role) m join (select role, count(*) as tokens, count(distinct w) as vocabulary from {token_rows} group by role) t on m.role = t.role")
+step("role_words", "select role, w, n, row_number() over (partition by role order by n desc, w) as k from (select role, w, count(*) as n from {token_rows} group by role, w)", operator=False)
+step("role_top", lambda d: f"select role, {d.joined('w', 'k')} as top_words from {{role_words}} where k <= 10 group by role", operator=False)
+step("b10_style", "select m.role, m.messages, round(t.tokens / (m.messages * 1e0), 6) as mean_tokens, round(m.sentences / (m.messages * 1e0), 6) as mean_sentences, t.vocabulary, w.top_words from (select role, count(*) as messages, sum(greatest(1, length(content) - length(replace(replace(replace(content, '.', ''), '!', ''), '?', '')))) as sentences from {s6_messages} group by role) m join (select role, sum(n) as tokens, count(*) as vocabulary from {role_words} group by role) t on m.role = t.role join {role_top} w on w.role = m.role")
 step("b11_rework_label", "select session_id, case when rate > 0.15e0 then 'high' when rate > 0.05e0 then 'moderate' else 'healthy' end as label from {session_errors}")
 #: Labels and patterns of technologies; those of the second list are looked for as they are spelt.
 TECH = (
@@ -56,14 +58,20 @@ _TECH = [(label, rf"(?i)\b(?:{r})\b") for label, r in TECH] + [(label, rf"\b(?:{
 step("tech_counts", lambda d: f"select {d.table(('tech', 'found'), [(repr(label), d.count_matches('content', d.ascii_word(r))) for label, r in _TECH])} from {{tech_texts}}", operator=False)
 step("tech_texts", "select content from {s6_messages}", operator=False)
 step("b12_detect_tech", "select tech, cast(sum(found) as bigint) as matches from {tech_counts} group by tech having sum(found) > 0 order by matches desc, tech")
-step("b13_transcripts", lambda d: f"select session_id, {d.lines('line', 'ord')} as transcript from (select session_id, ord, role || ': ' || substring(content, 1, 800) as line, sum(least(length(content), 800)) over (partition by session_id order by ord rows unbounded preceding) as used, least(length(content), 800) as own from {{s6_messages}}) where used - own < 8000 group by session_id")
+step("said_lines", "select session_id, ord, role || ': ' || substring(content, 1, $most_of_message) || case when length(content) > $most_of_message then '…' else '' end || chr(10) || '---' || chr(10) as line from {s6_messages}", operator=False, most_of_message=800)
+step("used_lines", "select session_id, ord, line, sum(length(line)) over (partition by session_id order by ord rows unbounded preceding) - length(line) as used from {said_lines}", operator=False)
+step("b13_transcripts", lambda d: f"select session_id, case when length(body) > $most_of_session then substring(body, 1, $most_of_session) || chr(10) || '…(truncated)' else body end as transcript from (select session_id, {d.joined('line', 'ord', '')} as body from {{used_lines}} where used <= $most_of_session group by session_id)", most_of_session=8000)
 step("b14_embedding_text", lambda d: f"select session_id, substring({d.lines('content', 'ord')}, 1, $most_chars) as body from (select session_id, ord, content, sum(length(content)) over (partition by session_id order by ord rows unbounded preceding) as used from {{s6_messages}} where role = 'user') where used - length(content) < $most_chars group by session_id", most_chars=4000)
 step(
     "b15_insight_evidence",
-    """select 'word' as kind, w as item, n from (select w, n from {b2_top_words} order by n desc, w limit 15) union all select 'bigram', gram, n from (select gram, n from {b4_top_bigrams} order by n desc, gram limit 10)
-    union all select 'tool', tool_name, calls from (select tool_name, calls from {t11_tool_stats} order by calls desc, tool_name limit 10) union all select 'error', 'hits', hits from {b7_error_rate}""",
+    lambda d: f"""select 'word' as kind, w as item, cast(n as double) as value from (select w, n from {{b2_top_words}} order by n desc, w limit 15) union all select 'bigram', gram, n from (select gram, n from {{b4_top_bigrams}} order by n desc, gram limit 10)
+    union all select 'tool', tool_name, calls from (select tool_name, calls from {{t11_tool_stats}} order by calls desc, tool_name limit 10) union all select 'error', 'rate', rate from {{b7_error_rate}} union all select 'error', 'hits', hits from {{b7_error_rate}}
+    union all select 'high error session', {d.text("session_id")}, rate from {{b9_high_error_sessions}} union all select 'summary', {d.text("session_id")} || ': ' || case when length(summary) > 120 then substring(summary, 1, 120) || '…' else summary end, length(summary) from {{chat_sessions}} where summary <> ''""",
 )
-step("b16_knowledge_inputs", "select session_id, ord, substring(content, 1, 200) as content, case when f <= 5 then 'first' else 'last' end as side from (select *, row_number() over (partition by session_id order by ord) as f, row_number() over (partition by session_id order by ord desc) as l from {s6_messages} where role = 'user' and substring(content, 1, 1) <> '<') where f <= 5 or l <= 5")
+step("asked", "select session_id, ord, content, row_number() over (partition by session_id order by ord) as f, row_number() over (partition by session_id order by ord desc) as l from {s6_messages} where role = 'user' and substring(trim(content), 1, 1) <> '<'", operator=False)
+step("chat_tools", lambda d: f"select session_id, {d.joined('tool', 'k')} as tools from (select session_id, tool, row_number() over (partition by session_id order by n desc, tool) as k from (select user_id as session_id, event_type as tool, count(*) as n from {{event_rows}} group by user_id, event_type)) where k <= 8 group by session_id", operator=False)
+step("asked_lines", lambda d: f"select session_id, {d.joined('line', 'ord', ' | ')} as asked from (select session_id, ord, substring(trim(content), 1, 200) || case when length(trim(content)) > 200 then '…' else '' end as line from {{asked}} where f <= 5 or l <= 5) group by session_id", operator=False)
+step("b16_knowledge_inputs", lambda d: f"select s.session_id, coalesce(nullif(s.summary, ''), 'Session in ' || s.project_dir || ', branch ' || s.git_branch || ', ' || {d.text('m.messages')} || ' messages') as summary, a.asked, t.tools from {{chat_sessions}} s join (select session_id, count(*) as messages from {{s6_messages}} group by session_id) m on m.session_id = s.session_id left join {{asked_lines}} a on a.session_id = s.session_id left join {{chat_tools}} t on t.session_id = s.session_id")
 
 
 
@@ -74,7 +82,16 @@ def _loops(d, count: str, seconds: str) -> str:
 
 step("r1_detect_loops", lambda d: _loops(d, "$min_count", "$window_s") + " order by n desc, span_us, session_id, tool_name, input_hash limit 50", min_count=3, window_s=300)
 step("r2_file_reuse", "select file_path, count(distinct session_id) as sessions, cast(sum(op_count) as bigint) as ops from {session_files} group by file_path having count(distinct session_id) >= 2 order by sessions desc, ops desc, file_path limit 20")
-step("r3_rule_file_reuse", "select 'skill_file' as rule, cast(file_path as varchar(20)) as title, sessions * 10 as score, sessions as strength from {r2_file_reuse} where sessions >= 3 order by sessions desc, ops desc, file_path limit 10".replace("varchar(20)", "string"))
+#: Parts of paths that are no work of the session's own.
+NOISE_PATHS = ("/dist/", "/build/", "/node_modules/", "/.git/", "/.cache/", "/.next/", "/.DS_Store")
+def _noise(d) -> str:
+    return " or ".join(f"contains({d.text('file_path')}, '{p}')" for p in NOISE_PATHS)
+
+
+step(
+    "r3_rule_file_reuse",
+    lambda d: f"select 'skill_file' as rule, {d.text('file_path')} as title, sessions * 10 as score, sessions as strength from {{r2_file_reuse}} where sessions >= 3 and not ({_noise(d)}) order by sessions desc, ops desc, file_path limit 10",
+)
 step("hook_loops", lambda d: _loops(d, "$hook_count", "$hook_window_s") + " and tool_name = '$hook_tool' order by n desc, span_us, session_id, tool_name, input_hash limit 50", operator=False, hook_count=3, hook_window_s=3600, hook_tool="Bash")
 step("r4_rule_hook", "select 'hook' as rule, input_hash as title, n * 8 as score, n as strength from {hook_loops}")
 step("r5_rule_downgrade", "select 'downgrade' as rule, 'opus' as title, cast(round(sum(cost_usd) * 5) as bigint) as score, 4 as strength from {p1_session_cost} where contains(model, 'opus') and message_count <= 10 and output_tokens <= 50000 and cost_usd >= 0.1e0 having count(*) >= 3")
@@ -84,7 +101,7 @@ step(
     read_tool="Read",
 )
 step("r6_rule_subagent", "select 'subagent' as rule, session_id as title, pairs as score, 4 as strength from {j4_reads_within_5_minutes} where pairs >= $min_pairs order by pairs desc, session_id limit 5", min_pairs=30)
-step("r7_rule_context", "select 'context' as rule, head as title, count(*) * 6 as score, count(*) as strength from (select lower(substring(trim(first_user_msg), 1, 60)) as head from {sessions}) group by head having count(*) >= 3")
+step("r7_rule_context", "select 'context' as rule, head as title, count(*) * 6 as score, count(*) as strength from (select trim(trailing ' .,!?;:' from lower(substring(trim(first_user_msg), 1, 60))) as head from {sessions}) group by head having count(*) >= 3")
 step("skill_loops", lambda d: _loops(d, "$skill_count", "$skill_window_s") + " and tool_name <> '$hook_tool' order by n desc, span_us, session_id, tool_name, input_hash limit 50", operator=False, skill_count=5, skill_window_s=3600)
 step("r8_rule_loop_skill", "select 'loop_skill' as rule, tool_name || ' ' || input_hash as title, n * 7 as score, 7 as strength from {skill_loops}")
 #: Commands that a tool would do better, and how many make a case.
@@ -93,8 +110,10 @@ _MET = [" or ".join(f"contains(input_preview, '{p}')" for p in pats) for _, pats
 step("cli_counts", lambda d: f"select {d.table(('title', 'least', 'met'), [(repr(cli), str(least), f'case when {met} then 1 else 0 end') for (cli, _, least), met in zip(CLI, _MET, strict=True)])} from {{tool_events}} where tool_name = '$hook_tool'", operator=False)
 step("r9_rule_cli", lambda d: f"select 'cli' as rule, title, cast(sum(met) as bigint) * 4 as score, cast({d.floor_div('cast(sum(met) as bigint)', '2')} as bigint) as strength from {{cli_counts}} group by title, least having sum(met) >= least")
 step("r10_advise", "select rule, title, score, case when strength >= 7 then 'high' when strength >= 4 then 'medium' else 'low' end as confidence from (" + " union all ".join(f"select rule, title, cast(score as bigint) as score, cast(strength as bigint) as strength from {{{r}}}" for r in ("r3_rule_file_reuse", "r4_rule_hook", "r5_rule_downgrade", "r6_rule_subagent", "r7_rule_context", "r8_rule_loop_skill", "r9_rule_cli")) + ") order by score desc, rule, title")
+step("meta_loops", lambda d: _loops(d, "$meta_count", "$meta_window_s") + " order by n desc, span_us, session_id, tool_name, input_hash limit 50", operator=False, meta_count=3, meta_window_s=3600)
 step(
     "r11_meta_report",
     lambda d: f"""select 'file' as part, {d.text('file_path')} as item, cast(sessions as double) as n from {{r2_file_reuse}} union all select 'ticket', coalesce(ticket, ''), cast(cost_usd as double) from {{c11_cost_by_ticket}}
-    union all select 'loop', session_id || ' ' || tool_name || ' ' || input_hash, cast(n as double) from {{r1_detect_loops}}""",
+    union all select 'resolved', model, cast(resolved as double) from {{t14_convergence}} union all select 'median turn', model, cast(p50 as double) from {{t14_convergence}}
+    union all select 'loop', session_id || ' ' || tool_name || ' ' || input_hash, cast(n as double) from {{meta_loops}}""",
 )

@@ -71,7 +71,7 @@ step(
     lambda d: f"""select r.project_dir, count(*) as sessions, round(sum(cost_usd), 8) as cost_usd, round(max(c.p90), 8) as p90_cost, max(k.p90) as p90_tokens, max(t.tools) as top_tools, max(l.ticket) as ticket
     from {{project_rows}} r join {{project_p90_cost}} c on c.project_dir = r.project_dir join {{project_p90_tokens}} k on k.project_dir = r.project_dir
     left join (select project_dir, {d.joined("tool_name", "k")} as tools from {{project_tools}} where k <= 3 group by project_dir) t on r.project_dir = t.project_dir
-    left join (select project_dir, {d.extract("max_by(git_branch, " + d.row("start_time", "session_id") + ")", "[A-Z][A-Z]+-[0-9]+")} as ticket from {{sessions}} where git_branch is not null group by project_dir) l on r.project_dir = l.project_dir
+    left join (select project_dir, {d.extract("max_by(git_branch, " + d.row("start_time", "session_id") + ")", "[A-Z][A-Z][A-Z]?[A-Z]?[A-Z]?[A-Z]?[A-Z]?[A-Z]?-[0-9][0-9]?[0-9]?[0-9]?[0-9]?[0-9]?")} as ticket from {{sessions}} where git_branch is not null group by project_dir) l on r.project_dir = l.project_dir
     group by r.project_dir""",
 )
 step(
@@ -79,11 +79,18 @@ step(
     lambda d: f"""select session_id, input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens as tokens, cost_usd,
     round((input_tokens + output_tokens) / greatest(1e0, {d.us("start_time", AS_OF)} / 6e7), 8) as burn_rate from {{p1_session_cost}}""",
 )
+def severity(value: str, warn: str, crit: str) -> str:
+    """ok, warn or crit by bounds that count themselves; without bounds (both 0) all is ok."""
+    return f"case when {warn} = 0 and {crit} = 0 then 'ok' when {value} >= {crit} then 'crit' when {value} >= {warn} then 'warn' else 'ok' end"
+
+
+step("p13_severity", f"select session_id, message_count, {severity('message_count', '$warn_messages', '$crit_messages')} as severity from {{sessions}}", warn_messages=2, crit_messages=4)
 step(
     "c14_status_rollup",
-    """select s.session_id, s.project_dir, round(s.cost_usd / nullif(p.p90_cost, 0e0), 8) as cost_ratio,
-    case when s.cost_usd / nullif(p.p90_cost, 0e0) >= 1.2e0 then 'crit' when s.cost_usd / nullif(p.p90_cost, 0e0) >= 0.8e0 then 'warn' else 'ok' end as severity,
-    d.cost_usd as day_usd, m.accumulated_usd as month_usd from {p1_session_cost} s join {c12_project_profile} p on s.project_dir = p.project_dir cross join {c6_daily_totals} d cross join {c5_month_cost} m""",
+    f"""select s.session_id, s.project_dir, s.input_tokens + s.output_tokens + s.cache_creation_tokens + s.cache_read_tokens as tokens, s.cost_usd, round(s.cost_usd / nullif(p.p90_cost, 0e0), 8) as cost_ratio,
+    {severity("coalesce(s.cost_usd / nullif(p.p90_cost, 0e0), 0e0)", "$warn_ratio", "$crit_ratio")} as severity, p.sessions as project_sessions, d.sessions as day_sessions, d.cost_usd as day_usd, m.accumulated_usd as month_usd
+    from {{p1_session_cost}} s join {{c12_project_profile}} p on s.project_dir = p.project_dir cross join {{c6_daily_totals}} d cross join {{c5_month_cost}} m""",
+    warn_ratio=0.8, crit_ratio=1.2,
 )
 step(
     "recent_30",
@@ -104,23 +111,56 @@ step(
     left join (select project_dir, session_id, cast(floor({d.us('start_time', AS_OF)} / 8.64e10) as bigint) as days_ago from {{sessions}}) s on s.project_dir = g.project_dir and s.days_ago = g.days_ago group by g.project_dir, g.days_ago""",
     history_days=14,
 )
-step("p9_delta_label", lambda d: f"select session_id, case when base = 0e0 or base is null then '' when (now - base) / base * 100 > 50 then '↑↑' when (now - base) / base * 100 > 10 then '↑' when (now - base) / base * 100 < -50 then '↓↓' when (now - base) / base * 100 < -10 then '↓' else '=' end as delta from (select s.session_id, s.message_count * 1e0 as now, b.median_messages * 1e0 as base from {{sessions}} s left join {{c15_baseline}} b on s.project_dir = b.project_dir)")
-step("p11_title_for", lambda d: f"select session_id, coalesce(nullif(trim(substring(head, 1, case when cut > 0 then cut - 1 else 200 end)), ''), '(untitled)') as title from (select session_id, head, {d.position(repr('. '), 'head')} as cut from (select session_id, substring(coalesce(solution, problem, ''), 1, 200) as head from {{knowledge}}))")
+def delta_label(now: str, base: str) -> str:
+    """The kind of change against a base; none where the base is 0 or missing."""
+    change = f"({now} - {base}) / {base} * 100"
+    return f"case when {base} = 0e0 or {base} is null then '' when {change} > 50 then '↑↑' when {change} > 10 then '↑' when {change} < -50 then '↓↓' when {change} < -10 then '↓' else '=' end"
+
+
+step(
+    "c15_against_baseline",
+    lambda d: f"""select s.session_id, s.project_dir, {delta_label("s.message_count * 1e0", "b.median_messages * 1e0")} as messages, {delta_label("coalesce(s.cost_usd, 0e0)", "b.median_cost")} as cost, {delta_label(d.us("s.start_time", "s.end_time") + " * 1e0", "b.median_duration_us * 1e0")} as duration
+    from {{p1_session_cost}} s join {{c15_baseline}} b on b.project_dir = s.project_dir""",
+)
+step("p9_delta_label", f"select session_id, {delta_label('now', 'base')} as delta from (select s.session_id, s.message_count * 1e0 as now, b.median_messages * 1e0 as base from {{sessions}} s left join {{c15_baseline}} b on s.project_dir = b.project_dir)")
+#: What ends the first sentence, in the order in which it is looked for.
+SENTENCE_ENDS = ("chr(10)", "'. '", "' — '")
+
+
+def title(d, summary: str, first: str) -> str:
+    """The first sentence of a summary if it ends within 200 characters, else all of it; else the first message."""
+    cuts = " ".join(f"when {d.position(e, summary)} between 2 and 200 then trim(substring({summary}, 1, {d.position(e, summary)} - 1))" for e in SENTENCE_ENDS)
+    return f"case when {summary} <> '' then case {cuts} else {summary} end when {first} <> '' then {first} else '(no messages)' end"
+
+
+step("p11_title_for", lambda d: f"select session_id, {title(d, 'summary', 'first_user_msg')} as title from {{chat_sessions}}")
 step("p14_model_family", lambda d: f"select session_id, case when contains(lower(model), 'opus') then 'opus' when contains(lower(model), 'sonnet') then 'sonnet' when contains(lower(model), 'haiku') then 'haiku' else 'other' end as family, {d.extract('git_branch', '^[^/-]+')} as branch_kind from {{sessions}}")
-step("p15_tool_category", "select tool_name, case when tool_name in ('Bash', 'purchase') then 'execution' when tool_name in ('Edit', 'Write', 'MultiEdit', 'NotebookEdit', 'click') then 'edit' when tool_name in ('Read', 'Grep', 'Glob', 'view') then 'read' else 'other' end as category, sum(calls) as calls from {s8_tool_calls} group by tool_name")
+#: Tools by what they do.
+TOOLS = (("execution", "Bash Task Skill"), ("edit", "Edit Write NotebookEdit"), ("read", "Read Grep Glob ToolSearch WebFetch WebSearch"))
+_CATEGORY = " ".join(f"when tool_name in ({', '.join(repr(t) for t in tools.split())}) then '{kind}'" for kind, tools in TOOLS)
+step("p15_tool_category", f"select tool_name, case {_CATEGORY} else 'other' end as category, sum(calls) as calls from {{s8_tool_calls}} group by tool_name")
+step("ranked_tools", "select session_id, tool_name, calls, row_number() over (partition by session_id order by calls desc, tool_name) as k from {s8_tool_calls}", operator=False)
+step("top_tools", lambda d: f"select session_id, {d.joined('tool_name || ' + repr(':') + ' || ' + d.text('calls'), 'k')} as tools from {{ranked_tools}} where k <= 8 group by session_id", operator=False)
 step(
     "p8_session_detail",
-    lambda d: f"""select session_id, round(cache_read_tokens / nullif(cache_read_tokens + input_tokens, 0e0), 8) as cache_hit_ratio,
-    round(user_messages / nullif({d.us("start_time", "end_time")} / 6e7, 0e0), 8) as messages_per_minute, {d.floor_div("(input_tokens + output_tokens)", "nullif(message_count, 0)")} as tokens_per_message,
-    round(user_messages / nullif(assistant_messages * 1e0, 0e0), 8) as user_ratio, round(output_usd / nullif(cost_usd, 0e0), 8) as output_share from {{p1_session_cost}}""",
+    lambda d: f"""select s.session_id, round(cache_read_tokens / nullif(cache_read_tokens + input_tokens, 0e0), 8) as cache_hit_ratio, round(user_messages / nullif({d.us("start_time", "end_time")} / 6e7, 0e0), 8) as messages_per_minute,
+    {d.floor_div("(input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens)", "nullif(message_count, 0)")} as tokens_per_message, round(user_messages / nullif(assistant_messages * 1e0, 0e0), 8) as user_ratio,
+    {", ".join(f"round({c}_usd / nullif(cost_usd, 0e0), 8) as {c}_share" for c in ("input", "output", "cache_write", "cache_read"))}, t.tools as top_tools from {{p1_session_cost}} s left join {{top_tools}} t on t.session_id = s.session_id""",
 )
-step("p2_list_sessions", "select session_id, project_dir, start_time, message_count, row_number() over (partition by project_dir order by start_time desc, session_id) as place from {sessions}")
+step("listed", lambda d: "select * from {numbered_sessions}" if d.name == "spark" else "select session_id, project_dir, start_time, message_count, row_number() over (order by start_time desc, session_id) as place from {sessions}", operator=False)
+step("p2_list_sessions", "select l.place, l.session_id, l.project_dir, l.start_time, l.message_count, t.tools from {listed} l left join {top_tools} t on t.session_id = l.session_id")
 step("p3_get_sessions", "select s.session_id, s.model, t.tool_name, t.calls from {sessions} s join {s8_tool_calls} t on s.session_id = t.session_id where s.session_id in (select distinct session_id from {event_rows} where event_id % 20 = 0)")
 step("p6_period_filter", f"select session_id, case when start_time > {AS_OF} - interval 7 day then 'week' when start_time > {AS_OF} - interval 30 day then 'month' else 'all' end as period from {{sessions}}")
 step("p10_activity", lambda d: f"select session_id, case when {d.us('end_time', AS_OF)} < 300000000 then 'active' when {d.us('end_time', AS_OF)} < 3600000000 then 'paused' else 'idle' end as state, case when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 0 then 'Today' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 1 then 'Yesterday' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} < 7 then 'This week' else 'Older' end as bucket from {{sessions}}")
+def _metric(d, of: str, column: str | None) -> str:
+    return f"cast({of}.{column} as bigint)" if column else f"cast({d.floor_div(d.us(f'{of}.start_time', f'{of}.end_time'), '1000000')} as bigint)"
+
+
+# pairs are an input; the registered ones are a project's sessions one after another
+step("session_pairs", "select session_id as left_id, next_id as right_id from (select session_id, lead(session_id) over (partition by project_dir order by start_time, session_id) as next_id from {sessions}) where next_id is not null", operator=False)
+METRICS = (("messages", "message_count"), ("user messages", "user_messages"), ("assistant messages", "assistant_messages"), ("input tokens", "input_tokens"), ("output tokens", "output_tokens"), ("seconds", None))
 step(
     "p12_compare_sessions",
-    """select a.session_id as left_id, b.session_id as right_id, b.message_count - a.message_count as d_messages, b.input_tokens - a.input_tokens as d_input, b.output_tokens - a.output_tokens as d_output, round(b.cost_usd - a.cost_usd, 8) as d_cost
-    from (select s.*, lead(session_id) over (partition by project_dir order by start_time, session_id) as next_id from {p1_session_cost} s) a join {p1_session_cost} b on a.next_id = b.session_id""",
+    lambda d: "select left_id, right_id, metric, a, b, b - a as delta from (" + " union all ".join(f"select p.left_id, p.right_id, '{name}' as metric, {_metric(d, 'x', c)} as a, {_metric(d, 'y', c)} as b from {{session_pairs}} p join {{sessions}} x on x.session_id = p.left_id join {{sessions}} y on y.session_id = p.right_id" for name, c in METRICS) + ")",
 )
 step("p16_last_user_messages", "select session_id, ord, content from (select *, row_number() over (partition by session_id order by ord desc) as k from {s6_messages} where role = 'user') where k <= 3")

@@ -6,7 +6,9 @@ of the session that asks.
 """
 
 from ..functions import stem
+from ..plans import checks
 from ..plans.catalog import step
+from . import cost
 
 _FOLDED, _PLAIN = stem.folding()
 
@@ -136,7 +138,8 @@ step(
 )
 step(
     "q14_retrieve_context",
-    lambda d: f"""select q.session_id, q.sim, 'Problem: ' || coalesce(k.problem, '') || ' Solution: ' || coalesce(k.solution, '') as context from (select session_id, sim from {{q13_similar_to_vector}} where sim > 0 order by sim desc, session_id limit $contexts) q left join {{knowledge}} k on k.session_id = q.session_id""",
+    lambda d: f"""select q.session_id, q.sim, 'Problem: ' || coalesce(k.problem, '') || chr(10) || 'Solution: ' || coalesce(k.solution, '') || chr(10) || {" || ".join(f"case when {d.size('k.' + c)} > 0 then '- {name}: ' || {d.flat('k.' + c)} || chr(10) else '' end" for name, c in (("decided", "decisions"), ("patterns", "code_patterns"), ("tech", "tech_used"), ("open", "open_questions")))} as context
+    from (select session_id, sim from {{q13_similar_to_vector}} where sim > 0 order by sim desc, session_id limit $contexts) q left join {{knowledge}} k on k.session_id = q.session_id""",
     contexts=8,
 )
 # rankings of three kinds; each query's kind decides their weights
@@ -176,9 +179,16 @@ step("decisions", lambda d: f"select session_id, generated_at, {d.unnest('decisi
 step("k2_decision_history", "select session_id, generated_at, decision from {decisions} where trim(decision) <> '' order by generated_at desc, session_id, decision limit $decisions", decisions=50)
 step("questions", lambda d: f"select session_id, generated_at, {d.unnest('open_questions')} as question from {{knowledge}}", operator=False)
 step("k4_open_questions", lambda d: f"select session_id, question, greatest(0, cast(floor(($as_of_s - generated_at) / 86400e0) as bigint)) as age_days from {{questions}} where trim(question) <> '' order by age_days desc, session_id, question limit $questions", as_of_s=1706832000, questions=30)
-step("k5_knowledge_aggregate", lambda d: f"select 'pattern' as part, pattern as item, n from {{k1_top_patterns}} union all select 'decision', decision, session_id from {{k2_decision_history}} union all select 'question', question, age_days from {{k4_open_questions}} union all select 'sessions', '', count(*) from {{knowledge}}")
+# clusters of problems: Spark's are made by ``operators.recurring``, the checking engine's by the greedy loop
+step("recurring", lambda d: "select representative, n from {recurring_rows}" if d.name == "spark" else f"select representative, n from ({checks.RECURRING})", operator=False)
+step("k5_knowledge_aggregate", lambda d: f"select 'pattern' as part, pattern as item, n from {{k1_top_patterns}} union all select 'decision', decision, session_id from {{k2_decision_history}} union all select 'question', question, age_days from {{k4_open_questions}} union all select 'problem', representative, n from {{recurring}} union all select 'sessions', '', count(*) from {{knowledge}}")
 step("k6_knowledge_of", lambda d: f"select session_id, generated_at, problem, solution, {d.size('decisions')} as n_decisions, {d.size('open_questions')} as n_questions from {{knowledge}} where {'startswith' if d.name == 'spark' else 'starts_with'}({d.text('session_id')}, '$session') order by generated_at desc, session_id", session="")
-step("k7_standup_timeline", lambda d: f"select cast(start_time as date) as day, session_id, '- ' || substring(first_user_msg, 1, 40) as line, row_number() over (partition by cast(start_time as date) order by start_time, session_id) as place from {{sessions}}")
-step("k8_standup_project", "select project_dir, session_id, cost_usd, row_number() over (partition by project_dir order by coalesce(cost_usd, 0e0) desc, session_id) as place, round(sum(coalesce(cost_usd, 0e0)) over (partition by project_dir), 8) as project_usd from {p1_session_cost}")
+# conversations have no times of their own: a user's first and last event stand for them
+step("standup_rows", lambda d: f"select c.*, t.start_time, substring({cost.title(d, 'c.summary', 'c.first_user_msg')}, 1, 2000) as title from {{chat_sessions}} c join (select user_id as session_id, min(ts) as start_time from {{event_rows}} group by user_id) t on t.session_id = c.session_id", operator=False)
+_CLIPPED = "case when length(title) > {n} then substring(title, 1, {n} - 1) || '…' else title end"
+step("k7_standup_timeline", lambda d: f"select cast(start_time as date) as day, session_id, '- [' || {d.clock('start_time')} || '] ' || {_CLIPPED.format(n=80)} || ' [' || {d.text('session_id')} || ']' as line, row_number() over (partition by cast(start_time as date) order by start_time, session_id) as place from {{standup_rows}}")
+step("project_costs", "select project_dir, round(sum(coalesce(cost_usd, 0e0)), 8) as project_usd from {p1_session_cost} group by project_dir", operator=False)
+step("k8_standup_project", lambda d: f"select s.project_dir, count(*) over (partition by s.project_dir) as sessions, p.project_usd, s.session_id, row_number() over (partition by s.project_dir order by s.start_time, s.session_id) as place, '- ' || {_CLIPPED.format(n=90)} || ' [' || {d.text('s.session_id')} || ']' as line from {{standup_rows}} s join {{project_costs}} p on p.project_dir = s.project_dir")
 step("k9_standup_editorial", "select 1 as section, session_id, coalesce(solution, problem) as line from {knowledge} where coalesce(solution, problem) is not null union all select 2, session_id, decision from {decisions} where trim(decision) <> '' union all select 3, session_id, question from {questions} where trim(question) <> ''")
-step("k10_insights", "select source, doc_id, n_chars from (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id desc) as k from {documents} where lang = 'en') where k <= 20")
+# insights come from replies too: a page's kind is its host's last part
+step("k10_insights", lambda d: f"select kind, session_id, generated_at, title from (select *, row_number() over (partition by kind order by generated_at desc, session_id) as k from (select {d.extract('p.url', '^https?://[^/:?#]*')} as host, k.session_id, k.generated_at, k.solution as title, {d.extract(d.extract('p.url', '^https?://[^/:?#]*'), '[a-z]+$')} as kind from {{knowledge}} k join {{pages}} p on p.page_id = k.session_id where k.solution <> '')) where k <= $insights", insights=20)

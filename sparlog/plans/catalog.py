@@ -49,6 +49,8 @@ class Spark:
     item = staticmethod(lambda a, k: f"{a}[{k} - 1]")
     floor_div = staticmethod(lambda a, b: f"({a} div {b})")
     group1 = "$1"
+    clock = staticmethod(lambda t: f"date_format({t}, 'HH:mm')")
+    flat = staticmethod(lambda a: f"array_join({a}, '; ')")
     applied = staticmethod(lambda x, body: f"element_at(transform(array({x}), w -> {body}), 1)")
     changed = staticmethod(lambda s, r, new, every=False: f"regexp_replace({s}, '{r}', '{new}')")
     raw_tokens = staticmethod(lambda s: f"posexplode(regexp_extract_all({s}, '[\\\\pL\\\\pN]+', 0)) as (pos, raw)")
@@ -91,6 +93,8 @@ class Duck(Spark):
     floor_div = staticmethod(lambda a, b: f"({a} // {b})")
     day_text = staticmethod(lambda d: f"cast({d} as varchar)")
     group1 = "\\1"
+    clock = staticmethod(lambda t: f"strftime({t}, '%H:%M')")
+    flat = staticmethod(lambda a: f"array_to_string({a}, '; ')")
     applied = staticmethod(lambda x, body: f"list_transform([{x}], lambda w: {body})[1]")
     changed = staticmethod(lambda s, r, new, every=False: f"regexp_replace({s}, '{r}', '{new}'{', \'g\'' if every else ''})")
     raw_tokens = staticmethod(lambda s: f"unnest(regexp_extract_all({s}, '[\\pL\\pN]+')) as raw, generate_subscripts(regexp_extract_all({s}, '[\\pL\\pN]+'), 1) - 1 as pos")

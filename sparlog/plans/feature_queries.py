@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query_language
 from ..operators import recurring, topics
-from . import catalog
+from . import catalog, checks
 from . import queries as catalogue
 
 LINE = "project:/P/ model:opus since:20d cost:>0.01 cost:<50 branch:cc-1 the rest of it cost:free since:soon"
@@ -49,30 +49,10 @@ def q15_kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (q15_kmeans_topics, k3_recurring_problems, j5_similar_problems, p5_search_filters, p4_resolve_session_id)
 
-_STOP = ", ".join(f"'{w}'" for w in recurring.PROBLEM_STOPWORDS)
-_PROBLEMS = rf"""problems as (select session_id, problem, words, row_number() over (order by said desc, session_id) as rank from (select page_id as session_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as problem, 1704067200 + page_id % 30 * 86400 + page_id % 7 * 3600 as said,
-    list_sort(list_distinct(list_filter(regexp_split_to_array(lower(problem), '[^a-z0-9_-]+'), lambda w: length(w) >= 4 and not list_contains([{_STOP}], w)))) as words from pages) where problem <> '' and len(words) > 0)"""
-_BOTH = "len(list_intersect({a}, {b}))"
-_ALIKE = "5 * {both} >= 2 * (len({a}) + len({b}) - {both})"
-
-
-def _alike(a: str, b: str) -> str:
-    return _ALIKE.replace("{both}", _BOTH).replace("{a}", a).replace("{b}", b)
-
-
 _SQL = {
-    # the greedy loop itself: one problem after another against the first members so far
-    "k3_recurring_problems": f"""with recursive {_PROBLEMS}, sets as (select list(words order by rank) as words, count(*) as n from problems),
-pass(i, leaders, mine) as (select 0, cast([] as bigint[]), cast(0 as bigint) union all
-    select i + 1, case when hit is null then list_append(leaders, cast(i + 1 as bigint)) else leaders end, coalesce(hit, i + 1) from (select p.i, p.leaders, list_filter(p.leaders, lambda l: {_alike("s.words[l]", "s.words[p.i + 1]")})[1] as hit from pass p, sets s where p.i < s.n)),
-found as (select p.*, x.mine as leader from pass x join problems p on p.rank = x.i),
-clusters as (select leader, count(*) as n, arg_min(problem, row(-octet_length(encode(problem)), rank)) as representative from found group by leader having count(*) >= 2),
-words as (select leader, word, count(*) as m from (select leader, unnest(words) as word from found) group by all having count(*) >= 2),
-top as (select leader, string_agg(word, ',' order by m desc, word) as keywords from (select *, row_number() over (partition by leader order by m desc, word) as k from words) where k <= 5 group by leader),
-told as (select leader, string_agg(cast(session_id as varchar), ',' order by rank) as sessions from (select *, row_number() over (partition by leader order by rank) as k from found) where k <= 10 group by leader)
-select c.representative, c.n, coalesce(t.keywords, '') as keywords, s.sessions from clusters c left join top t on t.leader = c.leader join told s on s.leader = c.leader""",
-    "j5_similar_problems": f"""with {_PROBLEMS}, sets as (select words, min(rank) as rank, arg_min(session_id, rank) as session_id from problems group by words)
-select a.session_id as first_session, b.session_id as second_session, {_BOTH.format(a="a.words", b="b.words")} as shared, len(a.words) + len(b.words) - {_BOTH.format(a="a.words", b="b.words")} as united from sets a join sets b on a.rank < b.rank and {_alike("a.words", "b.words")}""",
+    "k3_recurring_problems": checks.RECURRING,
+    "j5_similar_problems": f"""with {checks.PROBLEMS}, sets as (select words, min(rank) as rank, arg_min(session_id, rank) as session_id from problems group by words)
+select a.session_id as first_session, b.session_id as second_session, {checks.BOTH.format(a="a.words", b="b.words")} as shared, len(a.words) + len(b.words) - {checks.BOTH.format(a="a.words", b="b.words")} as united from sets a join sets b on a.rank < b.rank and {checks.alike("a.words", "b.words")}""",
     "p5_search_filters": f"""with s as ({catalog.sql("p1_session_cost")}) select session_id, 'the rest of it cost:free since:soon' as residual from s where contains(lower(project_dir), '/p/') and contains(lower(model), 'opus') and contains(lower(coalesce(git_branch, '')), 'cc-1')
 and start_time >= timestamp '2024-01-31 00:00:00' - interval 20 day and coalesce(cost_usd, 0) >= 0.01 and coalesce(cost_usd, 0) <= 50""",
     "p4_resolve_session_id": f"""with s as ({catalog.sql("sessions")}), ids as (select regexp_replace(md5(session_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-') as id, start_time, message_count from s),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import activity, behaviour, cost, order, search, vectors  # noqa: F401  they fill the catalogue
+from ..operators import activity, behaviour, cost, order, recurring, search, vectors  # noqa: F401  they fill the catalogue
 from ..sources import knowledge
 from . import catalog
 from .scratch import Rounds
@@ -17,13 +18,11 @@ TABLES = ("customer", "conversations", "documents", "embeddings", "events", "lab
 #: What the registered queries ask on the given tables, whose events lie hours apart; all else has its default.
 ARGUMENTS: dict[str, dict[str, object]] = {
     "r1_detect_loops": {"min_count": 2, "window_s": 36_000},
-    "r4_rule_hook": {"hook_tool": "click", "hook_count": 2, "hook_window_s": 36_000},
-    "r6_rule_subagent": {"min_pairs": 1, "read_tool": "view"},
-    "r8_rule_loop_skill": {"hook_tool": "click", "skill_count": 2, "skill_window_s": 36_000},
-    "r9_rule_cli": {"hook_tool": "purchase"},
-    "r10_advise": {"hook_tool": "click", "hook_count": 2, "hook_window_s": 36_000, "skill_count": 2, "skill_window_s": 36_000, "min_pairs": 1, "read_tool": "view"},
-    "r11_meta_report": {"min_count": 2, "window_s": 36_000},
-    "j4_reads_within_5_minutes": {"read_tool": "view"},
+    "r4_rule_hook": {"hook_count": 2, "hook_window_s": 36_000},
+    "r6_rule_subagent": {"min_pairs": 1},
+    "r8_rule_loop_skill": {"skill_count": 2, "skill_window_s": 36_000},
+    "r10_advise": {"hook_count": 2, "hook_window_s": 36_000, "skill_count": 2, "skill_window_s": 36_000, "min_pairs": 1},
+    "r11_meta_report": {"meta_count": 2, "meta_window_s": 36_000},
     "q4_search_like": {"text": "tion"},
     "q5_search_metadata": {"text": "3"},
 }
@@ -54,6 +53,8 @@ MADE: dict[str, Callable[[Mapping[str, DataFrame], SparkSession], DataFrame]] =
     "selected_tokens": _percentiles("project_rows", "project_dir", "tokens", p90=("floor", 0.9)),
     "price_percentiles": lambda tables, spark: order.rank_percentiles(tables["lineitem"].selectExpr("l_returnflag || l_linestatus as kind", "l_extendedprice as v"), ["kind"], "v", {"p50": ("floor", 0.5), "p90": ("floor", 0.9), "upper_median": ("half", 0), "nine_tenths": ("nine_tenths", 0)}),
     "lanes": lambda tables, spark: order.thread_lanes(catalog.frame(spark, "thread_rows", tables), ["project_dir", "git_branch", "thread_no"]),
+    "recurring_rows": lambda tables, spark: recurring.recurring_problems(catalog.frame(spark, "knowledge", tables)),
+    "numbered_sessions": lambda tables, spark: order.numbered(catalog.frame(spark, "sessions", tables).select("session_id", "project_dir", "start_time", "message_count"), [F.desc("start_time"), F.asc("session_id")], "place"),
     "nearest_sessions": _nearest_sessions,
     "nearest_to_queries": _nearest_to_queries,
 }

@@ -72,7 +72,7 @@ step(
     {d.bool_sum("kind = 'compact' and opens = 0")} as compact, {d.joined("session_id", "start_time")} as session_ids from {{thread_rows}} group by project_dir, git_branch, thread_no""",
 )
 step("w2_thread_totals", lambda d: f"select project_dir, git_branch, cast(thread_no as bigint) as thread_no, cast(sum({d.us('start_time', 'end_time')}) as bigint) as duration_us, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd, cast(sum(sidechain_agents) as bigint) as agents from {{thread_rows}} group by project_dir, git_branch, thread_no")
-step("w2_threads_by_project", "select project_dir, sum(sessions) over (partition by project_dir) as project_sessions, git_branch, thread_no, sessions, row_number() over (partition by project_dir order by start_time desc, git_branch, thread_no) as place from {w1_build_threads}")
+step("w2_threads_by_project", "select project_dir, cast(sum(sessions) over (partition by project_dir) as bigint) as project_sessions, git_branch, thread_no, sessions, row_number() over (partition by project_dir order by start_time desc, git_branch, thread_no) as place from {w1_build_threads}")
 step("w3_thread_shape", lambda d: f"select session_id, cast(least(7, floor({d.us('start_time', 'end_time')} * 7e0 / nullif(max({d.us('start_time', 'end_time')}) over (partition by project_dir, git_branch, thread_no), 0))) as integer) as level from {{thread_rows}}")
 step(
     "w4_rank_percentile",

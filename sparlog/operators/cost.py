@@ -138,7 +138,7 @@ step("p14_model_family", lambda d: f"select session_id, case when contains(lower
 #: Tools by what they do.
 TOOLS = (("execution", "Bash Task Skill"), ("edit", "Edit Write NotebookEdit"), ("read", "Read Grep Glob ToolSearch WebFetch WebSearch"))
 _CATEGORY = " ".join(f"when tool_name in ({', '.join(repr(t) for t in tools.split())}) then '{kind}'" for kind, tools in TOOLS)
-step("p15_tool_category", f"select tool_name, case {_CATEGORY} else 'other' end as category, sum(calls) as calls from {{s8_tool_calls}} group by tool_name")
+step("p15_tool_category", f"select tool_name, case {_CATEGORY} else 'other' end as category, cast(sum(calls) as bigint) as calls from {{s8_tool_calls}} group by tool_name")
 step("ranked_tools", "select session_id, tool_name, calls, row_number() over (partition by session_id order by calls desc, tool_name) as k from {s8_tool_calls}", operator=False)
 step("top_tools", lambda d: f"select session_id, {d.joined('tool_name || ' + repr(':') + ' || ' + d.text('calls'), 'k')} as tools from {{ranked_tools}} where k <= 8 group by session_id", operator=False)
 step(

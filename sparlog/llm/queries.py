@@ -31,7 +31,7 @@ def _joined(spans: str) -> str:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in pii.BASE))
-    return found.selectExpr("doc_id", *(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}" for k in pii.BASE), f"sha2({_joined(base)}, 256) as base_sha256", f"{_joined('spans')} as spans")
+    return found.selectExpr("doc_id", *(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}" for k in pii.BASE), f"sha2({_joined(base)}, 256) as base_sha256", f"{_joined('spans')} as spans", "size(spans) > 0 as personal")
 
 
 def _held_out(parts: int, kept: int):

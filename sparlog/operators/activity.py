@@ -9,8 +9,8 @@ step(
     lambda d: f"""select g.bin, g.wd, count(s.session_id) as sessions from {{grid_6_7}} g left join (select session_id, cast(floor(hour(start_time) / 4e0) as integer) as b, {d.weekday("start_time")} as w from {{sessions}}
     where start_time >= {AS_OF} - interval 84 day) s on g.bin = s.b and g.wd = s.w group by g.bin, g.wd""",
 )
-step("calendar", lambda d: f"select {d.series('date ' + repr('2023-11-27'), 'date ' + repr('2024-02-04'))} as day", operator=False)
-step("t2_calendar_heatmap", lambda d: f"""select {d.weekday("c.day")} as wd, cast({d.floor_div(d.days("date '2023-11-27'", "c.day"), "7")} as bigint) as week, count(s.session_id) as sessions from {{calendar}} c left join {{sessions}} s on cast(s.start_time as date) = c.day group by 1, 2""")
+step("calendar", lambda d: f"select {d.series("cast(timestamp '$first_monday' as date)", "cast(timestamp '$last_sunday' as date)")} as day", operator=False, first_monday="2023-11-27 00:00:00", last_sunday="2024-02-04 00:00:00")
+step("t2_calendar_heatmap", lambda d: f"""select {d.weekday("c.day")} as wd, cast({d.floor_div(d.days("cast(timestamp '$first_monday' as date)", "c.day"), "7")} as bigint) as week, count(s.session_id) as sessions from {{calendar}} c left join {{sessions}} s on cast(s.start_time as date) = c.day group by 1, 2""")
 step("hours", lambda d: f"select {d.ints(0, 23)} as h", operator=False)
 step("t3_peak_hour", "select h.h, cast(coalesce(sum(s.user_messages), 0) as bigint) as messages from {hours} h left join {sessions} s on hour(s.start_time) = h.h group by h.h")
 step("t4_time_cost_points", "select session_id, cast(hour(start_time) as integer) as h, cost_usd, model, project_dir from {p1_session_cost} where cost_usd is not null")
@@ -22,7 +22,7 @@ step(
 )
 step("days_active", "select distinct cast(start_time as date) as day from {sessions}", operator=False)
 step("runs_of_days", lambda d: f"select min(day) as first_day, max(day) as last_day, count(*) as n from (select day, {d.days('date ' + repr('2020-01-01'), 'day')} - row_number() over (order by day) as g from {{days_active}}) group by g", operator=False)
-step("t6_streaks", lambda d: f"select max(n) as longest, coalesce(max(case when {d.days('last_day', 'date ' + repr('2024-01-31'))} <= 1 then n end), 0) as current from {{runs_of_days}}".replace("as current", "as current_run"))
+step("t6_streaks", lambda d: f"select max(n) as longest, coalesce(max(case when {d.days('last_day', f'cast({AS_OF} as date)')} <= 1 then n end), 0) as current from {{runs_of_days}}".replace("as current", "as current_run"))
 step("t7_timeline", "select cast(start_time as date) as day, session_id, row_number() over (partition by cast(start_time as date) order by start_time desc, session_id) as place from {sessions} where start_time >= timestamp '$from_day' and cast(start_time as date) <= cast(timestamp '$to_day' as date)", from_day="2024-01-24 00:00:00", to_day="2024-01-30 00:00:00")
 step("t8_model_distribution", "select coalesce(nullif(model, ''), 'unknown') as model, cast(sum(message_count) as bigint) as messages from {sessions} group by 1")
 step(
@@ -35,7 +35,7 @@ step(
     """select model, tokens_in, tokens_out, tokens_in + tokens_out as tokens, sessions, round((tokens_in + tokens_out) * 100e0 / sum(tokens_in + tokens_out) over (), 6) as percent from
     (select model, cast(sum(input_tokens + cache_creation_tokens + cache_read_tokens) as bigint) as tokens_in, cast(sum(output_tokens) as bigint) as tokens_out, count(*) as sessions from {sessions} group by model)""",
 )
-step("t11_tool_stats", lambda d: f"select tool_name, cast(sum(calls) as bigint) as calls, count(distinct session_id) as sessions, {d.floor_div('cast(sum(calls) as bigint)', 'count(distinct session_id)')} as mean_calls from {{s8_tool_calls}} group by tool_name order by calls desc, tool_name limit 25")
+step("t11_tool_stats", lambda d: f"select tool_name, cast(sum(calls) as bigint) as calls, count(distinct session_id) as sessions, {d.floor_div('cast(sum(calls) as bigint)', 'count(distinct session_id)')} as mean_calls from {{s8_tool_calls}} group by tool_name order by calls desc, tool_name limit $tools", tools=25)
 step("t12_tool_sessions", "select session_id, calls from {s8_tool_calls} where tool_name = '$tool' order by calls desc, session_id limit $tool_sessions", tool="Edit", tool_sessions=50)
 # order statistics: Spark selects them over ranges of values (``operators.order``), the checking engine numbers the rows of a group
 step(

@@ -20,11 +20,11 @@ step(
     operator=False,
 )
 step("b1_tokenize", "select session_id, ord, role, row_number() over (partition by session_id, ord order by k) as place, w from {token_rows}")
-step("b2_top_words", "select w, count(*) as n from {token_rows} where role = 'user' group by w order by n desc, w limit 25")
-step("b3_top_prefixes", "select w, count(*) as n from {b1_tokenize} where role = 'user' and place = 1 group by w order by n desc, w limit 15")
+step("b2_top_words", "select w, count(*) as n from {token_rows} where role = 'user' group by w order by n desc, w limit $words", words=25)
+step("b3_top_prefixes", "select w, count(*) as n from {b1_tokenize} where role = 'user' and place = 1 group by w order by n desc, w limit $prefixes", prefixes=15)
 step("adjoining", "select session_id, ord, w, lead(w) over (partition by session_id, ord order by place) as w2, lead(w, 2) over (partition by session_id, ord order by place) as w3 from {b1_tokenize} where role = 'user'", operator=False)
-step("b4_top_bigrams", "select w || ' ' || w2 as gram, count(*) as n from {adjoining} where w2 is not null group by 1 order by n desc, gram limit 20")
-step("b5_top_trigrams", "select w || ' ' || w2 || ' ' || w3 as gram, count(*) as n from {adjoining} where w3 is not null group by 1 order by n desc, gram limit 12")
+step("b4_top_bigrams", "select w || ' ' || w2 as gram, count(*) as n from {adjoining} where w2 is not null group by 1 order by n desc, gram limit $bigrams", bigrams=20)
+step("b5_top_trigrams", "select w || ' ' || w2 || ' ' || w3 as gram, count(*) as n from {adjoining} where w3 is not null group by 1 order by n desc, gram limit $trigrams", trigrams=12)
 step("message_words", "select distinct session_id, ord, w from {token_rows} where role = 'user'", operator=False)
 step("word_messages", "select w, count(*) as n from {message_words} group by w", operator=False)
 step("often_words", "select m.session_id, m.ord, m.w, f.n from {message_words} m join {word_messages} f on m.w = f.w where f.n >= 3", operator=False)
@@ -81,7 +81,7 @@ def _loops(d, count: str, seconds: str) -> str:
 
 
 step("r1_detect_loops", lambda d: _loops(d, "$min_count", "$window_s") + " order by n desc, span_us, session_id, tool_name, input_hash limit 50", min_count=3, window_s=300)
-step("r2_file_reuse", "select file_path, count(distinct session_id) as sessions, cast(sum(op_count) as bigint) as ops from {session_files} group by file_path having count(distinct session_id) >= 2 order by sessions desc, ops desc, file_path limit 20")
+step("r2_file_reuse", "select file_path, count(distinct session_id) as sessions, cast(sum(op_count) as bigint) as ops from {session_files} group by file_path having count(distinct session_id) >= greatest(2, $least_sessions) order by sessions desc, ops desc, file_path limit $files", least_sessions=2, files=20)
 #: Parts of paths that are no work of the session's own.
 NOISE_PATHS = ("/dist/", "/build/", "/node_modules/", "/.git/", "/.cache/", "/.next/", "/.DS_Store")
 def _noise(d) -> str:

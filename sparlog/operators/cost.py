@@ -1,8 +1,13 @@
 """Cost: prices, roll-ups by project, model, day and ticket, month projections, baselines."""
 
-from ..plans.catalog import step
+from ..plans.catalog import DEFAULTS, step
 from ..sources.canonical import AS_OF
 
+#: The moment of the month and the day that are under way, their beginnings, and the Sunday that the week of ``as_of`` began with.
+NOW = "timestamp '$now'"
+DEFAULTS["now"] = "2024-01-20 12:00:00"
+MONTH, DAY, SUNDAY = f"date_trunc('month', {NOW})", f"date_trunc('day', {NOW})", f"(date_trunc('week', {AS_OF} + interval 1 day) - interval 1 day)"
+
 step(
     "p1_session_cost",
     """select s.session_id, s.project_dir, s.git_branch, s.model, s.start_time, s.end_time, s.message_count, s.user_messages, s.assistant_messages,
@@ -14,41 +19,41 @@ step(
     from {sessions} s left join {s19_load_pricing} p on s.model = p.model""",
 )
 step("c1_totals", "select count(*) as sessions, cast(sum(message_count) as bigint) as messages, round(sum(cost_usd), 8) as cost_usd, round(sum(cost_brl), 9) as cost_brl from {p1_session_cost}")
-step("c2_cost_by_project", "select project_dir, count(*) as sessions, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd from {p1_session_cost} group by project_dir order by cost_usd desc, project_dir limit 10")
+step("c2_cost_by_project", "select project_dir, count(*) as sessions, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd from {p1_session_cost} group by project_dir order by cost_usd desc, project_dir limit $projects", projects=10)
 step("c3_cost_by_model", "select model, count(*) as sessions, round(sum(cost_usd), 8) as cost_usd from {p1_session_cost} where cost_usd is not null group by model")
-step("calendar_30", lambda d: f"select {d.series('date ' + repr('2024-01-01'), 'date ' + repr('2024-01-30'))} as day", operator=False)
+step("calendar_30", lambda d: f"select {d.series(d.plus_days(f'cast({AS_OF} as date)', '-$days'), d.plus_days(f'cast({AS_OF} as date)', '-1'))} as day", operator=False, days=30)
 step(
     "c4_cost_by_day",
     f"""select c.day, round(coalesce(sum(s.cost_usd), 0e0), 8) as cost_usd from {{calendar_30}} c
-    left join (select * from {{p1_session_cost}} where start_time >= {AS_OF} - interval 30 day) s on cast(s.start_time as date) = c.day group by c.day""",
+    left join (select * from {{p1_session_cost}} where start_time >= {AS_OF} - interval $days day) s on cast(s.start_time as date) = c.day group by c.day""",
 )
 step(
     "month_parts",
     lambda d: f"""select cost_usd,
-    case when end_time <= start_time then case when start_time >= timestamp '2024-01-01 00:00:00' and start_time < timestamp '2024-01-20 12:00:00' then 1e0 else 0e0 end
-    else greatest(0e0, {d.us("greatest(start_time, timestamp '2024-01-01 00:00:00')", "least(end_time, timestamp '2024-01-20 12:00:00')")} * 1e0) / {d.us("start_time", "end_time")} end as month_share,
-    case when end_time <= start_time then case when start_time >= timestamp '2024-01-20 00:00:00' and start_time < timestamp '2024-01-20 12:00:00' then 1e0 else 0e0 end
-    else greatest(0e0, {d.us("greatest(start_time, timestamp '2024-01-20 00:00:00')", "least(end_time, timestamp '2024-01-20 12:00:00')")} * 1e0) / {d.us("start_time", "end_time")} end as today_share
+    case when end_time <= start_time then case when start_time >= {MONTH} and start_time < {NOW} then 1e0 else 0e0 end
+    else greatest(0e0, {d.us(f"greatest(start_time, {MONTH})", f"least(end_time, {NOW})")} * 1e0) / {d.us("start_time", "end_time")} end as month_share,
+    case when end_time <= start_time then case when start_time >= {DAY} and start_time < {NOW} then 1e0 else 0e0 end
+    else greatest(0e0, {d.us(f"greatest(start_time, {DAY})", f"least(end_time, {NOW})")} * 1e0) / {d.us("start_time", "end_time")} end as today_share
     from {{p1_session_cost}} where cost_usd is not null""",
     operator=False,
 )
-step("c5_month_cost", "select round(sum(cost_usd * month_share), 8) as accumulated_usd, round(sum(cost_usd * today_share), 8) as today_usd, round(sum(cost_usd * month_share) / 20 * 31, 8) as projected_usd from {month_parts}")
-step("c6_daily_totals", "select count(*) as sessions, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd from {p1_session_cost} where cast(start_time as date) = date '2024-01-20'")
-step("c7_budget_status", "select cost_usd, case when cost_usd > 10 then 'alert' when cost_usd > 5 then 'warn' else 'ok' end as status from {c6_daily_totals}")
+step("c5_month_cost", f"select round(sum(cost_usd * month_share), 8) as accumulated_usd, round(sum(cost_usd * today_share), 8) as today_usd, round(sum(cost_usd * month_share) / day({NOW}) * day(last_day({NOW})), 8) as projected_usd from {{month_parts}}")
+step("c6_daily_totals", f"select count(*) as sessions, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd from {{p1_session_cost}} where cast(start_time as date) = cast({NOW} as date)")
+step("c7_budget_status", "select cost_usd, case when cost_usd > $alert_usd then 'alert' when cost_usd > $warn_usd then 'warn' else 'ok' end as status from {c6_daily_totals}", alert_usd=10, warn_usd=5)
 step(
     "c8_week_delta",
     lambda d: f"""select {d.bool_sum("cur")} as sessions, {d.bool_sum("prev")} as sessions_before,
     cast(coalesce(sum(case when cur then message_count end), 0) as bigint) as messages, cast(coalesce(sum(case when prev then message_count end), 0) as bigint) as messages_before,
     round(coalesce(sum(case when cur then cost_usd end), 0e0), 8) as cost_usd, round(coalesce(sum(case when prev then cost_usd end), 0e0), 8) as cost_usd_before
-    from (select *, start_time >= timestamp '2024-01-28 00:00:00' and start_time < {AS_OF} as cur, start_time >= timestamp '2024-01-21 00:00:00' and start_time < timestamp '2024-01-28 00:00:00' as prev from {{p1_session_cost}})""",
+    from (select *, start_time >= {SUNDAY} and start_time < {AS_OF} as cur, start_time >= {SUNDAY} - interval 7 day and start_time < {SUNDAY} as prev from {{p1_session_cost}})""",
 )
 step(
     "c9_cache_savings",
     f"""select round(sum(saved), 8) as saved_usd, round(sum(saved) / sum(cost_usd), 8) as ratio from (select s.cost_usd, s.cache_read_tokens * (p.input_rate - p.cache_read_rate) / 1e6 as saved
-    from {{p1_session_cost}} s join {{s19_load_pricing}} p on s.model = p.model where s.start_time >= {AS_OF} - interval 30 day)""",
+    from {{p1_session_cost}} s join {{s19_load_pricing}} p on s.model = p.model where s.start_time >= {AS_OF} - interval $days day)""",
 )
-step("c10_long_tail_cost", "select session_id, coalesce(cost_usd, 0e0) as cost_usd from {p1_session_cost} order by coalesce(cost_usd, 0e0) desc, session_id limit 20")
-step("c10_long_tail_duration", lambda d: f"select session_id, {d.us('start_time', 'end_time')} as duration_us from {{sessions}} order by duration_us desc, session_id limit 20")
+step("c10_long_tail_cost", "select session_id, coalesce(cost_usd, 0e0) as cost_usd from {p1_session_cost} order by coalesce(cost_usd, 0e0) desc, session_id limit $tail", tail=20)
+step("c10_long_tail_duration", lambda d: f"select session_id, {d.us('start_time', 'end_time')} as duration_us from {{sessions}} order by duration_us desc, session_id limit $tail")
 step(
     "c11_cost_by_ticket",
     lambda d: f"""select ticket, count(*) as sessions, {d.joined_set("git_branch")} as branches, round(coalesce(sum(cost_usd), 0e0), 8) as cost_usd
@@ -151,7 +156,7 @@ step("listed", lambda d: "select * from {numbered_sessions}" if d.name == "spark
 step("p2_list_sessions", "select l.place, l.session_id, l.project_dir, l.start_time, l.message_count, t.tools from {listed} l left join {top_tools} t on t.session_id = l.session_id")
 step("p3_get_sessions", "select s.session_id, s.model, t.tool_name, t.calls from {sessions} s join {s8_tool_calls} t on s.session_id = t.session_id where s.session_id in (select distinct session_id from {event_rows} where event_id % 20 = 0)")
 step("p6_period_filter", f"select session_id, case when start_time > {AS_OF} - interval 7 day then 'week' when start_time > {AS_OF} - interval 30 day then 'month' else 'all' end as period from {{sessions}}")
-step("p10_activity", lambda d: f"select session_id, case when {d.us('end_time', AS_OF)} < 300000000 then 'active' when {d.us('end_time', AS_OF)} < 3600000000 then 'paused' else 'idle' end as state, case when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 0 then 'Today' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} = 1 then 'Yesterday' when {d.days('cast(end_time as date)', 'date ' + repr('2024-01-31'))} < 7 then 'This week' else 'Older' end as bucket from {{sessions}}")
+step("p10_activity", lambda d: f"select session_id, case when {d.us('end_time', AS_OF)} < 300000000 then 'active' when {d.us('end_time', AS_OF)} < 3600000000 then 'paused' else 'idle' end as state, case when {d.days('cast(end_time as date)', f'cast({AS_OF} as date)')} = 0 then 'Today' when {d.days('cast(end_time as date)', f'cast({AS_OF} as date)')} = 1 then 'Yesterday' when {d.days('cast(end_time as date)', f'cast({AS_OF} as date)')} < 7 then 'This week' else 'Older' end as bucket from {{sessions}}")
 def _metric(d, of: str, column: str | None) -> str:
     return f"cast({of}.{column} as bigint)" if column else f"cast({d.floor_div(d.us(f'{of}.start_time', f'{of}.end_time'), '1000000')} as bigint)"
 

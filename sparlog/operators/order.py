@@ -58,7 +58,7 @@ def rank_percentiles(rows: DataFrame, by: list[str], value: str, wanted: Mapping
     """
     rounds = Rounds(rows.sparkSession, "percentiles")
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    placed = rounds.keep(_ranged(counts, by, [F.col(value).asc()], F.col("times"), rounds))
+    placed = _ranged(counts, by, [F.col(value).asc()], F.col("times"), rounds)
     sizes = placed.groupBy(*by).agg(F.sum("times").alias("n"))
     ends = sizes.select(*(F.col(c).alias(f"{c}_of") for c in by), "n", *(F.greatest(RULES[rule](F.col("n"), p), F.lit(0)).alias(f"{name}_at") for name, (rule, p) in wanted.items()))
     same = F.lit(True)

@@ -36,12 +36,14 @@ step(
     operator=False,
 )
 step(
-    "bm25_hits",
+    "scored_hits",
     """select query_id, session_id, ord, role, score, place from (select *, row_number() over (partition by query_id order by score desc, session_id, ord) as place from (
     select w.query_id, p.session_id, p.ord, l.role, round(sum(w.idf * p.tf * 2.2e0 / (p.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.len / w.mean_len))), 6) as score
     from {term_weights} w join {postings} p on p.term = w.term join {doc_lengths} l on l.session_id = p.session_id and l.ord = p.ord group by w.query_id, w.wanted, p.session_id, p.ord, l.role having count(*) = w.wanted)) where place <= 100""",
     operator=False,
 )
+# stored as well, since snippets and rankings read them several times
+step("bm25_hits", lambda d: "select * from {hit_rows}" if d.name == "spark" else "select * from {scored_hits}", operator=False)
 _DOC = "query_id, session_id, ord"
 
 

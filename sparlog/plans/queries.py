@@ -47,6 +47,7 @@ MADE: dict[str, Callable[[Mapping[str, DataFrame], SparkSession], DataFrame]] =
     "knowledge_rows": lambda tables, spark: knowledge.knowledge_from_replies(knowledge.replies_from_pages(tables["pages"])),
     "spread_vocabulary": lambda tables, spark: catalog.frame(spark, "vocabulary", tables).repartition(spark.sparkContext.defaultParallelism),
     "index_rows": lambda tables, spark: Rounds(spark, "text-index").keep(catalog.frame(spark, "token_stems", tables)),
+    "hit_rows": lambda tables, spark: Rounds(spark, "search-hits").keep(catalog.frame(spark, "scored_hits", tables)),
     "flow_selected": _percentiles("flow_rows", "model", "message_count", p50=("floor", 0.5), p90=("floor", 0.9), p99=("floor", 0.99)),
     "resolved_selected": _percentiles("resolved_rows", "model", "r", p50=("half", 0), p90=("nine_tenths", 0)),
     "selected_cost": _percentiles("project_rows", "project_dir", "cost", p90=("floor", 0.9)),

@@ -84,14 +84,10 @@ def index_of(spark, said):
 def search(spark, said, asked, step="q2_search_bm25", **more):
     tables = queries._Tables(spark, DATA)
     asked = spark.createDataFrame([(str(k), 0, q) for k, q in enumerate(asked)], "query_id string, asker long, q string")
-
-    class Own(dict):
-        def __missing__(self, name):
-            raise KeyError(name)
-
-    own = Own(index_of(spark, said), search_queries=asked, **more)
+    own = dict(index_of(spark, said), search_queries=asked, **more)
     own["spread_vocabulary"] = catalog.frame(spark, "vocabulary", own)
     own["index_rows"] = catalog.frame(spark, "token_stems", own)
+    own["hit_rows"] = catalog.frame(spark, "scored_hits", own)
     return catalog.frame(spark, step, {**{n: tables[n] for n in ("events", "pages")}, **own}).collect()
 
 

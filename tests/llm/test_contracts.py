@@ -85,6 +85,15 @@ def test_op6(spark, docs):
         slots[got[d][2]].append(got[d][3])
     assert set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    # texts of the same words mostly lie together
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [(t or "").split()]}
+    of = defaultdict(set)
+    for d, s in shingles.items():
+        for x in s:
+            of[x].add(d)
+    pairs = {(a, b) for v in of.values() for a in v for b in v if a < b}
+    links = [(a, b) for a, b in pairs if 2 * len(shingles[a] & shingles[b]) >= len(shingles[a] | shingles[b])]
+    assert links and sum(got[a][2] != got[b][2] for a, b in links) <= 0.4 * len(links)
 
 
 def test_op8(spark, docs):

@@ -175,6 +175,11 @@ and not (regexp_matches(coalesce(lower(trim(first_user_msg)), ''), '^/(clear|com
     "s15_incremental_plan": """with t as (select conv_id as c, max(turn) as mtime from conversations group by conv_id)
 select cast(c as varchar) as file_path, case when c % 5 = 0 or c % 11 = 0 then 'new' when c % 7 = 0 then 'updated' else 'unchanged' end as status from t
 union all select 'gone-' || c, 'removed' from t where c % 5 <> 0 and c % 11 = 0""",
+    # a document holds what is not null, in the order of the columns, and the messages in theirs
+    "p17_export_sessions": f"""with s as ({_SESSIONS}), told as (select conv_id, string_agg('{{"role":' || to_json(role) || ',"text":' || to_json(text) || '}}', ',' order by turn) as messages from ({_said()}) where text <> '' group by conv_id)
+select session_id, '{{"session_id":' || to_json(session_id) || ',"project_dir":' || to_json(project_dir) || ',"user_messages":' || user_messages || ',"assistant_messages":' || assistant_messages || ',"message_count":' || message_count
+|| coalesce(',"first_user_msg":' || to_json(first_user_msg), '') || coalesce(',"last_user_msg":' || to_json(last_user_msg), '') || coalesce(',"resolved_at_turn":' || resolved_at_turn, '') || coalesce(',"messages":[' || messages || ']', '') || '}}' as document
+from s left join told t on cast(t.conv_id as varchar) = s.session_id""",
     "b17_parse_model_json": "select conv_id || '/' || turn as id, role, turn, cast(null as varchar) as error from conversations",
     "st7_windowed_usage": "select epoch_us(date_trunc('day', ts)) as start_us, event_type as tool_name, count(*) as calls from events group by all",
 }

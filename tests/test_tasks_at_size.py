@@ -13,3 +13,9 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert catalog.frame(spark, "dealt_lines", tables).rdd.getNumPartitions() == 1 + lines // 100
     got = [tuple(r) for r in catalog.frame(spark, "r2_file_reuse", tables).collect()]
     assert got == want and len(got) == 20
+
+
+def test_technologies_of_tool_calls_count(spark):
+    tables = {"s6_messages": spark.createDataFrame([("s", 0, "user", "python and docker")], "session_id string, ord long, role string, content string"), "tool_events": spark.createDataFrame([("s", "Bash", "kubectl get pods"), ("s", "Read", "a.sqlite"), ("s", "Bash", None)], "session_id string, tool_name string, input_preview string")}
+    got = {r["tech"]: r["matches"] for r in catalog.frame(spark, "b12_detect_tech", tables).collect()}
+    assert got == {"Python": 1, "Docker": 1, "Kubernetes": 1, "SQLite": 1}

@@ -19,3 +19,24 @@ def test_technologies_of_tool_calls_count(spark):
     tables = {"s6_messages": spark.createDataFrame([("s", 0, "user", "python and docker")], "session_id string, ord long, role string, content string"), "tool_events": spark.createDataFrame([("s", "Bash", "kubectl get pods"), ("s", "Read", "a.sqlite"), ("s", "Bash", None)], "session_id string, tool_name string, input_preview string")}
     got = {r["tech"]: r["matches"] for r in catalog.frame(spark, "b12_detect_tech", tables).collect()}
     assert got == {"Python": 1, "Docker": 1, "Kubernetes": 1, "SQLite": 1}
+
+
+def test_nearest_multiplies_only_what_may_be_near_in_double_precision(spark):
+    import numpy as np
+
+    from sparlog.operators import vectors
+
+    r = np.random.default_rng(5)
+    v = r.normal(size=(1200, 8))
+    v[600:] = v[:600] * r.uniform(1, 3, size=(600, 1))  # ties: directions that occur twice
+    ids = r.permutation(1200)
+    unit = v / np.sqrt((v * v).sum(1))[:, None]
+    sims = np.round(unit @ unit.T, 6) + 0.0
+    for i in range(3):
+        order = sorted((j for j in range(1200) if j != i), key=lambda j: (-sims[i, j], ids[j]))[:5]
+        by_id = np.argsort(ids)
+        got = vectors._best(ids[i : i + 1], unit[i : i + 1], ids[by_id], unit[by_id], unit[by_id].astype(np.float32), 5, None, False)
+        assert list(got[1]) == [ids[j] for j in order]
+        assert len(vectors._best(ids[i : i + 1], unit[i : i + 1], ids[by_id], unit[by_id], unit[by_id].astype(np.float32), 5, 2.0, True)[0]) == 0
+    table = spark.createDataFrame([(int(k), [float(x) for x in row]) for k, row in zip(ids, v)], "session_id long, embedding array<float>")
+    assert vectors.nearest(table, table, 5, rows=32).count() == 6000

@@ -20,7 +20,7 @@ from ..sources import logs
 
 LINE_SCHEMA = "value string"
 ALERTS = "session_id string, tool_name string, input_hash string, ts timestamp, hits long"
-_STATE = "hashes array<string>, times array<long>, last_alert long"
+_STATE = "tools array<string>, hashes array<string>, times array<long>, alerted array<string>, last_alerts array<long>"
 
 
 def stream_lines(spark: SparkSession, root: str, files_a_batch: int = 1000) -> DataFrame:
@@ -44,8 +44,9 @@ def chosen_tools(events: DataFrame, include: tuple[str, ...] = (), exclude: tupl
 def stream_loops(events: DataFrame, window_s: int = 60, least: int = 3, debounce_s: int = 30) -> DataFrame:
     """Alerts of a stream (session_id, tool_name, input_hash, ts): ``least`` equal calls within the window (ST2, ST3, ST5).
 
-    State is kept for a (session, tool): the calls of the last ``window_s``
-    seconds and the time of the last alert. An alert clears its input's calls;
+    State is kept for a session, since each group of a batch costs a call: of
+    each of its tools, the calls of the last ``window_s`` seconds and the time
+    of the last alert. An alert clears its input's calls;
     within ``debounce_s`` seconds of one, a second for the same session and
     tool is swallowed. Events behind the watermark of two windows are ignored,
     and state ends when the watermark passes it. Rows with a null time or
@@ -58,28 +59,37 @@ def stream_loops(events: DataFrame, window_s: int = 60, least: int = 3, debounce
         if state.hasTimedOut:
             state.remove()
             return
-        hashes, times, last = state.get if state.exists else ([], [], begins)
-        calls = [(int(t), h) for f in frames for t, h in zip(f["us"], f["input_hash"], strict=True)]
+        tools, hashes, times, alerted, last_alerts = state.get if state.exists else ([], [], [], [], [])
+        calls: defaultdict[str, list] = defaultdict(list)
+        for f in frames:
+            for tool, t, h in zip(f["tool_name"], f["us"], f["input_hash"], strict=True):
+                calls[tool].append((int(t), h))
+        before: defaultdict[str, list] = defaultdict(list)
+        for tool, t, h in zip(tools, times, hashes, strict=True):
+            before[tool].append((t, h))
+        lasts = dict(zip(alerted, last_alerts, strict=True))
         behind = state.getCurrentWatermarkMs() * 1000
-        recent: defaultdict[str, deque[int]] = defaultdict(deque)  # of each input, oldest first
-        for t, h in sorted(zip(times, hashes, strict=True)):
-            recent[h].append(t)
-        newest, out = max(times, default=begins), []
-        for t, h in sorted(calls):
-            if t < behind:
-                continue
-            own, newest = recent[h], max(newest, t)
-            own.append(t)
-            while own[0] <= t - window:
-                own.popleft()
-            if (hits := len(own)) >= least:
-                own.clear()
-                if t - last >= debounce:
-                    out.append((*key, h, t, hits))
-                    last = t
-        kept = sorted((t, h) for h, own in recent.items() for t in own if t > newest - window)
-        state.update(([h for _, h in kept], [t for t, _ in kept], last))
-        until = max([t for t, _ in kept] + [last + debounce]) + window
+        out, kept = [], []
+        for tool in calls.keys() | before.keys():
+            recent: defaultdict[str, deque[int]] = defaultdict(deque)  # of each input, oldest first
+            for t, h in sorted(before[tool]):
+                recent[h].append(t)
+            newest, last = max((t for t, _ in before[tool]), default=begins), lasts.get(tool, begins)
+            for t, h in sorted(calls[tool]):
+                if t < behind:
+                    continue
+                own, newest = recent[h], max(newest, t)
+                own.append(t)
+                while own[0] <= t - window:
+                    own.popleft()
+                if (hits := len(own)) >= least:
+                    own.clear()
+                    if t - last >= debounce:
+                        out.append((key[0], tool, h, t, hits))
+                        lasts[tool] = last = t
+            kept += [(tool, t, h) for t, h in sorted((t, h) for h, own in recent.items() for t in own if t > newest - window)]
+        state.update(([x for x, _, _ in kept], [h for _, _, h in kept], [t for _, t, _ in kept], list(lasts), list(lasts.values())))
+        until = max([t for _, t, _ in kept] + [t + debounce for t in lasts.values()], default=begins) + window
         state.setTimeoutTimestamp(max(until, behind + 1000) // 1000 + 1)
         if out:
             found = pd.DataFrame(out, columns=["session_id", "tool_name", "input_hash", "ts", "hits"])
@@ -87,7 +97,7 @@ def stream_loops(events: DataFrame, window_s: int = 60, least: int = 3, debounce
             yield found
 
     rows = events.where("ts is not null and session_id is not null").withWatermark("ts", f"{2 * window_s} seconds").withColumn("us", F.unix_micros("ts"))
-    return rows.select("session_id", "tool_name", "input_hash", "ts", "us").groupBy("session_id", "tool_name").applyInPandasWithState(step, ALERTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("session_id", "tool_name", "input_hash", "ts", "us").groupBy("session_id").applyInPandasWithState(step, ALERTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_usage(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -40,3 +40,19 @@ def test_nearest_multiplies_only_what_may_be_near_in_double_precision(spark):
         assert len(vectors._best(ids[i : i + 1], unit[i : i + 1], ids[by_id], unit[by_id], unit[by_id].astype(np.float32), 5, 2.0, True)[0]) == 0
     table = spark.createDataFrame([(int(k), [float(x) for x in row]) for k, row in zip(ids, v)], "session_id long, embedding array<float>")
     assert vectors.nearest(table, table, 5, rows=32).count() == 6000
+
+
+def test_loops_are_grouped_by_session_and_debounced_by_tool(spark, tmp_path):
+    """A call of the state function costs much: one for a session, whatever its tools, and the alerts of each tool on their own."""
+    import datetime
+
+    from sparlog.streaming import live
+
+    day, schema = datetime.datetime(2024, 1, 1), "session_id string, tool_name string, input_hash string, ts timestamp"
+    rows = [(s, tool, "x", day + datetime.timedelta(seconds=i)) for s in "ab" for tool in ("Read", "Bash", None) for i in range(6)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    loops = live.stream_loops(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    plan = [x for x in loops._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroupsInPandasWithState" in x][0]
+    assert "tool_name" not in plan.split("[session_id", 2)[1].split("]")[0]
+    got = sorted((r["session_id"], r["tool_name"] or "", r["hits"], r["ts"].second) for r in live.drain(loops, str(tmp_path / "out")).collect())
+    assert got == sorted((s, tool, 3, 2) for s in "ab" for tool in ("Read", "Bash", ""))

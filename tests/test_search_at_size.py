@@ -48,3 +48,24 @@ def test_equal_queries_are_scored_once(spark):
     seeds = catalog.frame(spark, "set_seeds", tables).groupBy("words").count().collect()
     assert len(asked) == 3 and len(seeds) <= 2
     assert all(r["count"] == 2 for r in seeds if "rare" in r["words"])
+
+
+def test_parts_of_messages_give_only_what_may_be_among_the_first(spark, monkeypatch):
+    """A set of frequent terms meets every message, yet each part gives its best ones, equal scores included; places equal those over all pairs."""
+    from sparlog.operators import scoring
+
+    rows = [(s, 0, "user", 3 + s % 5 * (s % 2), ["a", "b", "c"][: 1 + s % 3], [1 + s % 4, 2, 1][: 1 + s % 3]) for s in range(3000)]
+    sets = [("a", ["a"], [0.5]), ("a b", ["b", "a"], [1.25, 0.5]), ("c a b", ["c", "b", "a"], [2.0, 1.25, 0.5]), ("a z", ["z", "a"], [3.0, 0.5])]
+    monkeypatch.setattr(scoring, "MESSAGES_A_TASK", 1000)
+    messages = spark.createDataFrame(rows, "session_id long, ord long, role string, len long, terms array<string>, tfs array<long>")
+    seeds = scoring.first_messages(messages, spark.createDataFrame([(w, 4.0, t, i) for w, t, i in sets], "words string, mean_len double, terms array<string>, idf array<double>"), 20)
+    assert max(r["count"] for r in seeds.groupBy("words").count().collect()) <= 4 * 20 * 2
+    got = {}
+    for r in seeds.collect():
+        got.setdefault(r["words"], []).append((-round(r["score"], 6), r["session_id"]))
+    for words, terms, idf in sets:
+        want = []
+        for s, _, _, n, held, tfs in rows:
+            if set(terms) <= set(held):
+                want.append((-round(sum(w * tfs[held.index(t)] * 2.2 / (tfs[held.index(t)] + 1.2 * (0.25 + 0.75 * n / 4.0)) for t, w in zip(terms, idf)), 6), s))
+        assert sorted(got.get(words, []))[:20] == sorted(want)[:20]

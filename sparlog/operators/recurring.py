@@ -13,7 +13,8 @@ PROBLEM_STOPWORDS = """para como fazer quero esta tudo isso esse essa agora depo
 user using trying wants tried então tambem também""".split()
 #: Rounds in which the first member of every bucket is tried as a leader before all pairs of what is left.
 STAR_ROUNDS = 3
-MOST_BROADCAST = 200_000
+#: Its joins are many and grow with the input: none of their sides goes through the driver.
+DEALT = "merge"
 
 
 def keywords(text: Column) -> Column:
@@ -28,7 +29,7 @@ def _met(left: DataFrame, right: DataFrame, share: tuple[int, int]) -> DataFrame
     y = right.select("token", F.col("at").alias("b"), F.col("words").alias("y"))
     low, whole = share
     sizes = (F.size("x") * low <= F.size("y") * whole) & (F.size("y") * low <= F.size("x") * whole)
-    met = x.join(y, "token").where((F.col("a") != F.col("b")) & sizes)
+    met = x.join(y.hint(DEALT), "token").where((F.col("a") != F.col("b")) & sizes)
     both = F.size(F.array_intersect("x", "y"))
     met = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
     return met.where(F.col("both") * whole >= F.col("either") * low).distinct()
@@ -42,10 +43,9 @@ def prefix_buckets(sets: DataFrame, share: tuple[int, int] = (2, 5)) -> DataFram
     low, whole = share
     rows = sets.select("at", F.explode("words").alias("token"))
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    often = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
-    ranked = rows.join(often, "token").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    ranked = rows.join(often.hint(DEALT), "token").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     kept = F.expr(f"size(tokens) - cast((size(tokens) * {low} + {whole - 1}) div {whole} as int) + 1")
-    return ranked.join(sets, "at").select("at", "words", F.explode(F.slice("tokens", 1, kept)).alias("t")).select("t.token", "at", "words")
+    return ranked.join(sets.hint(DEALT), "at").select("at", "words", F.explode(F.slice("tokens", 1, kept)).alias("t")).select("t.token", "at", "words")
 
 
 def _sets(problems: DataFrame) -> DataFrame:
@@ -79,28 +79,28 @@ def leaders(sets: DataFrame, share: tuple[int, int], rounds: Rounds) -> DataFram
     buckets = rounds.keep(prefix_buckets(sets, share))
     led, left = [], buckets
     for _ in range(STAR_ROUNDS):
-        first = left.join(left.groupBy("token").agg(F.min("at").alias("first")), "token")
+        first = left.join(left.groupBy("token").agg(F.min("at").alias("first")).hint(DEALT), "token")
         new = rounds.keep(first.groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("leads")).where("leads").select("at"))
         led.append(new)
-        mine = left.join(new, "at", "left_semi")
-        rest = left.join(new, "at", "left_anti")
+        mine = left.join(new.hint(DEALT), "at", "left_semi")
+        rest = left.join(new.hint(DEALT), "at", "left_anti")
         settled = rounds.keep(_met(mine, rest, share).select(F.col("b").alias("at")).distinct())
-        left = rounds.keep(rest.join(settled, "at", "left_anti"))
+        left = rounds.keep(rest.join(settled.hint(DEALT), "at", "left_anti"))
         if settled.isEmpty():
             break  # no families of near copies
     edges = rounds.keep(_met(left, left, share).where("a < b").select("a", "b"))
     open_ = rounds.keep(left.select("at").distinct())
     while not open_.isEmpty():
-        waiting = edges.join(open_.withColumnRenamed("at", "a"), "a", "left_semi").select(F.col("b").alias("at"))
-        new = rounds.keep(open_.join(waiting, "at", "left_anti"))
+        waiting = edges.join(open_.withColumnRenamed("at", "a").hint(DEALT), "a", "left_semi").select(F.col("b").alias("at"))
+        new = rounds.keep(open_.join(waiting.hint(DEALT), "at", "left_anti"))
         led.append(new)
-        settled = edges.join(new.withColumnRenamed("at", "a"), "a", "left_semi").select(F.col("b").alias("at"))
-        open_ = rounds.keep(open_.join(new, "at", "left_anti").join(settled, "at", "left_anti"))
+        settled = edges.join(new.withColumnRenamed("at", "a").hint(DEALT), "a", "left_semi").select(F.col("b").alias("at"))
+        open_ = rounds.keep(open_.join(new.hint(DEALT), "at", "left_anti").join(settled.hint(DEALT), "at", "left_anti"))
     tops = led[0]
     for x in led[1:]:
         tops = tops.unionByName(x)
     tops = rounds.keep(tops)
-    joined = _met(buckets.join(tops, "at", "left_semi"), buckets.join(tops, "at", "left_anti"), share)
+    joined = _met(buckets.join(tops.hint(DEALT), "at", "left_semi"), buckets.join(tops.hint(DEALT), "at", "left_anti"), share)
     return rounds.keep(joined.groupBy(F.col("b").alias("at")).agg(F.min("a").alias("leader")).unionByName(tops.select("at", F.col("at").alias("leader"))))
 
 
@@ -125,8 +125,8 @@ def recurring_problems(problems: DataFrame, share: tuple[int, int] = (2, 5), lea
     rounds = Rounds(problems.sparkSession, "recurring-problems")
     rows = rounds.keep(_sets(problems).where(F.size("words") > 0))
     sets = rounds.keep(rows.groupBy("words").agg(F.min("at").alias("at")))
-    of_set = leaders(sets, share, rounds).join(sets, "at").select("words", "leader")
-    found = rounds.keep(rows.join(of_set, "words"))
+    of_set = leaders(sets, share, rounds).join(sets.hint(DEALT), "at").select("words", "leader")
+    found = rounds.keep(rows.join(of_set.hint(DEALT), "words"))
     clusters = found.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.min_by("problem", F.struct(-F.octet_length("problem"), F.col("at"))).alias("representative")).where(F.col("n") >= least)
     words = found.join(clusters.select("leader"), "leader").select("leader", F.explode("words").alias("word")).groupBy("leader", "word").agg(F.count(F.lit(1)).alias("m")).where("m >= 2")
     top = words.withColumn("place", F.row_number().over(W.partitionBy("leader").orderBy(F.desc("m"), "word"))).where("place <= 5")

@@ -56,3 +56,12 @@ def test_loops_are_grouped_by_session_and_debounced_by_tool(spark, tmp_path):
     assert "tool_name" not in plan.split("[session_id", 2)[1].split("]")[0]
     got = sorted((r["session_id"], r["tool_name"] or "", r["hits"], r["ts"].second) for r in live.drain(loops, str(tmp_path / "out")).collect())
     assert got == sorted((s, tool, 3, 2) for s in "ab" for tool in ("Read", "Bash", ""))
+
+
+def test_joins_of_problems_do_not_go_through_the_driver(spark):
+    from sparlog.operators import recurring
+
+    sets = spark.createDataFrame([(1, ["word", "other"]), (2, ["word", "third"]), (3, ["word", "other", "third"])], "at long, words array<string>")
+    buckets = recurring.prefix_buckets(sets)
+    plan = recurring._met(buckets, buckets, (2, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, connected_components, cut, discard, keyed, restore_id
+from .common import MOST_BROADCAST_IDS, NULL_ID, connected_components, cut, discard, keyed, restore_id
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE = np.random.default_rng(20_231).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Members of larger buckets meet by their rarest shingles and not in pairs.
+LARGE = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,7 +136,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array([shingle_codes(t, size).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "codes"])
 
-    return docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(work, "node long, codes binary")
+    wanted = wanted.withColumnRenamed("node", "doc_id")
+    if wanted.count() <= MOST_BROADCAST_IDS:  # only the texts of these are shuffled
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(work, "node long, codes binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
@@ -153,21 +158,71 @@ def _met(rows: DataFrame, reps: DataFrame, lowest: float) -> DataFrame:
     return _look_alike(rows.withColumnRenamed("node", "a").join(other, "key").where("a < b and group <> other").select("a", "b").distinct(), reps, lowest)
 
 
+def _listed(batches):
+    """(node, group, n, codes) with the codes as numbers."""
+    for b in batches:
+        codes = b.column("codes").to_pylist()
+        ends = np.cumsum([0, *(len(c) // 8 for c in codes)])
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int64)))
+        yield pa.record_batch([b.column("node"), b.column("group"), pa.array(np.diff(ends), pa.int64()), listed], names=["node", "group", "n", "codes"])
+
+
+def _rarest(members: DataFrame, sets: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of (node, group) rows of different groups, all those whose whole sets reach the similarity among them; every pair once.
+
+    With one order for all shingles, rarest first, two sets of x and y that
+    must share ``o`` have a common one among the first x - o + 1 and the first
+    y - o + 1. The smaller set is kept under these shingles and its class of
+    sizes, a hundredth wide; the larger one asks for each class that it can be
+    similar to, by as many shingles as that class needs. Shingles that one
+    set alone has are counted but meet nothing.
+    """
+    num, den = need
+    shared = f"(({{}} + {{}}) * {num} + {num + den - 1}) div {num + den}".format
+    smallest, size_class = f"(n * {num} + {den - 1}) div {den}", "cast(floor(ln({}) * 100) as int)".format
+    held = members.join(sets, "node").select("node", "group", "codes").mapInArrow(_listed, "node long, group long, n long, codes array<long>")
+    held = cut(held.select("node", "group", "n", F.explode("codes").alias("code")))
+    often = held.groupBy("code").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high")).where("m > 1")
+    rows = held.join(often.selectExpr("code", "m", "low <> high as mixed"), "code")
+    rows = rows.groupBy("node", "group", "n").agg(F.array_sort(F.collect_list(F.struct("m", "code", "mixed"))).alias("codes"))
+    first = f"slice(codes, 1, cast(greatest(0, {{}} + 1 - (n - size(codes))) as int))".format
+    # at: how many shingles of the set come before
+    rows = rows.selectExpr("node", "group", "n", "n - size(codes) as alone", f"{first(f'n - {shared('n', smallest)}')} as codes")
+    kept = rows.selectExpr("node as b", "group as other", "n as nb", "alone", f"{size_class('n')} as class", f"posexplode(slice(codes, 1, cast(greatest(0, n - {shared('n', 'n')} + 1 - alone) as int))) as (place, c)")
+    kept = cut(kept.where("c.mixed").selectExpr("c.code as code", "class", "b", "other", "nb", "alone + place as bt"))
+    asks = rows.selectExpr("*", f"explode(sequence({size_class(smallest)}, {size_class('n')})) as class")
+    asks = asks.selectExpr("node as a", "group", "n as na", "alone", "class", f"posexplode(slice(codes, 1, cast(greatest(0, n - {shared('n', f'greatest({smallest}, cast(ceil(exp(class / 100)) as long) - 1)')} + 1 - alone) as int))) as (place, c)")
+    asks = asks.where("c.mixed").selectExpr("c.code as code", "class", "a", "group", "na", "alone + place as at")
+    asks = cut(asks.join(kept.select("code", "class").distinct(), ["code", "class"], "left_semi"))
+    # of each key the largest group's members are not met with one another
+    top = kept.groupBy("code", "class", "other").agg(F.count("*").alias("k")).groupBy("code", "class").agg(F.max_by("other", F.struct("k", "other")).alias("top"))
+    kept, asks = kept.join(top, ["code", "class"]), asks.join(top, ["code", "class"])
+    met = f"group <> other and (na > nb or na = nb and a > b) and least(na - at, nb - bt) >= {shared('na', 'nb')}"
+    small = asks.drop("top").join(kept.where("other <> top").drop("top"), ["code", "class"]).where(met)
+    large = asks.where("group <> top").drop("top").join(kept.where("other = top").drop("top"), ["code", "class"]).where(met)
+    out = small.select("a", "b").union(large.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = cut(out)
+    discard(held)
+    return out
+
+
 def _look_alike(pairs: DataFrame, reps: DataFrame, lowest: float) -> DataFrame:
     sig = reps.select("node", "n", "sig")
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     return cut(pairs.where(_alike("sa", "sb") >= lowest).select("a", "b", "na", "nb"))
 
 
-def candidates(reps: DataFrame, most: int, lowest: float, verified, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
+def candidates(reps: DataFrame, most: int, lowest: float, verified, similar, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
     """(pairs, edges): all pairs (a, b, na, nb) of class representatives that share a band, look alike and may join two components, and the links found so far.
 
     ``reps``: node, n, sig, bands; ``verified`` gives the true links among such
-    pairs. Members of buckets of more than ``most`` are first verified against
-    ``rounds`` of their members, which puts most copies of a family in one
-    component. Then every bucket gives all its pairs across components, those
-    of linked and not linked members included: no link between components is
-    lost, and pairs within one are not needed.
+    pairs, ``similar`` pairs of (node, group) rows across groups with all true
+    links among them. Members of buckets of more than ``most`` are first
+    verified against ``rounds`` of their members, which puts most copies of a
+    family in one component. Then buckets of up to LARGE members give all
+    their pairs across components, those of linked and not linked members
+    included, and the members of larger ones go through ``similar``: no link
+    between components is lost, and pairs within one are not needed.
     """
     rows = reps.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -188,8 +243,14 @@ def candidates(reps: DataFrame, most: int, lowest: float, verified, rounds: int
             edges = new if edges is None else cut(edges.union(new))
             comp = connected_components(edges)
     rows = cut(grouped(rows))
-    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    return _met(cut(rows.join(mixed, "key")), reps, lowest), edges
+    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
+    rows = cut(rows.join(mixed, "key"))
+    large = F.col("m") > min(most, LARGE)
+    pairs = _met(rows.where(~large), reps, lowest)
+    members = cut(rows.where(large).select("node", "group").distinct())
+    if not members.isEmpty():
+        pairs = cut(pairs.union(_look_alike(similar(members), reps, lowest)).distinct())
+    return pairs, edges
 
 
 def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: int = 5, coords: int = 256, bands: int = 36, rows: int = 5, most: int = 48) -> DataFrame:
@@ -222,7 +283,13 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: in
         discard(pairs, sets, first, comp)
         return out
 
-    pairs, edges = candidates(reps, most, lowest, verified)
+    def similar(members: DataFrame) -> DataFrame:
+        sets = cut(_sets(whole, members.select("node"), size))
+        out = _rarest(members, sets, need)
+        discard(sets)
+        return out
+
+    pairs, edges = candidates(reps, most, lowest, verified, similar)
     more = verified(pairs)
     comp = connected_components(more if edges is None else edges.union(more))
     member = classes.join(comp, "node", "left").select("cls", F.coalesce("component", "node").alias("component"))

@@ -47,3 +47,28 @@ def test_large_family(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, need=(85, 100), rows=1, most=4).collect()}
     assert len(set(want)) > 100 and [got[i] for i in range(len(texts))] == want
+
+
+def test_members_meet_by_rare_shingles_and_not_in_pairs(spark):
+    """All links of a family are among the pairs, and once its groups are known few pairs are left."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(140)]
+    texts = []
+    for k in range(300):
+        t = list(base[: r.choice((130, 135, 140))])
+        for i in r.sample(range(len(t)), r.choice((1, 2, 5, 6, 9))):
+            t[i] = f"x{r.randint(0, 10**6)}"
+        if k % 5 == 0 and texts:
+            t = texts[r.randrange(len(texts))].split()
+            t[r.randrange(len(t))] = "y"
+        texts.append(" ".join(t))
+    sets = sets_of(texts)
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = minhash._sets(docs, docs.selectExpr("doc_id as node"), 5)
+    alone = minhash._rarest(docs.selectExpr("doc_id as node", "doc_id as group"), held, (85, 100))
+    found = {(p["a"], p["b"]) for p in alone.collect()}
+    assert len(links) > 100 and links <= found
+    want = components(sets, 85, 100)
+    groups = spark.createDataFrame(list(enumerate(want)), "node long, group long")
+    assert minhash._rarest(groups, held, (85, 100)).count() < len(texts) ** 2 / 2 / 20

@@ -41,7 +41,8 @@ def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of logs in which a user is a file and an event a tool call."""
     block = "named_struct('type', 'tool_use', 'name', case event_type when 'click' then 'Edit' else event_type end, 'input', named_struct('file_path', concat('/f/', event_id % 50), 'props', props))"
     line = f"to_json(named_struct('type', 'assistant', 'sessionId', cast(user_id as string), 'timestamp', date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), 'message', named_struct('content', array({block})))) as line"
-    return logs.parse_events(_table(spark, sf_dir, "events").selectExpr("concat('/logs/-p/', user_id, '.jsonl') as file_path", _MTIME, _ORD.format("event_id"), line))
+    events = _table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")  # a file of few row groups would be parsed in as many tasks
+    return logs.parse_events(events.selectExpr("concat('/logs/-p/', user_id, '.jsonl') as file_path", _MTIME, _ORD.format("event_id"), line))
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

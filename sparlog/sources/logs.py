@@ -55,7 +55,9 @@ def decode_project_dir(path: Column) -> Column:
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """Typed events of (file_path, mtime, ord, line); empty, overlong and malformed lines are left out."""
-    v = lines.where((F.trim("line") != "") & (F.length("line") <= MAX_LINE)).withColumn("v", F.try_parse_json("line")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    # filters stop at a generator; below it each of them would make and parse the line again
+    rows = lines.select("file_path", "mtime", "ord", F.explode_outer(F.array("line")).alias("line")).where((F.trim("line") != "") & (F.length("line") <= MAX_LINE))
+    v = rows.select("file_path", "mtime", "ord", F.explode_outer(F.array(F.try_parse_json("line"))).alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
 
     def at(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("v", f"$.{path}", kind)
@@ -115,7 +117,8 @@ def content_text(content: Column) -> Column:
 def blocks(events: DataFrame) -> DataFrame:
     """One row for each content block: the event's columns, pos, kind, block."""
     found = events.withColumn("parts", F.expr("try_variant_get(content, '$', 'array<variant>')"))
-    return found.select(*events.columns, F.posexplode("parts").alias("pos", "block")).withColumn("kind", F.expr("try_variant_get(block, '$.type', 'string')"))
+    parts = found.select(*events.columns, F.posexplode_outer("parts").alias("pos", "block")).where("pos is not null")  # posexplode would make the array again to filter by its size
+    return parts.withColumn("kind", F.expr("try_variant_get(block, '$.type', 'string')"))
 
 
 def messages(events: DataFrame) -> DataFrame:

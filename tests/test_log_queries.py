@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from sparlog.plans import log_queries
+from sparlog.plans import feature_queries, log_queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -21,3 +21,10 @@ def test_equals_checking_engine(spark, name):
         rel = con.sql(log_queries.oracle_sql()[name])
         assert sorted(rel.columns) == cols
         assert got == sorted((tuple(dict(zip(rel.columns, row, strict=True))[c] for c in cols) for row in rel.fetchall()), key=repr)
+
+
+def test_lines_are_made_and_parsed_once(spark):
+    """However many columns and filters ask for them."""
+    for query in (log_queries.s9_tool_events_from_events, feature_queries.s11_input_preview):
+        plan = query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parsejson") == 1

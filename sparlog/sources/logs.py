@@ -260,5 +260,6 @@ def parse_model_json(replies: DataFrame, schema: str) -> DataFrame:
     bare = F.regexp_replace("raw", r"```[a-zA-Z]*", "")
     body = F.regexp_extract(bare, r"(?s)(\[.*\]|\{.*\})", 1)
     listed = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    rows = replies.select("id", F.from_json(listed, f"array<struct<{schema}>>").alias("rows"), F.try_parse_json(listed).isNull().alias("bad"))
+    told = replies.select("id", F.explode_outer(F.array(listed)).alias("listed"))  # made once: what asks for errors is not pushed below
+    rows = told.select("id", F.from_json("listed", f"array<struct<{schema}>>").alias("rows"), F.try_parse_json("listed").isNull().alias("bad"))
     return rows.select("id", F.explode_outer("rows").alias("row"), F.when(F.col("bad"), "no JSON").alias("error")).select("id", "row.*", "error")

@@ -54,3 +54,11 @@ def test_arguments_of_operators(spark):
             catalog.frame(spark, "r1_detect_loops", tables, **wrong)
     later = catalog.frame(spark, "c16_project_history", tables, as_of="2024-02-10 00:00:00", history_days=3)
     assert {r["days_ago"] for r in later.collect()} == {0, 1, 2}
+
+
+def test_replies_are_parsed_once(spark):
+    """K5's steps read the knowledge of one table, and a reply's error is not asked for by another parse."""
+    plan = queries.queries()["k5_knowledge_aggregate"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parsejson" not in plan.lower()
+    once = catalog.frame(spark, "knowledge", queries._Tables(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert once.lower().count("parsejson") == 1 and once.count("Here is what I noted") == 1

@@ -215,10 +215,10 @@ def _look_alike(pairs: DataFrame, reps: DataFrame, lowest: float) -> DataFrame:
 def candidates(reps: DataFrame, most: int, lowest: float, verified, similar, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
     """(pairs, edges): all pairs (a, b, na, nb) of class representatives that share a band, look alike and may join two components, and the links found so far.
 
-    ``reps``: node, n, sig, bands; ``verified`` gives the true links among such
-    pairs, ``similar`` pairs of (node, group) rows across groups with all true
+    ``reps``: node, n, sig, bands; ``verified`` gives enough of the true links
+    among such pairs to join their components (all, if told that they are few), ``similar`` pairs of (node, group) rows across groups with all true
     links among them. Members of buckets of more than ``most`` are first
-    verified against ``rounds`` of their members, which puts most copies of a
+    verified against a member of one of their buckets, ``rounds`` times, which puts most copies of a
     family in one component. Then buckets of up to LARGE members give all
     their pairs across components, those of linked and not linked members
     included, and the members of larger ones go through ``similar``: no link
@@ -235,11 +235,22 @@ def candidates(reps: DataFrame, most: int, lowest: float, verified, similar, rou
         return rows.join(comp.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
 
     if not hot.isEmpty():
-        for k in range(rounds):
-            open_keys = grouped(hot).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("top")).where("low <> high").select("key", "top")
-            pairs = hot.join(open_keys, "key").where("node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
-            pairs = pairs if edges is None else pairs.join(edges, ["a", "b"], "left_anti")
-            new = verified(_look_alike(pairs, reps, lowest))
+        central = cut(hot.groupBy("node").agg(F.sum("m").alias("weight")))
+        used = None
+        for _ in range(rounds):
+            # one pair for each node, with the most central member of its buckets, and not one for each of its bands
+            known = grouped(hot)
+            free = known.join(central, "node")
+            free = free if used is None else free.join(used, "node", "left_anti")
+            tops = free.groupBy("key").agg(F.max_by(F.struct("weight", "node", "group"), F.struct("weight", "node")).alias("top"))
+            pairs = known.join(tops, "key").where("group <> top.group").groupBy("node").agg(F.max(F.struct("top.weight", "top.node")).alias("top"))
+            pairs = cut(pairs.select("node", F.col("top.node").alias("top")))
+            tried = pairs.select(F.col("top").alias("node")).distinct()
+            used = cut(tried if used is None else tried.union(used))
+            pairs = _look_alike(pairs.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct(), reps, lowest)
+            new = verified(pairs, True)
+            if edges is not None and new.isEmpty():
+                break
             edges = new if edges is None else cut(edges.union(new))
             comp = connected_components(edges)
     rows = cut(grouped(rows))
@@ -271,9 +282,13 @@ def near_duplicates(docs: DataFrame, need: tuple[int, int] = (85, 100), size: in
     limit = need[0] / need[1]
     lowest = limit - 5 * (limit * (1 - limit) / coords) ** 0.5
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, few: bool = False) -> DataFrame:
         pairs = cut(pairs.where((F.col("na") * need[1] >= F.col("nb") * need[0]) & (F.col("nb") * need[1] >= F.col("na") * need[0])).select("a", "b"))
         sets = cut(_sets(whole, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size))
+        if few:
+            out = cut(_verify(pairs, sets, need))
+            discard(pairs, sets)
+            return out
         # first one pair for each document; then only pairs that would still join two components
         first = cut(_verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, need))
         comp = connected_components(first)

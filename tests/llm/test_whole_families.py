@@ -72,3 +72,21 @@ def test_members_meet_by_rare_shingles_and_not_in_pairs(spark):
     want = components(sets, 85, 100)
     groups = spark.createDataFrame(list(enumerate(want)), "node long, group long")
     assert minhash._rarest(groups, held, (85, 100)).count() < len(texts) ** 2 / 2 / 20
+
+
+def test_a_family_gives_few_pairs(spark, monkeypatch):
+    """Members with changes of their own around one text: each meets the central member once, and not one in each band."""
+    r = random.Random(9)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(140)]
+    texts = []
+    for k in range(300):
+        t = list(base)
+        for i in r.sample(range(140), r.choice((1, 2, 2)) if k else 0):
+            t[i] = f"x{r.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    look, count = minhash._look_alike, []
+    monkeypatch.setattr(minhash, "_look_alike", lambda pairs, reps, lowest: count.append(pairs.count()) or look(pairs, reps, lowest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(300)] == components(sets_of(texts), 85, 100)
+    assert sum(count) <= len(texts)

@@ -21,6 +21,14 @@ def test_technologies_of_tool_calls_count(spark):
     assert got == {"Python": 1, "Docker": 1, "Kubernetes": 1, "SQLite": 1}
 
 
+def test_technologies_of_calls_without_a_name_or_an_input_count(spark):
+    said = spark.createDataFrame([("s", 0, "user", "docker")], "session_id string, ord long, role string, content string")
+    calls = spark.createDataFrame([("s", "git", None), ("s", None, "kubectl get pods"), ("s", None, None)], "session_id string, tool_name string, input_preview string")
+    count = lambda tables: {r["tech"]: r["matches"] for r in catalog.frame(spark, "b12_detect_tech", tables).collect()}
+    assert count({"s6_messages": said, "tool_events": calls}) == {"Docker": 1, "Git": 1, "Kubernetes": 1}
+    assert count({"s6_messages": said}) == {"Docker": 1}
+
+
 def test_nearest_multiplies_only_what_may_be_near_in_double_precision(spark):
     import numpy as np
 

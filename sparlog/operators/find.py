@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import ChainMap
 from collections.abc import Mapping
 from datetime import datetime
 
@@ -10,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import query_language
-from ..plans import catalog
-from ..plans.scratch import Rounds
+from ..plans import catalog, queries
 from . import vectors
 
 
@@ -35,9 +33,7 @@ def search(spark: SparkSession, tables: Mapping[str, DataFrame], sessions: DataF
         asked = spark.createDataFrame([(-1, [float(x) for x in vector])], "session_id long, embedding array<double>")
         return vectors.nearest(asked, every, 30).select("session_id", F.col("place").cast("long").alias("place"), F.lit("similar").alias("role"), F.format_string("similarity: %.2f", "sim").alias("snippet"))
     one = spark.createDataFrame([("line", None, parsed.text)], "query_id string, asker long, q string")
-    chosen = ChainMap({"search_queries": one, "chat_sessions": passed}, tables)
-    if parsed.mode != "metadata":
-        chosen["hit_rows"] = Rounds(spark, "search-hits").keep(catalog.frame(spark, "scored_hits", chosen))
+    chosen = queries.Asked(spark, tables, {"search_queries": one, "chat_sessions": passed})
     step = {"fts": "w7_first_match", "metadata": "metadata_hits", "hybrid": "q6_search_hybrid"}[parsed.mode]
     found = catalog.frame(spark, step, chosen, expand=int(expand if parsed.expand is None else parsed.expand))
     if parsed.mode == "metadata":

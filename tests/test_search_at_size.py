@@ -40,6 +40,23 @@ def test_places_of_needles_equal_all_pairs(spark):
     assert got == want and len(want) > 15
 
 
+def test_a_line_over_both_finds_what_its_own_query_asks_for(spark):
+    from sparlog.operators import find
+
+    day = datetime.datetime(2024, 1, 1)
+    given = {
+        "conversations": spark.createDataFrame([(c, 0, "user", t) for c, t in TALKS.items()], "conv_id long, turn long, role string, text string"),
+        "events": spark.createDataFrame([(0, day, 60, "needle-tool", 1.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string"),
+        "pages": spark.createDataFrame([], "page_id long, url string, html string"),
+    }
+    tables = Given(spark, given)
+    sessions = catalog.frame(spark, "chat_sessions", tables).selectExpr("*", "timestamp '2024-01-01 00:00:00' as start_time", "1d as cost_usd").where("session_id <> 20")
+    found = {(r["session_id"], r["role"], r["snippet"]) for r in find.search(spark, tables, sessions, ":all needle", day).collect()}
+    assert {(s, r) for s, r, _ in found} == {(2, "first_msg"), (60, "tool")} and all("needle" in x for _, _, x in found)
+    body = find.search(spark, tables, sessions, ":body b c", day).collect()
+    assert {r["session_id"] for r in body} == {0, 3, 40, 3000} and all("[b] [c]" in r["snippet"].lower() for r in body)
+
+
 def test_equal_queries_are_scored_once(spark):
     """Two queries of the same words, and one of a frequent and a rare word, whose rare word alone leads to messages."""
     rows = [(c, 0, "user", "rare often" if c in (20, 40) else "often words") for c in range(0, 60)]

@@ -69,7 +69,7 @@ def first_messages(messages: DataFrame, sets: DataFrame, most: int = 100) -> Dat
                 for column, values in zip(found, (np.full(len(at), k), at, score), strict=True):
                     column.append(values)
         which, at, score = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(found, (np.int64, np.int64, np.float64), strict=True))
-        rows = part.take(pa.array(at))
+        rows = part.select(["session_id", "ord", "role"]).take(pa.array(at))  # not the terms, which a message would repeat for every set it is given for
         return pa.table({"words": asked["words"].take(pa.array(which)), "session_id": rows["session_id"], "ord": rows["ord"], "role": rows["role"], "score": pa.array(score)})
 
     dealt = messages.withColumn("part", F.pmod(F.xxhash64("session_id", "ord"), F.lit(parts)))
